@@ -44,7 +44,7 @@ def exact_quantiles(
         rank = (F.col("_n") - 1) * F.lit(float(p))
         part = rank - F.floor(rank)
         lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
-        out.append(F.when(part == 0, lo).otherwise((1 - part) * lo + part * hi).alias(name))
+        out.append(F.when(part == 0, lo).otherwise(lo + part * (hi - lo)).alias(name))
     more = [F.col("_n").alias("n"), "mean", "max", "rms"] if moments else []
     return got.select(*keys, *out, *more)
 
