@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sensorlake.operators.ordered import ROWS_PER_CHUNK, _null_safe, running_sums
+from sensorlake.session import cut_lineage
 
 
 def exact_quantiles(
@@ -60,9 +61,16 @@ def attach_quantiles(
     value: str,
     probs: Mapping[str, float],
     rows_per_chunk: int = ROWS_PER_CHUNK,
+    settle: bool = False,
 ) -> DataFrame:
-    """Every row of ``df`` with its key's quantiles; one global row goes in as a scalar subquery."""
+    """Every row of ``df`` with its key's quantiles; one global row goes in as a scalar subquery.
+
+    ``settle`` writes the one-row-per-key table to the checkpoint folder, so
+    that later steps on the result do not compute it again.
+    """
     q = exact_quantiles(df, keys, value, probs, rows_per_chunk)
+    if settle:
+        q = cut_lineage(q)
     if keys:
         return _null_safe(df, q, keys, "left")
     one = q.select(F.struct(*probs).alias("q")).scalar()

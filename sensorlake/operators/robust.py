@@ -56,9 +56,9 @@ def robust_mask(
     Keys left with fewer than ``min_keep`` rows keep their best ``min_keep``.
     """
     e = F.col(error).cast("double")
-    d = attach_quantiles(df, keys, error, {"median": 0.5}, rows_per_chunk)
+    d = attach_quantiles(df, keys, error, {"median": 0.5}, rows_per_chunk, settle=True)
     d = d.withColumn("_dev", F.abs(e - F.col("median")))
-    d = attach_quantiles(d, keys, "_dev", {"_mad": 0.5}, rows_per_chunk)
+    d = attach_quantiles(d, keys, "_dev", {"_mad": 0.5}, rows_per_chunk, settle=bool(min_keep))
     std = df.groupBy(*keys).agg(F.stddev_pop(e).alias("_std"))
     d = _null_safe(d, std, keys, "left") if keys else d.withColumn("_std", std.select("_std").scalar())
     d = d.withColumn("sigma", F.when(F.col("_mad") * MAD_TO_SIGMA > MAD_EPS, F.col("_mad") * MAD_TO_SIGMA).otherwise(F.col("_std")))
@@ -86,7 +86,7 @@ def _keep_best(d: DataFrame, keys: Sequence[str], error: str, k: int, tie: Seque
 
 def pose_gate(df: DataFrame, keys: Sequence[str], rms: str, angle: str, k: int, tie: Sequence[str] = ()) -> DataFrame:
     """Keep poses with rms <= max(0.06, 3 * median) and angle <= 30 degrees, else the ``k`` best."""
-    d = attach_quantiles(df, keys, rms, {"median": 0.5})
+    d = attach_quantiles(df, keys, rms, {"median": 0.5}, settle=True)
     ok = (F.col(rms) <= F.greatest(F.lit(0.06), 3.0 * F.col("median"))) & (F.col(angle) <= 30.0)
     d = _keep_best(d.withColumn("keep", F.coalesce(ok, F.lit(False))), keys, rms, k, tie)
     return d.select(*df.columns, "median", "keep")
