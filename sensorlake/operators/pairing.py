@@ -28,12 +28,12 @@ def subgrid_options(a: DataFrame, b: DataFrame, label: str, min_common: tuple[in
 
 
 def subgrid_pairs(options: DataFrame, label: str) -> DataFrame:
-    """Corner correspondences ``sx, sy, dx, dy`` of every option, ``k`` numbering the common grid."""
-    d = options.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("cc") * F.col("cr") - 1)))
-    r, c = F.floor(F.col("k") / F.col("cc")).cast("int"), F.pmod("k", "cc")
+    """Corner correspondences ``sx, sy, dx, dy`` of every option, ``corner`` numbering the common grid."""
+    d = options.withColumn("corner", F.explode(F.sequence(F.lit(0), F.col("cc") * F.col("cr") - 1)))
+    r, c = F.floor(F.col("corner") / F.col("cc")).cast("int"), F.pmod("corner", "cc")
     s = grid_at(F.col("ag"), F.col("ac"), F.col("ar0") + r, F.col("ac0") + c)
     t = grid_at(F.col("bg"), F.col("bc"), F.col("br0") + r, F.col("bc0") + c)
-    return d.select(label, "opt", "ac0", "ar0", "bc0", "br0", "cc", "cr", "k", s["x"].alias("sx"), s["y"].alias("sy"), t["x"].alias("dx"), t["y"].alias("dy"))
+    return d.select(label, "opt", "ac0", "ar0", "bc0", "br0", "cc", "cr", "corner", s["x"].alias("sx"), s["y"].alias("sy"), t["x"].alias("dx"), t["y"].alias("dy"))
 
 
 # Smallest inlier counts of the colour and the soil match, and

@@ -44,9 +44,9 @@ def with_cells(points: DataFrame, meta: DataFrame, x: str = "x", y: str = "y") -
 
 def surface_max(points: DataFrame, cell: Sequence[str], z: str, tie: Sequence[str], payload: Sequence[str]) -> DataFrame:
     """Highest point of each cell (the last to arrive on a tie) with its payload and the density."""
-    top = F.max(F.struct(F.col(z).alias("z"), *tie, *payload))
+    top = F.max(F.struct(F.col(z).alias("_z"), *tie, *payload))
     g = points.groupBy(*cell).agg(top.alias("_t"), F.least(F.count(F.lit(1)), F.lit(MAX_DENSITY)).alias("n"))
-    return g.select(*cell, F.col("_t.z").alias(z), *[F.col(f"_t.{p}").alias(p) for p in payload], "n")
+    return g.select(*cell, F.col("_t._z").alias(z), *[F.col(f"_t.{p}").alias(p) for p in payload], "n")
 
 
 def surface_p95(
@@ -55,11 +55,11 @@ def surface_p95(
     """Per cell the *measured* point nearest to the z percentile; small cells take the highest point."""
     q = exact_quantiles(points, cell, z, {"_q": prob}, rows_per_chunk)
     d = _null_safe(points.select(*cell, z, *tie, *payload), q, cell, "inner")
-    near = F.min(F.struct(F.abs(F.col(z) - F.col("_q")).alias("d"), F.col(z).alias("z"), *tie, *payload))
-    top = F.max(F.struct(F.col(z).alias("z"), *tie, *payload))
+    near = F.min(F.struct(F.abs(F.col(z) - F.col("_q")).alias("_d"), F.col(z).alias("_z"), *tie, *payload))
+    top = F.max(F.struct(F.col(z).alias("_z"), *tie, *payload))
     g = d.groupBy(*cell).agg(near.alias("_n"), top.alias("_t"), F.count(F.lit(1)).alias("_c"))
     pick = lambda f: F.when(F.col("_c") >= min_points, F.col(f"_n.{f}")).otherwise(F.col(f"_t.{f}"))
-    return g.select(*cell, pick("z").alias(z), *[pick(p).alias(p) for p in payload], F.least(F.col("_c"), F.lit(MAX_DENSITY)).alias("n"))
+    return g.select(*cell, pick("_z").alias(z), *[pick(p).alias(p) for p in payload], F.least(F.col("_c"), F.lit(MAX_DENSITY)).alias("n"))
 
 
 def topdown_max(points: DataFrame, cell: Sequence[str], intensity: str, height: str) -> DataFrame:

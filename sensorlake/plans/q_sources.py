@@ -193,25 +193,27 @@ def _pack_imu(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     "imu_decode",
     "SRC-08 SNK-09",
     with_sql(
-        """SELECT seq, CASE WHEN seq%11=0 THEN 47 ELSE 48 END AS buf_len, seq%11=0 AS failed, CASE WHEN seq%11<>0 THEN ts_ns+500 END AS gyro_ts_ns, CASE WHEN seq%11<>0 THEN round((v::FLOAT)::DOUBLE*9.80665::DOUBLE,6) END AS ax, CASE WHEN seq%11<>0 THEN round(radians((v*-0.5::DOUBLE)::FLOAT::DOUBLE),6) END AS gy FROM fx_stream""",
+        """SELECT seq, CASE WHEN seq%11=0 THEN 47 ELSE 48 END AS buf_len, seq%11=0 AS failed, CASE WHEN seq%11<>0 THEN ts_ns+500 END AS gyro_ts_ns, CASE WHEN seq%11<>0 THEN round((v::FLOAT)::DOUBLE*9.80665::DOUBLE,8) END AS ax, CASE WHEN seq%11<>0 THEN round(radians((v*-0.5::DOUBLE)::FLOAT::DOUBLE),6) END AS gy FROM fx_stream""",
         "fx_stream",
     ),
 )
 def imu_decode(spark, sf):
     m = fx_stream(spark, sf).select("k", "ts_ns", "seq", "v").mapInPandas(_pack_imu, "bag_id string, ts_ns bigint, seq bigint, raw binary")
     d = decode.decode_imu(m)
-    return d.select("seq", "buf_len", F.col("error").isNotNull().alias("failed"), "gyro_ts_ns", F.round("accel_x_mps2", 6).alias("ax"), F.round("gyro_y_radps", 6).alias("gy"))
+    return d.select("seq", "buf_len", F.col("error").isNotNull().alias("failed"), "gyro_ts_ns", F.round("accel_x_mps2", 8).alias("ax"), F.round("gyro_y_radps", 6).alias("gy"))
 
 
 def _pack_clouds(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     dtype = np.dtype([("x", "<f4"), ("y", "<f4"), ("z", "<f4"), ("pad", "u1", 4), ("intensity", "<f4")])
     for pdf in it:
-        for m in pdf.itertuples(index=False):
-            rec = np.zeros(len(m.pts), dtype)
+        fields = [{"name": f, "offset": int(dtype.fields[f][1]), "datatype": 7} for f in ("x", "y", "z", "intensity")]
+        data = []
+        for pts in pdf["pts"]:
+            rec = np.zeros(len(pts), dtype)
             for f in ("x", "y", "z", "intensity"):
-                rec[f] = [p[f] for p in m.pts]
-            fields = [{"name": f, "offset": int(dtype.fields[f][1]), "datatype": 7} for f in ("x", "y", "z", "intensity")]
-            yield pd.DataFrame({"bag_id": ["b"], "cloud_ts": [m.frame], "height": [1], "width": [len(rec)], "point_step": [dtype.itemsize], "fields": [fields], "data": [rec.tobytes()]})
+                rec[f] = [p[f] for p in pts]
+            data.append(rec.tobytes())
+        yield pd.DataFrame({"bag_id": "b", "cloud_ts": pdf["frame"], "height": 1, "width": pdf["pts"].map(len), "point_step": dtype.itemsize, "fields": [fields] * len(pdf), "data": data})
 
 
 @query(

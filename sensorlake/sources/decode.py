@@ -23,6 +23,14 @@ IMU_BYTES = 48
 GRAVITY = 9.80665
 
 
+# Rows collected before a batch is handed back to Spark.
+FLUSH_ROWS = 500_000
+
+
+def _stack(parts: list[dict]) -> pd.DataFrame:
+    return pd.DataFrame({k: np.concatenate([np.asarray(p[k]) for p in parts]) for k in parts[0]})
+
+
 def decode_imu(messages: DataFrame) -> DataFrame:
     """Decoded packets of ``bag_id, ts_ns, seq, raw``, with SI units; short packets keep only ``error``."""
 
@@ -74,15 +82,23 @@ def explode_clouds(clouds: DataFrame, fields: Sequence[str] = POINT_FIELDS) -> D
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            parts, pending = [], 0
             for m in pdf.itertuples(index=False):
                 layout = {f["name"]: (f["offset"], POINT_TYPES.get(f["datatype"])) for f in m.fields}
                 have = [f for f in wanted if layout.get(f, (0, None))[1]]
                 dtype = np.dtype({"names": have, "formats": [layout[f][1] for f in have], "offsets": [layout[f][0] for f in have], "itemsize": int(m.point_step)})
                 n = int(m.height) * int(m.width)
                 rec = np.frombuffer(m.data, dtype, count=n)
-                out = {"bag_id": m.bag_id, "cloud_ts": m.cloud_ts, "i": np.arange(n, dtype="int32"), "h": int(m.height)}
-                out.update({f: rec[f].astype(kinds[f]) if f in have else None for f in POINT_FIELDS})
-                yield pd.DataFrame(out)
+                out = {"bag_id": np.full(n, m.bag_id, object), "cloud_ts": np.full(n, m.cloud_ts), "i": np.arange(n, dtype="int32"), "h": np.full(n, int(m.height), "int32")}
+                out.update({f: rec[f].astype(kinds[f]) if f in have else np.full(n, None, object) for f in POINT_FIELDS})
+                parts.append(out)
+                pending += n
+                if pending >= FLUSH_ROWS:
+                    pending = 0
+                    yield _stack(parts)
+                    parts = []
+            if parts:
+                yield _stack(parts)
 
     schema = sc.POINTS + ", h int"
     names = [c.split()[0] for c in schema.split(", ")]
@@ -107,17 +123,25 @@ def explode_frames(frames: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            parts, pending = [], 0
             for m in pdf.itertuples(index=False):
                 kind = ENCODINGS.get(str(m.encoding).lower().strip())
                 h, w = int(m.height), int(m.width)
                 need = 0 if kind is None else h * w * len(kind[1]) * np.dtype(kind[0]).itemsize
                 if kind is None or m.data is None or len(m.data) < need:
                     why = "unknown encoding" if kind is None else "short buffer"
-                    yield pd.DataFrame({"frame_id": [m.frame_id], "r": pd.array([None], "Int32"), "c": pd.array([None], "Int32"), "band": pd.array([None], "Int32"), "value": pd.array([None], "Float32"), "error": [why]})
+                    parts.append({"frame_id": [m.frame_id], "r": [None], "c": [None], "band": [None], "value": [None], "error": [why]})
                     continue
                 b = len(kind[1])
                 img = np.frombuffer(m.data, kind[0], count=h * w * b).reshape(h, w, b)[:, :, list(kind[1])]
                 r, c, k = np.indices((h, w, b), dtype="int32")
-                yield pd.DataFrame({"frame_id": m.frame_id, "r": r.ravel(), "c": c.ravel(), "band": k.ravel(), "value": img.ravel().astype("float32"), "error": None})
+                n = r.size
+                parts.append({"frame_id": np.full(n, m.frame_id, object), "r": r.ravel(), "c": c.ravel(), "band": k.ravel(), "value": img.ravel().astype("float32"), "error": np.full(n, None, object)})
+                pending += n
+                if pending >= FLUSH_ROWS:
+                    yield _stack(parts)
+                    parts, pending = [], 0
+            if parts:
+                yield _stack(parts)
 
     return frames.select("frame_id", "encoding", "height", "width", "data").mapInPandas(run, sc.PIXELS)
