@@ -78,8 +78,8 @@ def nearest_per_stream(
         CHUNK,
         "_need",
         F.array(
-            *[F.struct(F.lit(s).alias("s"), F.last(f"_up{i}._hit", ignorenulls=True).over(asc).alias("h")) for i, s in enumerate(streams)],
-            *[F.struct(F.lit(s).alias("s"), F.last(f"_dn{i}._hit", ignorenulls=True).over(desc).alias("h")) for i, s in enumerate(streams)],
+            *[F.struct(F.lit(s).alias("s"), F.max(f"_up{i}").over(asc)["_hit"].alias("h")) for i, s in enumerate(streams)],
+            *[F.struct(F.lit(s).alias("s"), F.min(f"_dn{i}").over(desc)["_hit"].alias("h")) for i, s in enumerate(streams)],
         ).alias("_c"),
     ).where("_need")
     carried = (

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,19 +23,26 @@ def local_session(app: str = "sensorlake", cpus: str = "8", memory: str = "8g")
     )
 
 
+def shared_folder(spark: SparkSession, kind: str) -> str:
+    """A new folder name below the shared folder in ``spark.checkpoint.dir``.
+
+    Only a local session without that setting (tests) gets a folder of its own.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        spark.sparkContext.setCheckpointDir(base)
+    return f"{base.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder and read on from there.
+    """Write ``df`` as a table to the shared checkpoint folder and read on from there.
 
-    The folder is the shared one named by ``spark.checkpoint.dir``.  Only a
-    local session without that setting (tests) gets a folder of its own.
+    The written table survives lost executors, is computed once however often
+    it is used, and has a measured size, so joins with it are planned by size.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            shared = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        sc.setCheckpointDir(shared)
-    return df.checkpoint(eager=True)
+    path = shared_folder(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,27 +2,15 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
+from pyspark.sql import DataFrame
 
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the session's checkpoint folder (a local one only in local sessions without it)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if base is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return os.path.join(base, f"stream-{uuid.uuid4().hex}")
+from sensorlake.session import shared_folder
 
 
 def run_available(df: DataFrame, mode: str = "append") -> DataFrame:
     """Process all available input once, write the emitted rows as files, and return them as a table."""
     spark = df.sparkSession
-    root = shared_folder(spark)
+    root = shared_folder(spark, "stream")
     q = df.writeStream.format("parquet").outputMode(mode).option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(df.schema).parquet(f"{root}/out")

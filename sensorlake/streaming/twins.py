@@ -58,14 +58,14 @@ class _IndexAndBest(StatefulProcessor):
         self.best = handle.getListState("best", "quality double, idx bigint, seq bigint, ts_ns bigint")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        last = None
+        first = None
         for pdf in rows:
             for r in pdf[["ts_ns", "seq", "quality"]].itertuples(index=False):
                 self.waiting.appendValue((int(r.ts_ns), int(r.seq), float(r.quality)))
-            top = int(pdf["ts_ns"].max()) // 1_000_000 + 1
-            last = top if last is None else max(last, top)
-        if last is not None:
-            self.handle.registerTimer(last)
+            low = int(pdf["ts_ns"].min()) // 1_000_000 + 1
+            first = low if first is None else min(first, low)
+        if first is not None:
+            self.handle.registerTimer(first)
         return iter([])
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
@@ -82,6 +82,7 @@ class _IndexAndBest(StatefulProcessor):
         self.best.put([tuple(b) for b in best])
         if later:
             self.waiting.put(later)
+            self.handle.registerTimer(later[0][0] // 1_000_000 + 1)
         else:
             self.waiting.clear()
         out += [(b[2], b[3], n + len(ready), b[0], f"best_{i + 1}") for i, b in enumerate(best)]
