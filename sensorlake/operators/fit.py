@@ -129,10 +129,13 @@ def plane_pca(points: DataFrame, keys: Sequence[str], xyz: Sequence[str] = ("x",
 def sample_sets(points: DataFrame, keys: Sequence[str], pid: str, size: int, hypotheses: int, columns: Sequence[str], seed: int = 0) -> DataFrame:
     """``hypotheses`` random sets of ``size`` rows per key, drawn by hash order (repeatable).
 
-    Row-number with a limit is cut on the map side, so each key sends at most
-    ``hypotheses * size`` rows per map partition.
+    First ``hypotheses * size`` rows per key are drawn; that ranking is cut on
+    the map side, so a dominant key sends no more than this per partition.
+    The sets are then drawn from this bounded sample.
     """
-    d = points.withColumn("_h", F.explode(F.sequence(F.lit(0), F.lit(hypotheses - 1))))
+    w = Window.partitionBy(*keys).orderBy(F.xxhash64(F.lit(seed), pid), pid)
+    few = points.select(*keys, pid, *columns).withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= hypotheses * size).drop("_rn")
+    d = few.withColumn("_h", F.explode(F.sequence(F.lit(0), F.lit(hypotheses - 1))))
     w = Window.partitionBy(*keys, "_h").orderBy(F.xxhash64(F.lit(seed), "_h", pid), pid)
     d = d.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= size)
     return d.groupBy(*keys, "_h").agg(F.array_sort(F.collect_list(F.struct("_rn", *columns))).alias("_set")).where(F.size("_set") == size)

@@ -91,24 +91,37 @@ def running_sums(
     totals: Mapping[str, str] | None = None,
     rows_per_chunk: int = ROWS_PER_CHUNK,
     keep: Column | None = None,
+    chunk_by: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Inclusive running sums per key; ``totals`` maps a sum to a column for its key total."""
+    """Inclusive running sums per key; ``totals`` maps a sum to a column for its key total.
+
+    What earlier chunks add up to enters each chunk as one extra first row, so
+    the data itself is shuffled once and joined with nothing.  ``chunk_by``
+    names the (numeric) leading order columns to cut at, by default the first
+    two of ``order``.
+    """
+    totals = totals or {}
     base = df.select("*", *[e.alias(f"_e_{n}") for n, e in sums.items()])
-    base = with_chunk(base, order, rows_per_chunk, keep)
-    inside = Window.partitionBy(*keys, CHUNK).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    local = base.select("*", *[F.sum(f"_e_{n}").over(inside).alias(f"_l_{n}") for n in sums])
-    part = base.groupBy(*keys, CHUNK).agg(*[F.sum(f"_e_{n}").alias(f"_p_{n}") for n in sums])
+    base = with_chunk(base, chunk_by or order[:2], rows_per_chunk, keep)
+    part = base.groupBy(*keys, CHUNK).agg(*[F.sum(f"_e_{n}").alias(f"_e_{n}") for n in sums])
     before = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)
-    offsets = part.select(
+    carry = part.select(
         *keys,
         CHUNK,
-        *[F.sum(f"_p_{n}").over(before).alias(f"_o_{n}") for n in sums],
-        *[F.sum(f"_p_{n}").over(whole).alias(out) for n, out in (totals or {}).items()],
+        *[F.sum(f"_e_{n}").over(before).alias(f"_e_{n}") for n in sums],
+        *[F.sum(f"_e_{n}").over(whole).alias(f"_t_{n}") for n in totals],
+        F.lit(0).alias("_turn"),
+    )
+    both = base.withColumn("_turn", F.lit(1)).unionByName(carry, allowMissingColumns=True)
+    inside = Window.partitionBy(*keys, CHUNK).orderBy("_turn", *order).rowsBetween(Window.unboundedPreceding, 0)
+    done = both.select(
+        *df.columns,
+        "_turn",
+        *[F.sum(f"_e_{n}").over(inside).alias(n) for n in sums],
+        *[F.first(f"_t_{n}").over(inside).alias(out) for n, out in totals.items()],
     )
-    joined = _null_safe(local, offsets, [*keys, CHUNK], "inner")
-    done = {n: F.when(F.col(f"_o_{n}").isNull(), F.col(f"_l_{n}")).otherwise(F.coalesce(F.col(f"_l_{n}"), F.lit(0)) + F.col(f"_o_{n}")) for n in sums}
-    return joined.select(*df.columns, *[c.alias(n) for n, c in done.items()], *(totals or {}).values())
+    return done.where("_turn = 1").drop("_turn")
 
 
 def running_index(
@@ -134,19 +147,13 @@ def previous_row(
     forward: bool = False,
 ) -> DataFrame:
     """``lag`` (or ``lead`` with ``forward``) of ``columns`` per key, NULL at the end of the key."""
-    base = with_chunk(df, order, rows_per_chunk)
-    inside = Window.partitionBy(*keys, CHUNK).orderBy(*order)
-    near = F.lead if forward else F.lag
-    edge = F.row_number().over(Window.partitionBy(*keys, CHUNK).orderBy(*order)) if not forward else F.lead(F.lit(1)).over(inside)
-    local = base.select("*", *[near(c).over(inside).alias(f"_l_{o}") for c, o in columns.items()], edge.alias("_edge"))
-    pick = F.min if forward else F.max
+    base = with_chunk(df, order[:2], rows_per_chunk)
+    pick, near = (F.min, F.lead) if forward else (F.max, F.lag)
     row = F.struct(*[F.col(c) for c in order], *[F.col(c).alias(f"_v_{c}") for c in columns])
-    part = base.groupBy(*keys, CHUNK).agg(pick(row).alias("_end"))
     hop = Window.partitionBy(*keys).orderBy(CHUNK)
-    carry = part.select(*keys, CHUNK, near("_end").over(hop).alias("_carry"))
-    joined = _null_safe(local, carry, [*keys, CHUNK], "inner")
-    at_edge = F.col("_edge").isNull() if forward else F.col("_edge") == 1
-    return joined.select(
-        *df.columns,
-        *[F.when(at_edge, F.col(f"_carry._v_{c}")).otherwise(F.col(f"_l_{o}")).alias(o) for c, o in columns.items()],
-    )
+    ends = base.groupBy(*keys, CHUNK).agg(pick(row).alias("_end")).select(*keys, CHUNK, near("_end").over(hop).alias("_end"))
+    carry = ends.where(F.col("_end").isNotNull()).select(*keys, CHUNK, *[F.col(f"_end._v_{c}").alias(f"_v_{c}") for c in columns], F.lit(2 if forward else 0).alias("_turn"))
+    both = base.select("*", *[F.col(c).alias(f"_v_{c}") for c in columns], F.lit(1).alias("_turn")).unionByName(carry, allowMissingColumns=True)
+    inside = Window.partitionBy(*keys, CHUNK).orderBy("_turn", *order)
+    done = both.select(*df.columns, "_turn", *[near(f"_v_{c}").over(inside).alias(o) for c, o in columns.items()])
+    return done.where("_turn = 1").drop("_turn")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sensorlake.operators.ordered import ROWS_PER_CHUNK, _null_safe, running_index
+from sensorlake.operators.ordered import ROWS_PER_CHUNK, _null_safe, running_index, running_sums
 
 
 def every_nth(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int, name: str = "idx", rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
@@ -134,9 +134,15 @@ def window_ladder(
     return d.withColumn("half_ns", F.when(F.col("_half") < 2**62, F.col("_half"))).drop("_mid", "_d", "_half")
 
 
-def exact_subset(df: DataFrame, keys: Sequence[str], n: int, seed: int = 0) -> DataFrame:
-    """Exactly ``n`` rows (all if fewer) in hash order of ``keys``: repeatable and independent of partitioning."""
-    return df.orderBy(F.xxhash64(F.lit(seed), *keys), *keys).limit(n)
+def exact_subset(df: DataFrame, keys: Sequence[str], n: int, seed: int = 0, rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
+    """Exactly ``n`` rows (all if fewer) in hash order of the unique ``keys``.
+
+    Repeatable and independent of partitioning; the hash order is ranked in
+    chunks, so ``n`` may be large.
+    """
+    d = df.withColumn("_h", F.xxhash64(F.lit(seed), *keys))
+    d = running_sums(d, [], ["_h", *keys], {"_i": F.lit(1).cast("bigint")}, rows_per_chunk=rows_per_chunk, chunk_by=["_h"])
+    return d.where(F.col("_i") <= n).drop("_h", "_i")
 
 
 def evidence_gate(df: DataFrame, keys: Sequence[str], at_least: int, reason: str) -> DataFrame:

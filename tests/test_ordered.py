@@ -113,3 +113,19 @@ def test_nearest_directions(spark):
             c = right[(right.k == l.k) & ((right.ts_ns <= l.ts_ns) if way == "backward" else (right.ts_ns >= l.ts_ns))].ts_ns
             want = None if len(c) == 0 else (c.max() if way == "backward" else c.min())
             assert (None if pd.isna(r.ts) else int(r.ts)) == want
+
+
+def test_exact_subset(spark):
+    from sensorlake.operators import sampling
+
+    df = spark.range(1000).withColumn("name", F.concat(F.lit("n"), "id"))
+    a = sampling.exact_subset(df, ["name"], 137, 5, rows_per_chunk=50).toPandas()
+    b = sampling.exact_subset(df.repartition(7), ["name"], 137, 5).toPandas()
+    assert len(a) == 137 and set(a.id) == set(b.id)
+    assert sampling.exact_subset(df, ["name"], 5000).count() == 1000
+
+
+def test_null_key_is_a_key_of_its_own(spark):
+    df = spark.createDataFrame([(None, 3, 1), (None, 1, 2), (1, 2, 3), (None, 2, 4)], "k int, ts_ns long, seq long")
+    got = {r.seq: (r.i, r.n) for r in ordered.running_index(df, ["k"], ["ts_ns", "seq"], "i", "n", rows_per_chunk=1).collect()}
+    assert got == {2: (0, 3), 4: (1, 3), 1: (2, 3), 3: (0, 1)}
