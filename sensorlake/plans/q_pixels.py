@@ -192,7 +192,18 @@ def component_panel_choice(spark, sf):
     return first_by(s, K, [F.desc("score"), F.asc("label")]).select("frame", "label", "area", "x0", "y0", "x1", "y1", F.round("score", 6).alias("score"))
 
 
-@query("largest_rectangle", "AGG-35")
+@query(
+    "largest_rectangle",
+    "AGG-35",
+    with_sql(
+        """SELECT frame, area, x0, y0, x1, y1 FROM (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY area DESC, y0, x0, x1, y1) AS rn FROM (
+  SELECT frame, y0, y1, min(c)::INT AS x0, (max(c)+1)::INT AS x1, ((max(c)+1-min(c))*(y1-y0))::BIGINT AS area FROM (
+    SELECT *, c-row_number() OVER (PARTITION BY frame, y0, y1 ORDER BY c) AS run FROM (SELECT frame, c, (r+1-k)::INT AS y0, (r+1)::INT AS y1 FROM hs, range(1,65) t(k) WHERE k<=h)) GROUP BY frame, y0, y1, run)) WHERE rn=1""",
+        "fx_pixels",
+        """ok AS (SELECT frame, r, c, r-row_number() OVER (PARTITION BY frame, c ORDER BY r) AS run FROM fx_pixels WHERE v<150),
+hs AS (SELECT frame, r, c, row_number() OVER (PARTITION BY frame, c, run ORDER BY r) AS h FROM ok)""",
+    ),
+)
 def largest_rectangle(spark, sf):
     return nb.largest_rectangle(_px(spark, sf).where("v < 150"), K)
 
