@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sensorlake.operators.ordered import CHUNK, ROWS_PER_CHUNK, with_chunk
+from sensorlake.operators.ordered import CHUNK, ROWS_PER_CHUNK, previous_row, with_chunk
+from sensorlake.session import cut_lineage
 
 
 def nearest_per_stream(
@@ -246,8 +247,10 @@ def bracketed_slice(
         parts.append(got.select(*keys, interval_id, start, end, F.col("_n.ts").alias("ts_ns"), *[F.col(f"_n.{f}").alias(f) for f in fields[1:]]))
     rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
     rows = rows.withColumn("clip_ns", F.least(F.greatest("ts_ns", start), F.col(end)))
-    w = Window.partitionBy(*keys, interval_id).orderBy("ts_ns", "seq")
-    rows = rows.withColumn("_gap", F.col("clip_ns") - F.lag("clip_ns").over(w))
-    rows = rows.where(F.col("_gap").isNull() | (F.col("_gap") > min_gap_ns)).drop("_gap")
-    rows = rows.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys, interval_id)))
-    return rows.where("_n >= 2").drop("_n")
+    # an interval may hold a large share of all samples, so it is not put into one window
+    rows = cut_lineage(rows)
+    group = [*keys, interval_id]
+    rows = previous_row(rows, group, ["ts_ns", "seq"], {"clip_ns": "_before"}, rows_per_chunk)
+    rows = rows.where(F.col("_before").isNull() | (F.col("clip_ns") - F.col("_before") > min_gap_ns)).drop("_before")
+    enough = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).where("_n >= 2").select(*group)
+    return rows.join(enough, group, "left_semi")

@@ -2,49 +2,62 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 import math
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sensorlake.session import cut_lineage
+
 DIRECTIONS = 64
 
 
-def hull_areas(points: DataFrame, keys: Sequence[str], x: str, y: str, small: int = 256) -> DataFrame:
+def hull_areas(points: DataFrame, keys: Sequence[str], x: str, y: str, rounds: int = 2) -> DataFrame:
     """Area of the convex hull per key.
 
-    Only points outside the polygon spanned by the extremes in 64 directions
-    can be hull points besides those extremes.  The extremes are an aggregate;
-    the survivors are few, and their hull is finished per key.  Keys whose
-    survivors are still many are thinned again by exact column extremes, which
-    keeps every hull vertex.
+    Points inside the polygon spanned by the extremes in 64 directions (an
+    aggregate) cannot be hull points and go first.  What is left is reduced
+    batch by batch to the batch's own hull vertices, twice with a reshuffle in
+    between, since the hull of hulls is the hull.  Only those vertices meet.
     """
     px, py = F.col(x).cast("double"), F.col(y).cast("double")
     dirs = [(math.cos(2 * math.pi * i / DIRECTIONS), math.sin(2 * math.pi * i / DIRECTIONS)) for i in range(DIRECTIONS)]
     ext = points.groupBy(*keys).agg(F.array(*[F.max(F.struct((px * a + py * b).alias("d"), px.alias("x"), py.alias("y"))) for a, b in dirs]).alias("_e"))
+    ext = cut_lineage(ext)
     j = points.select(*keys, px.alias("_x"), py.alias("_y")).join(ext, list(keys))
     n = F.size("_e")
-    edge = F.transform("_e", lambda p, i: F.struct(p["x"].alias("ax"), p["y"].alias("ay"), F.get("_e", F.pmod(i + 1, n).cast("int"))["x"].alias("bx"), F.get("_e", F.pmod(i + 1, n).cast("int"))["y"].alias("by")))
+    nxt = lambda i: F.get("_e", F.pmod(i + 1, n).cast("int"))
+    edge = F.transform("_e", lambda p, i: F.struct(p["x"].alias("ax"), p["y"].alias("ay"), nxt(i)["x"].alias("bx"), nxt(i)["y"].alias("by")))
     outside = F.exists(edge, lambda e: (e["bx"] - e["ax"]) * (F.col("_y") - e["ay"]) - (e["by"] - e["ay"]) * (F.col("_x") - e["ax"]) < 0)
-    far = j.where(outside).select(*keys, "_x", "_y")
-    # per distinct x only the lowest and highest point can be on the hull
-    cols = far.groupBy(*keys, "_x").agg(F.array_distinct(F.array(F.min("_y"), F.max("_y"))).alias("_ys")).select(*keys, "_x", F.explode("_ys").alias("_y"))
+    rest = j.where(outside).select(*keys, "_x", "_y")
     tips = ext.select(*keys, F.explode("_e").alias("e")).select(*keys, F.col("e.x").alias("_x"), F.col("e.y").alias("_y"))
-    rest = cols.unionByName(tips).distinct()
+    rest = rest.unionByName(tips)
+    names = list(keys)
+
+    def thin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for _, g in pdf.drop_duplicates().groupby(names, dropna=False):
+                g = g.sort_values(["_x", "_y"])
+                keep = set(_hull(list(zip(g["_x"], g["_y"]))))
+                yield g[[p in keep for p in zip(g["_x"], g["_y"])]]
+
+    for i in range(rounds):
+        if i:
+            rest = rest.repartition(*keys, F.pmod(F.xxhash64("_x", "_y"), F.lit(64)))
+        rest = rest.mapInPandas(thin, rest.schema)
 
     @F.pandas_udf("double")
     def area(pts: pd.Series) -> pd.Series:
         return pd.Series([_area([(p["_x"], p["_y"]) for p in v]) for v in pts])
 
-    return rest.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_x", "_y"))).alias("_p")).select(*keys, area("_p").alias("area"))
+    return rest.distinct().groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_x", "_y"))).alias("_p")).select(*keys, area("_p").alias("area"))
 
 
-def _area(pts: list[tuple[float, float]]) -> float:
-    """Hull area of points sorted by x, y: two monotone chains and the shoelace sum."""
+def _hull(pts: list[tuple[float, float]]) -> list[tuple[float, float]]:
+    """Hull vertices of distinct points sorted by x, y (all points when there are fewer than three)."""
     def chain(seq):
         out: list[tuple[float, float]] = []
         for p in seq:
@@ -53,7 +66,12 @@ def _area(pts: list[tuple[float, float]]) -> float:
             out.append(p)
         return out[:-1]
 
-    h = np.array(chain(pts) + chain(pts[::-1])) if len(pts) > 2 else np.zeros((0, 2))
+    return chain(pts) + chain(pts[::-1]) if len(pts) > 2 else pts
+
+
+def _area(pts: list[tuple[float, float]]) -> float:
+    """Hull area of points sorted by x, y, by the shoelace sum."""
+    h = np.array(_hull(pts)).reshape(-1, 2)
     if len(h) < 3:
         return 0.0
     return float(abs(np.dot(h[:, 0], np.roll(h[:, 1], -1)) - np.dot(h[:, 1], np.roll(h[:, 0], -1))) / 2)

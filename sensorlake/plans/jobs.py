@@ -198,8 +198,8 @@ def plot_mosaic(pixels: DataFrame, matches: DataFrame, width: int, height: int,
     row.  Each source pixel is sent to its nearest canvas cell.
     """
     d = pairing.pair_transform(matches, width, height, mode)
-    first = F.row_number().over(_by_time("plot")) == 1
-    d = d.withColumn("_first", first).withColumn("h", F.when(F.col("_first"), F.lit(None)).otherwise(F.col("h")))
+    d = running_index(d, ["plot"], ["ts_ns", "seq"], "_i")
+    d = d.withColumn("_first", F.col("_i") == 0).withColumn("h", F.when(F.col("_first"), F.lit(None)).otherwise(F.col("h")))
     chain = cut_lineage(trajectory.pose_chain(d.select("plot", "frame", "ts_ns", "seq", "h", "method", "_first"), ["plot"], "h", 3))
     can = cut_lineage(pairing.canvas(chain, ["plot"], "pose", width, height))
     px = pixels.join(chain.select("plot", "frame", "pose"), ["plot", "frame"]).join(can.select("plot", "tx", "ty"), "plot")
@@ -211,12 +211,6 @@ def plot_mosaic(pixels: DataFrame, matches: DataFrame, width: int, height: int,
     return {"transforms": chain, "canvas": can, "cells": blended, "quality": trajectory.trajectory_quality(pairs, ["plot"], "method", [f"rgb_feature_{mode}", f"soil_feature_{mode}", f"rgb_ecc_{mode}"])}
 
 
-def _by_time(*keys: str):
-    from pyspark.sql.window import Window
-
-    return Window.partitionBy(*keys).orderBy("ts_ns", "seq")
-
-
 def plot_windows(frames_: DataFrame, fixes: DataFrame, plots: DataFrame, keys: Sequence[str], windows: int, half_ns: int, tolerance_ns: int, min_frames: int, cell_size: float) -> DataFrame:
     """Best time window per recording and plot: most frames, the earlier window on a tie.
 
