@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sensorlake.functions import geometry as gm
 from sensorlake.operators import trajectory
 from sensorlake.plans import jobs
-from sensorlake.plans.fixtures import DAY_NS, HOUR_NS, fx_pixels, fx_points, fx_stream, with_sql
+from sensorlake.plans.fixtures import DAY_NS, fx_pixels, fx_points, fx_stream, with_sql
 from sensorlake.plans.q_geometry import PLOTS_SQL, _plots, _track
 from sensorlake.plans.registry import query
 
