@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sensorlake.llm import op2_bpe, op4_warc, op6_secrets
+from sensorlake.llm import op2_bpe, op4_warc, op6_secrets, op7_simhash, op8_mixing, op10_quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe.query,
     "op4_warc": op4_warc.query,
     "op6_secrets": op6_secrets.query,
+    "op7_simhash": op7_simhash.query,
+    "op8_mixing": op8_mixing.query,
+    "op10_quality": op10_quality.query,
 }
 
 ORACLES: dict[str, str] = {
     "op4_warc": op4_warc.SQL,
+    "op8_mixing": op8_mixing.SQL,
 }
