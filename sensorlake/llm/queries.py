@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sensorlake.llm import op1_embeddings, op2_bpe, op4_warc, op5_toxicity, op6_secrets, op7_simhash, op8_mixing, op9_topk, op10_quality
+from sensorlake.llm import op1_embeddings, op2_bpe, op3_substrings, op4_warc, op5_toxicity, op6_secrets, op7_simhash, op8_mixing, op9_topk, op10_quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embeddings": op1_embeddings.query,
     "op2_bpe": op2_bpe.query,
+    "op3_substrings": op3_substrings.query,
     "op4_warc": op4_warc.query,
     "op5_toxicity": op5_toxicity.query,
     "op6_secrets": op6_secrets.query,
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op1_embeddings": op1_embeddings.SQL,
+    "op3_substrings": op3_substrings.SQL,
     "op4_warc": op4_warc.SQL,
     "op8_mixing": op8_mixing.SQL,
     "op9_topk": op9_topk.SQL,
