@@ -17,8 +17,9 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from sensorlake.llm.common import map_rows, sha256_hex, table
+from sensorlake.llm.common import map_rows, packed, sha256_hex, table
 from sensorlake.session import cut_lineage
 
 RULES_VERSION = "2024-1"
@@ -123,18 +124,16 @@ def without_spans(text: str | None, spans: str | None, mark: str) -> str | None:
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every span that the ledger has for its content replaced by ``mark``; same columns, other rows unchanged. ``n_chars``, if there, follows the text."""
-    names = docs.columns
-    new = findings(docs)[1].where(F.col("spans") != "").select("blob", F.col("spans").alias("_spans"))
-    tagged = docs.withColumn("_blob", F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
-    tagged = tagged.join(new, tagged["_blob"] == new["blob"], "left").select(*names, "_spans")
+    new = findings(docs)[1].where(F.col("spans") != "").select("blob", "spans")
+    tagged = packed(docs, "text").withColumn("address", F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
+    tagged = tagged.join(new, tagged["address"] == new["blob"], "left").select("row", "text", "spans")
 
     def run(c: dict) -> dict:
-        return {**c, "text": [without_spans(t.as_py(), s.as_py(), mark) for t, s in zip(c["text"], c["_spans"])]}
+        return {"row": c["row"], "clean": [without_spans(t.as_py(), s.as_py(), mark) for t, s in zip(c["text"], c["spans"])]}
 
-    out = map_rows(tagged, run, docs.schema)
-    if "n_chars" in names:
-        out = out.withColumn("n_chars", F.coalesce(F.char_length("text").cast(dict(docs.dtypes)["n_chars"]), F.col("n_chars")))
-    return out.select(*names)
+    out = map_rows(tagged, run, StructType([tagged.schema["row"], StructField("clean", StringType())]))
+    fields = [F.col("clean").alias("text") if c == "text" else F.coalesce(F.char_length("clean").cast(t), F.col("row.n_chars")).alias(c) if c == "n_chars" else F.col(f"row.`{c}`") for c, t in docs.dtypes]
+    return out.select(*fields)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sensorlake.llm.common import map_rows, table, words_of
+from sensorlake.llm.common import map_rows, packed, table, unpacked, words_of
 from sensorlake.llm.components import components, forest
 from sensorlake.session import cut_lineage
 
@@ -196,11 +196,12 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", bits: int
 def keep_first(docs: DataFrame) -> DataFrame:
     """``docs`` with one document per component: that with the smallest doc_id. Of rows that share it, one stays; rows without an id stay."""
     found = classes(docs)
-    stay = found.where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(stay, docs["doc_id"] == stay["_id"], "left_semi")
+    stay = found.where("doc_id = component_id").select(F.col("doc_id").alias("stay_id")).distinct()
+    rows = packed(docs, "doc_id", "text")
+    kept = rows.join(stay, F.col("doc_id") == F.col("stay_id"), "left_semi")
     w = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    first = kept.withColumn("_nth", F.row_number().over(w)).where("_nth = 1").select(*docs.columns)
-    return first.unionByName(docs.where(F.col("doc_id").isNull()))
+    first = kept.withColumn("nth", F.row_number().over(w)).where("nth = 1").select("row")
+    return unpacked(first.union(rows.where(F.col("doc_id").isNull()).select("row")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

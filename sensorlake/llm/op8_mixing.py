@@ -14,7 +14,7 @@ source, a pair of key and id, so a document's share is a comparison and texts ne
 * rows that share an id share a key and are taken together or not at all
 * a source without words has target 0; an empty table gives an empty mix
 * the table of sources is one row per source and small against the documents
-* other columns are untouched and may have any name, except that names from ``_mix`` on are used inside
+* other columns are untouched and may have any name
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
-from sensorlake.llm.common import map_rows, table, text_bytes
+from sensorlake.llm.common import map_rows, packed, table, text_bytes, unpacked
 from sensorlake.session import cut_lineage
 
 #: Weights of the sources in the order of their names, repeating; share of all words that the mix takes; most epochs of a source.
@@ -35,11 +35,11 @@ LETTERS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
 
 def measure(docs: DataFrame) -> DataFrame:
-    """``docs`` with _mix_size (words) and _mix_weight (share of ASCII letters among bytes, above 0)."""
+    """``docs`` with _mix_size (words) and _mix_weight (share of ASCII letters among bytes, above 0); the text is a column or within ``row``."""
 
     def run(c: dict) -> dict:
         sizes, weights = [], []
-        for t in c["text"]:
+        for t in c["text"] if "text" in c else c["row"].field("text"):
             b = text_bytes(t.as_py())
             sizes.append(len(b.split()))
             weights.append((1 + len(b) - len(b.translate(None, LETTERS))) / (1 + len(b)))
@@ -120,8 +120,8 @@ def shares(rows: DataFrame, cuts: DataFrame) -> DataFrame:
 def mix(docs: DataFrame) -> DataFrame:
     """The mix itself: rows of ``docs``, repeated as often as they are taken; same columns. One pass for the cuts, one for the rows."""
     small = cut_lineage(keyed(measure(docs.select("doc_id", "source", "text")).drop("text")))
-    got = shares(keyed(measure(docs)), cut_lineage(plan(small)))
-    return got.where("_mix_times > 0").withColumn("_mix_nth", F.explode(F.sequence(F.lit(1), "_mix_times"))).select(*docs.columns)
+    got = shares(keyed(measure(packed(docs, "doc_id", "source"))), cut_lineage(plan(small)))
+    return unpacked(got.where("_mix_times > 0").select("row", F.explode(F.sequence(F.lit(1), "_mix_times"))))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
