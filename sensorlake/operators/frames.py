@@ -66,20 +66,42 @@ def valid_fraction(masks: DataFrame, frame: str, sensor: str, sensors: Sequence[
     return d.select(frame, *[share(s).alias(s) for s in sensors], share("_all").alias("common"))
 
 
-def component_score(df: DataFrame, guide: Column, width: int, height: int) -> DataFrame:
-    """Score connected components (``x0, y0, x1, y1, area``) against the guide box.
+# Weights, gates and pads of the two component scores.
+GUIDED_WEIGHTS = {"iou": 4.0, "fill": 1.2, "area": 0.8, "centre": 0.8, "size": 0.5, "aspect": 1.0}
+GUIDED_ASPECT = (0.55, 4.0)
+CONTRAST_GATES = {"area": 80, "width": 25, "height": 18, "aspect": (0.7, 4.5)}
+CONTRAST_SIDE, CONTRAST_CENTRE = 15.0, 0.8
 
-    Overlap and fill raise it; distance from the guide's centre, a differing
-    size and an elongated shape lower it.
+
+def component_score(df: DataFrame, guide: Column, roi_area: float) -> DataFrame:
+    """Score connected components (``x0, y0, x1, y1, area``) against the guide box within a region of ``roi_area`` pixels.
+
+    Overlap, fill and size raise it; distance from the guide's centre, a
+    differing width or height and an unusual shape lower it.
     """
-    b = box(F.col("x0") * 1.0, F.col("y0") * 1.0, F.col("x1") * 1.0, F.col("y1") * 1.0)
-    d = df.withColumn("_b", b).withColumn("_g", guide)
+    k = GUIDED_WEIGHTS
+    one = F.lit(1.0)
+    d = df.withColumn("_b", box(F.col("x0") * 1.0, F.col("y0") * 1.0, F.col("x1") * 1.0, F.col("y1") * 1.0)).withColumn("_g", guide)
+    w, h = F.greatest(F.col("x1") - F.col("x0"), one), F.greatest(F.col("y1") - F.col("y0"), one)
+    gw, gh = F.greatest(F.col("_g.x1") - F.col("_g.x0"), one), F.greatest(F.col("_g.y1") - F.col("_g.y0"), one)
+    dx = (F.col("x0") + F.col("x1")) * 0.5 - (F.col("_g.x0") + F.col("_g.x1")) * 0.5
+    dy = (F.col("y0") + F.col("y1")) * 0.5 - (F.col("_g.y0") + F.col("_g.y1")) * 0.5
+    off = F.sqrt(dx * dx + dy * dy) / F.greatest(F.sqrt(gw * gw + gh * gh), one)
+    size = F.abs(F.log(F.greatest(w / gw, F.lit(0.1)))) + F.abs(F.log(F.greatest(h / gh, F.lit(0.1))))
+    odd = F.when((w / h).between(*GUIDED_ASPECT), 0.0).otherwise(k["aspect"])
+    gain = k["iou"] * box_iou(F.col("_b"), F.col("_g")) + k["fill"] * F.least(F.col("area") / (w * h), one) + k["area"] * F.least(F.col("area") / F.lit(max(1.0, float(roi_area))), one)
+    return d.withColumn("score", gain - k["centre"] * off - k["size"] * size - odd).drop("_b", "_g")
+
+
+def contrast_component_score(df: DataFrame, projected: Column | None = None) -> DataFrame:
+    """Components that pass the size gates, scored by area and short side, less the distance from the projected box's centre."""
+    g = CONTRAST_GATES
     w, h = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
-    fill = F.col("area") / F.greatest(w * h, F.lit(1))
-    gx, gy = (F.col("_g.x0") + F.col("_g.x1")) / 2, (F.col("_g.y0") + F.col("_g.y1")) / 2
-    dx, dy = ((F.col("x0") + F.col("x1")) / 2 - gx) / width, ((F.col("y0") + F.col("y1")) / 2 - gy) / height
-    ratio = F.col("area") / F.greatest(box_area(F.col("_g")), F.lit(1.0))
-    aspect = F.greatest(w, h) / F.greatest(F.least(w, h), F.lit(1))
-    # Weights of the score terms.
-    s = 3.0 * box_iou(F.col("_b"), F.col("_g")) + 0.7 * fill - 1.5 * F.sqrt(dx * dx + dy * dy) - 0.4 * F.abs(F.log(F.greatest(ratio, F.lit(1e-3)))) - 0.2 * F.greatest(aspect - 3.0, F.lit(0.0))
-    return d.withColumn("score", s).drop("_b", "_g")
+    d = df.where((F.col("area") >= g["area"]) & (w >= g["width"]) & (h >= g["height"]) & (w / F.greatest(h, F.lit(1))).between(*g["aspect"]))
+    score = F.col("area") + CONTRAST_SIDE * F.least(w, h)
+    if projected is None:
+        return d.withColumn("score", score)
+    d = d.withColumn("_g", projected)
+    dx = (F.col("x0") + w * 0.5) - (F.col("_g.x0") + F.col("_g.x1")) * 0.5
+    dy = (F.col("y0") + h * 0.5) - (F.col("_g.y0") + F.col("_g.y1")) * 0.5
+    return d.withColumn("score", F.when(F.col("_g").isNull(), score).otherwise(score - CONTRAST_CENTRE * F.sqrt(dx * dx + dy * dy))).drop("_g")

@@ -23,7 +23,8 @@ def subgrid_options(a: DataFrame, b: DataFrame, label: str, min_common: tuple[in
     d = d.where((F.col("cc") >= min_common[0]) & (F.col("cr") >= min_common[1]))
     for name, full, common in (("ar0", "ar", "cr"), ("ac0", "ac", "cc"), ("br0", "br", "cr"), ("bc0", "bc", "cc")):
         d = d.withColumn(name, F.explode(F.sequence(F.lit(0), F.col(full) - F.col(common))))
-    opt = ((F.col("ar0") * 64 + F.col("ac0")) * 64 + F.col("br0")) * 64 + F.col("bc0")
+    base = F.greatest(F.lit(64), "ar", "ac", "br", "bc").cast("bigint")
+    opt = ((F.col("ar0") * base + F.col("ac0")) * base + F.col("br0")) * base + F.col("bc0")
     return d.withColumn("opt", opt)
 
 

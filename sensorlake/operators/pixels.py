@@ -15,8 +15,10 @@ from sensorlake.operators.ordered import _null_safe
 from sensorlake.operators.quantiles import attach_quantiles, exact_quantiles
 
 # Weight of the mean absolute gradient and of the saturated share.
-QUALITY_WEIGHTS = {"campaign": (0.35, 25.0), "partial_grid": (0.35, 0.0), "thermal": (0.4, 0.0)}
+QUALITY_WEIGHTS = {"campaign": (0.35, 25.0), "partial_grid": (0.35, 0.0), "thermal": (0.35, 35.0), "intrinsics": (0.25, 18.0)}
 SATURATED = (2, 253)
+# Fixed value: added to the length of the parity product so that flat grids score zero.
+PARITY_FLOOR = 1e-6
 
 
 def image_quality(pixels: DataFrame, keys: Sequence[str], value: str, grad_weight: float, sat_weight: float, r: str = "r", c: str = "c") -> DataFrame:
@@ -34,11 +36,10 @@ def with_band(pixels: DataFrame, p: int, r: str = "r", c: str = "c") -> DataFram
     return pixels.select("*", (F.pmod(rr, F.lit(p)) * p + F.pmod(cc, F.lit(p))).cast("int").alias("band"), F.floor(rr / p).cast("int").alias("br"), F.floor(cc / p).cast("int").alias("bc"))
 
 
-def complete_blocks(pixels: DataFrame, keys: Sequence[str], p: int, max_rows: int | None = None, r: str = "r", c: str = "c") -> DataFrame:
-    """Pixels of whole p x p blocks only, after an optional row crop."""
-    d = pixels if max_rows is None else pixels.where(F.col(r) < max_rows)
-    size = nb.frame_size(d, keys, r, c)
-    d = _null_safe(d, size, keys, "inner")
+def complete_blocks(pixels: DataFrame, keys: Sequence[str], p: int, r: str = "r", c: str = "c") -> DataFrame:
+    """Pixels of whole p x p blocks only."""
+    size = nb.frame_size(pixels, keys, r, c)
+    d = _null_safe(pixels, size, keys, "inner")
     return d.where((F.col(r) < F.col("_nr") - F.pmod("_nr", F.lit(p))) & (F.col(c) < F.col("_nc") - F.pmod("_nc", F.lit(p)))).drop("_nr", "_nc")
 
 
@@ -148,12 +149,15 @@ def destripe(pixels: DataFrame, keys: Sequence[str], value: str, r: str = "r", c
 
 
 def parity_score(cells: DataFrame, keys: Sequence[str], i: str, j: str, mean: str) -> DataFrame:
-    """|correlation| of inner-cell means with the checker parity, and 100 * corr + 0.25 * level difference."""
+    """|correlation| of inner-cell means with the checker parity, and 100 * corr + 0.25 * level difference.
+
+    The parity is +1 / -1 and is not centred, so grids with an odd number of cells differ from a textbook correlation.
+    """
     sign = F.when(F.pmod(F.col(i) + F.col(j), F.lit(2)) == 0, 1.0).otherwise(-1.0)
     g = cells.withColumn("_p", sign).groupBy(*keys).agg(
-        F.abs(F.corr(mean, "_p")).alias("corr"), F.abs(F.avg(F.when(F.col("_p") > 0, F.col(mean))) - F.avg(F.when(F.col("_p") < 0, F.col(mean)))).alias("diff")
+        F.abs(F.sum(F.col(mean) * F.col("_p")) - F.avg(mean) * F.sum("_p")).alias("_d"), (F.sqrt(F.var_pop(mean) * F.count(mean) * F.count(mean)) + PARITY_FLOOR).alias("_l"), F.abs(F.avg(F.when(F.col("_p") > 0, F.col(mean))) - F.avg(F.when(F.col("_p") < 0, F.col(mean)))).alias("diff")
     )
-    return g.withColumn("score", 100.0 * F.col("corr") + 0.25 * F.col("diff"))
+    return g.withColumn("corr", F.col("_d") / F.col("_l")).drop("_d", "_l").withColumn("score", 100.0 * F.col("corr") + 0.25 * F.col("diff"))
 
 
 def inner_cell_means(pixels: DataFrame, cands: DataFrame, keys: Sequence[str], value: str, bucket: int = 32, margin: float = 0.18, r: str = "r", c: str = "c") -> DataFrame:

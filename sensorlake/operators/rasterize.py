@@ -17,8 +17,6 @@ from sensorlake.functions.color import clip, stretch_u8
 from sensorlake.operators.ordered import ROWS_PER_CHUNK, _null_safe
 from sensorlake.operators.quantiles import attach_quantiles, exact_quantiles
 
-MAX_DENSITY = 65535
-
 
 def raster_meta(points: DataFrame, res: float, x: str = "x", y: str = "y", pad_cells: float = 2.0) -> DataFrame:
     """One row ``emin, emax, nmin, nmax, res, width, height`` from the extent of the points."""
@@ -45,7 +43,7 @@ def with_cells(points: DataFrame, meta: DataFrame, x: str = "x", y: str = "y") -
 def surface_max(points: DataFrame, cell: Sequence[str], z: str, tie: Sequence[str], payload: Sequence[str]) -> DataFrame:
     """Highest point of each cell (the last to arrive on a tie) with its payload and the density."""
     top = F.max(F.struct(F.col(z).alias("_z"), *tie, *payload))
-    g = points.groupBy(*cell).agg(top.alias("_t"), F.least(F.count(F.lit(1)), F.lit(MAX_DENSITY)).alias("n"))
+    g = points.groupBy(*cell).agg(top.alias("_t"), F.count(F.lit(1)).alias("n"))
     return g.select(*cell, F.col("_t._z").alias(z), *[F.col(f"_t.{p}").alias(p) for p in payload], "n")
 
 
@@ -59,7 +57,7 @@ def surface_p95(
     top = F.max(F.struct(F.col(z).alias("_z"), *tie, *payload))
     g = d.groupBy(*cell).agg(near.alias("_n"), top.alias("_t"), F.count(F.lit(1)).alias("_c"))
     pick = lambda f: F.when(F.col("_c") >= min_points, F.col(f"_n.{f}")).otherwise(F.col(f"_t.{f}"))
-    return g.select(*cell, pick("_z").alias(z), *[pick(p).alias(p) for p in payload], F.least(F.col("_c"), F.lit(MAX_DENSITY)).alias("n"))
+    return g.select(*cell, pick("_z").alias(z), *[pick(p).alias(p) for p in payload], F.col("_c").alias("n"))
 
 
 def topdown_max(points: DataFrame, cell: Sequence[str], intensity: str, height: str) -> DataFrame:

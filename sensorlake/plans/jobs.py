@@ -126,14 +126,15 @@ def register_scans(scans: DataFrame, pairs: DataFrame, max_corr: float, iteratio
     ``scans`` has ``scan, pid, x, y, z``; ``pairs`` has ``pair, src, dst,
     guess, r, t``.  Each round joins the moved source points to their nearest
     destination points and refits; a (pair, guess) stops when its RMSE changes
-    by less than 1e-5 or it has too few matches.  The loop's state is one row
+    by less than 1e-5 or it has too few matches.  ``converged`` says whether the
+    chosen guess stopped by that rule within ``iterations`` (``rounds`` it took).  The loop's state is one row
     per (pair, guess).  Returns the guess with the lowest RMSE - 1e-6 * matches
-    per pair: ``pair, guess, r, t, n, rmse``.
+    per pair: ``pair, guess, r, t, n, rmse, rounds, converged``.
     """
     key = ["pair", "guess"]
     src = pairs.select(*key, F.col("src").alias("scan")).join(scans, "scan").select(*key, "pid", "x", "y", "z")
     dst = pairs.select(*key, F.col("dst").alias("scan")).join(scans, "scan").select(*key, "pid", "x", "y", "z")
-    state = cut_lineage(pairs.select(*key, "r", "t", F.lit(0).cast("bigint").alias("n"), F.lit(None).cast("double").alias("rmse"), F.lit(True).alias("open")))
+    state = cut_lineage(pairs.select(*key, "r", "t", F.lit(0).cast("bigint").alias("n"), F.lit(None).cast("double").alias("rmse"), F.lit(True).alias("open"), F.lit(0).alias("rounds")))
     for _ in range(iterations):
         live = state.where("open").select(*key, "r", "t")
         m = src.join(live, key)
@@ -151,13 +152,13 @@ def register_scans(scans: DataFrame, pairs: DataFrame, max_corr: float, iteratio
         state = cut_lineage(
             j.select(
                 *key, F.when(step, new_r).otherwise(F.col("r")).alias("r"), F.when(step, new_t).otherwise(F.col("t")).alias("t"),
-                F.when(step, F.col("_n")).otherwise(F.col("n")).alias("n"), F.when(step, F.col("_rmse")).otherwise(F.col("rmse")).alias("rmse"), F.coalesce(still, F.lit(False)).alias("open"),
+                F.when(step, F.col("_n")).otherwise(F.col("n")).alias("n"), F.when(step, F.col("_rmse")).otherwise(F.col("rmse")).alias("rmse"), F.coalesce(still, F.lit(False)).alias("open"), (F.col("rounds") + F.col("open").cast("int")).alias("rounds"),
             )
         )
         if state.where("open").isEmpty():
             break
     score = F.coalesce("rmse", F.lit(999.0)) - 1e-6 * F.col("n")
-    return ranking.first_by(state, ["pair"], [score, F.col("guess")]).select("pair", "guess", "r", "t", "n", "rmse")
+    return ranking.first_by(state, ["pair"], [score, F.col("guess")]).select("pair", "guess", "r", "t", "n", "rmse", "rounds", (~F.col("open") & F.col("rmse").isNotNull()).alias("converged"))
 
 
 def initial_guesses(pairs: DataFrame, distance: str) -> DataFrame:
@@ -359,7 +360,7 @@ SWEEP_LOW, SWEEP_HIGH, SWEEP_GAMMA = 0.08, 0.97, 0.75
 VEG_BASE, VEG_GAIN = 0.18, 0.82
 
 
-def sweep_intensity(cells: DataFrame, vegetation: DataFrame, pixel: Sequence[str], value: str = "intensity", sigma: float = 2.0) -> DataFrame:
+def sweep_intensity(cells: DataFrame, vegetation: DataFrame, pixel: Sequence[str], value: str = "intensity", sigma: float = 3.0) -> DataFrame:
     """Brightest sweep value per pixel on a display curve, weighted by the blurred vegetation mask.
 
     ``cells`` has one row per sweep and pixel; ``vegetation`` one row per pixel
@@ -367,8 +368,8 @@ def sweep_intensity(cells: DataFrame, vegetation: DataFrame, pixel: Sequence[str
     row and column.
     """
     *key, r, c = pixel
-    top = cut_lineage(cells.groupBy(*pixel).agg(F.max(value).alias("v")))
-    q = attach_quantiles(top, [], "v", {"_lo": SWEEP_LOW, "_hi": SWEEP_HIGH})
+    top = cells.where(F.col(value).isNotNull()).groupBy(*pixel).agg(F.max(value).alias("v"))
+    q = attach_quantiles(top, key, "v", {"_lo": SWEEP_LOW, "_hi": SWEEP_HIGH})
     tone = color.gamma_curve(F.col("v"), F.col("_lo"), F.col("_hi"), SWEEP_GAMMA, 1.0)
     veg = nb.blur(vegetation, key, "veg", sigma, "_veg", r, c)
     d = q.join(veg, list(pixel))

@@ -365,7 +365,7 @@ def homography_selection(spark, sf):
     "AGG-37",
     with_sql(
         """SELECT k, n, r AS n_reliable, f AS n_fallback, round(r/n,3) AS reliable_fraction, round(f/n,3) AS fallback_fraction,
-  CASE WHEN f=0 AND r/n>=0.85 THEN 'production_candidate' ELSE 'review_required' END AS quality FROM (
+  CASE WHEN f=0 AND r/n>=0.85 THEN 'production_candidate' ELSE 'visual_review_only' END AS quality FROM (
   SELECT k, count(*) AS n, count_if(st IN ('view','click'))::BIGINT AS r, count_if(st='error' AND v>95)::BIGINT AS f FROM fx_stream GROUP BY k)""",
         "fx_stream",
     ),

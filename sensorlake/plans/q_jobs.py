@@ -94,7 +94,7 @@ def coloured_cloud_raster(spark, sf):
 
 @query("scan_registration", "JOB-04 JN-15 AGG-23 WIN-11 AGG-37")
 def scan_registration(spark, sf):
-    p = fx_points(spark, sf).where("tax >= 7")
+    p = fx_points(spark, sf)
     base = p.select(F.struct("seq", "sub").alias("pid"), F.xxhash64("seq", "sub").alias("h"), "x", F.col("y").alias("y"), F.col("z").alias("z"))
     s0 = base.select(F.lit(0).alias("scan"), F.col("h").alias("pid"), "x", "y", "z")
     r = gm.rodrigues(F.lit(0.002), F.lit(-0.001), F.lit(0.004))
@@ -102,8 +102,8 @@ def scan_registration(spark, sf):
     s1 = base.select(F.lit(1).alias("scan"), F.col("h").alias("pid"), *[v.alias(n) for v, n in zip(q, "xyz")])
     pair = spark.range(1).select(F.lit("0-1").alias("pair"), F.lit(1).alias("src"), F.lit(0).alias("dst"), F.lit(0.05).alias("step"))
     g = jobs.initial_guesses(pair, "step")
-    d = jobs.register_scans(s0.unionByName(s1), g, 0.6, iterations=6)
-    return d.select("pair", "guess", "n", F.round("rmse", 4).alias("rmse"), *[F.round(F.get("t", F.lit(i)), 4).alias(f"t{i}") for i in range(3)])
+    d = jobs.register_scans(s0.unionByName(s1), g, 0.6)
+    return d.select("pair", "guess", "n", "converged", F.round("rmse", 4).alias("rmse"), *[F.round(F.get("t", F.lit(i)), 4).alias(f"t{i}") for i in range(3)])
 
 
 HV = (1.02, 0.01, 2.0, -0.01, 0.98, 1.0, 0.0001, 0.0002, 1.0)

@@ -188,7 +188,7 @@ def component_panel_choice(spark, sf):
     from sensorlake.operators.ranking import first_by
 
     lab = nb.label_components(_px(spark, sf).where("v >= 150"), K, tile=32)
-    s = fr.component_score(nb.component_table(lab, K), gm.box(16.0, 16.0, 48.0, 48.0), 64, 64)
+    s = fr.component_score(nb.component_table(lab, K), gm.box(16.0, 16.0, 48.0, 48.0), 64.0 * 64.0)
     return first_by(s, K, [F.desc("score"), F.asc("label")]).select("frame", "label", "area", "x0", "y0", "x1", "y1", F.round("score", 6).alias("score"))
 
 
@@ -308,7 +308,7 @@ def threshold_variant_counts(spark, sf):
     "parity_cell_score",
     "AGG-28",
     with_sql(
-        """SELECT frame, cand, round(abs(corr(m,p)),6) AS corr, round(100*abs(corr(m,p))+0.25::DOUBLE*abs(avg(m) FILTER (p>0)-avg(m) FILTER (p<0)),6) AS score FROM (SELECT frame, cand, ci, cj, avg(v) AS m, CASE WHEN (ci+cj)%2=0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS p FROM (
+        """SELECT frame, cand, round(abs(sum(m*p)-avg(m)*sum(p))/(sqrt(var_pop(m)*count(*)*count(*))+1e-6),6) AS corr, round(100*(abs(sum(m*p)-avg(m)*sum(p))/(sqrt(var_pop(m)*count(*)*count(*))+1e-6))+0.25::DOUBLE*abs(avg(m) FILTER (p>0)-avg(m) FILTER (p<0)),6) AS score FROM (SELECT frame, cand, ci, cj, avg(v) AS m, CASE WHEN (ci+cj)%2=0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS p FROM (
   SELECT frame, cand, v, floor((r+0.5::DOUBLE-y0)/h)::INT AS ci, floor((c+0.5::DOUBLE-x0)/w)::INT AS cj, (r+0.5::DOUBLE-y0)/h AS vv, (c+0.5::DOUBLE-x0)/w AS uu FROM fx_pixels, (SELECT i AS cand, i*7.0::DOUBLE AS x0, i*3.0::DOUBLE AS y0, (5+i)::DOUBLE AS w, (6+i)::DOUBLE AS h FROM range(4) t(i)))
   WHERE uu-cj BETWEEN 0.18 AND 0.82 AND vv-ci BETWEEN 0.18 AND 0.82 AND ci BETWEEN 0 AND 3 AND cj BETWEEN 0 AND 4 GROUP BY frame, cand, ci, cj) GROUP BY frame, cand""",
         "fx_pixels",

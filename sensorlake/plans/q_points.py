@@ -27,7 +27,7 @@ def _cells(spark, sf, res):
     "dsm_max_surface",
     "AGG-05 SCL-17",
     with_sql(
-        """SELECT row, col, z, intensity, least(n, 65535) AS n FROM (SELECT *, count(*) OVER (PARTITION BY row, col) AS n,
+        """SELECT row, col, z, intensity, n FROM (SELECT *, count(*) OVER (PARTITION BY row, col) AS n,
   row_number() OVER (PARTITION BY row, col ORDER BY z DESC, seq DESC, sub DESC) AS rn FROM cells) WHERE rn=1""",
         "fx_points",
         cells_sql(0.5),
@@ -53,7 +53,7 @@ def dsm_p95_surface(spark, sf):
     return rz.surface_p95(_cells(spark, sf, 0.2), ["row", "col"], "z", TIE, ["intensity"])
 
 
-@query("density_raster", "AGG-07", with_sql("SELECT row, col, least(count(*), 65535) AS n FROM cells GROUP BY row, col", "fx_points", cells_sql(1.0)))
+@query("density_raster", "AGG-07", with_sql("SELECT row, col, count(*) AS n FROM cells GROUP BY row, col", "fx_points", cells_sql(1.0)))
 def density_raster(spark, sf):
     return rz.surface_max(_cells(spark, sf, 1.0), ["row", "col"], "z", TIE, []).select("row", "col", "n")
 

@@ -118,12 +118,13 @@ def frame_index_names(spark, sf):
 @query(
     "review_folder_sets",
     "SRC-15",
-    with_sql("SELECT 'f'||k AS frame_id, count(DISTINCT st) AS files FROM fx_stream WHERE st IN ('click','view','error','purchase') AND v>60 GROUP BY k HAVING count(DISTINCT st)=4", "fx_stream"),
+    with_sql("SELECT 'f'||k||'_'||(ts_ns//259200000000000) AS frame_id, count(DISTINCT st) AS files FROM fx_stream WHERE st IN ('click','view','error','purchase') GROUP BY 1 HAVING count(DISTINCT st)=4", "fx_stream"),
 )
 def review_folder_sets(spark, sf):
-    s = fx_stream(spark, sf).where("v > 60")
+    s = fx_stream(spark, sf)
+    frame = F.concat(F.lit("f"), F.col("k"), F.lit("_"), F.call_function("div", F.col("ts_ns"), F.lit(3 * DAY_NS)))
     name = F.when(F.col("st") == "click", "rgb.jpg").when(F.col("st") == "view", "vis.jpg").when(F.col("st") == "error", "nir.jpg").when(F.col("st") == "purchase", "thermal_c.jpg")
-    d = recordings.review_sets(s.select(F.concat_ws("/", F.lit("file:/in"), F.concat(F.lit("f"), F.col("k")), name).alias("path")))
+    d = recordings.review_sets(s.select(F.concat_ws("/", F.lit("file:/in"), frame, name).alias("path")))
     return d.select("frame_id", F.lit(4).cast("bigint").alias("files"))
 
 
@@ -274,16 +275,17 @@ def geojson_features(spark, sf):
     "geojson_track_lines",
     "SNK-02",
     with_sql(
-        "SELECT k, p AS part, count(*) AS vertices FROM (SELECT k, i//40 AS p FROM ix UNION ALL SELECT k, i//40-1 FROM ix WHERE i%40=0 AND i>0) GROUP BY k, p HAVING count(*)>1",
+        "SELECT k, count(*) AS vertices, max(v) FILTER (i=0) AS lon_0, max(v) FILTER (i=40) AS lon_40, max(v) FILTER (i=n-1) AS lon_last FROM ix GROUP BY k HAVING count(*)>1",
         "fx_stream",
-        "ix AS (SELECT k, row_number() OVER (PARTITION BY k ORDER BY ts_ns, seq)-1 AS i FROM fx_stream)",
+        "ix AS (SELECT k, v, row_number() OVER (PARTITION BY k ORDER BY ts_ns, seq)-1 AS i, count(*) OVER (PARTITION BY k) AS n FROM fx_stream)",
     ),
 )
 def geojson_track_lines(spark, sf):
     s = fx_stream(spark, sf).select("k", "ts_ns", "seq", F.col("v").alias("lon"), F.lit(45.0).alias("lat"))
     d = sinks.feature_lines(s, ["k"], ["ts_ns", "seq"], "lon", "lat", 40)
-    n = F.size(F.from_json("value", "geometry struct<coordinates: array<array<double>>>")["geometry"]["coordinates"])
-    return d.select("k", "part", n.cast("bigint").alias("vertices"))
+    c = F.from_json("value", "geometry struct<coordinates: array<array<double>>>")["geometry"]["coordinates"]
+    lon = lambda i: F.try_element_at(F.try_element_at(c, F.lit(i)), F.lit(1))
+    return d.select("k", F.size(c).cast("bigint").alias("vertices"), lon(1).alias("lon_0"), lon(41).alias("lon_40"), lon(-1).alias("lon_last"))
 
 
 @query(
@@ -498,10 +500,10 @@ def mosaic_canvas(spark, sf):
 @query(
     "pixel_band_preview",
     "SCL-25",
-    with_sql("SELECT frame, (r//4)::INT AS br, (c//4)::INT AS bc, round(avg(v),6) AS mean FROM fx_pixels WHERE r<40 GROUP BY 1,2,3", "fx_pixels"),
+    with_sql("SELECT frame, (r//4)::INT AS br, (c//4)::INT AS bc, round(avg(v),6) AS mean FROM fx_pixels GROUP BY 1,2,3", "fx_pixels"),
 )
 def pixel_band_preview(spark, sf):
     from sensorlake.operators.pixels import complete_blocks, with_band
 
-    d = complete_blocks(fx_pixels(spark, sf).select("frame", "r", "c", "v"), ["frame"], 4, max_rows=40)
+    d = complete_blocks(fx_pixels(spark, sf).select("frame", "r", "c", "v"), ["frame"], 4)
     return with_band(d, 4).groupBy("frame", "br", "bc").agg(F.round(F.avg("v"), 6).alias("mean"))

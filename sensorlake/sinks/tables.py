@@ -31,20 +31,22 @@ def feature_points(df: DataFrame, lon: str = "gps_lon", lat: str = "gps_lat") ->
 
 
 def feature_lines(df: DataFrame, keys: Sequence[str], order: Sequence[str], lon: str, lat: str, part_len: int = 10_000, rows_per_chunk: int | None = None) -> DataFrame:
-    """One LineString feature per key and stretch of at most ``part_len`` vertices, in track order.
+    """One LineString feature per key with at least two vertices, in track order.
 
-    Long tracks are written as consecutive parts that share their end point, so
-    no group is larger than ``part_len`` + 1 positions.
+    Stretches of ``part_len`` vertices become text in parallel; a track's line
+    is those texts in order, so only the text of one feature meets in a task.
     """
     args = {} if rows_per_chunk is None else {"rows_per_chunk": rows_per_chunk}
     d = running_index(df.where(F.col(lon).isNotNull() & F.col(lat).isNotNull()), keys, order, "_i", **args)
     part = F.call_function("div", F.col("_i"), F.lit(part_len).cast("bigint"))
-    share = F.when((F.pmod("_i", F.lit(part_len)) == 0) & (F.col("_i") > 0), F.array(part - 1, part)).otherwise(F.array(part))
-    d = d.withColumn("part", F.explode(share))
-    pts = F.transform(F.array_sort(F.collect_list(F.struct("_i", F.array(F.col(lon), F.col(lat)).alias("p")))), lambda s: s["p"])
-    g = d.groupBy(*keys, "part").agg(pts.alias("_c")).where(F.size("_c") > 1)
-    f = F.struct(F.lit("Feature").alias("type"), F.struct(F.lit("LineString").alias("type"), F.col("_c").alias("coordinates")).alias("geometry"), F.struct(*keys, "part").alias("properties"))
-    return g.select(*keys, "part", F.to_json(f).alias("value"))
+    in_order = lambda at, what: F.transform(F.array_sort(F.collect_list(F.struct(at, what))), lambda s: s["p"])
+    pts = in_order("_i", F.array(F.col(lon), F.col(lat)).alias("p"))
+    g = d.withColumn("part", part).groupBy(*keys, "part").agg(pts.alias("_c"))
+    text = F.to_json("_c")
+    g = g.select(*keys, "part", F.size("_c").alias("_n"), F.substring(text, F.lit(2), F.length(text) - 2).alias("p"))
+    g = g.groupBy(*keys).agg(F.sum("_n").alias("_n"), F.array_join(in_order("part", "p"), ",").alias("_t")).where("_n > 1")
+    head, tail = '{"type":"Feature","geometry":{"type":"LineString","coordinates":[', ']},"properties":'
+    return g.select(*keys, F.concat(F.lit(head), "_t", F.lit(tail), F.to_json(F.struct(*keys)), F.lit("}")).alias("value"))
 
 
 def write_geojson_lines(features: DataFrame, path: str) -> None:

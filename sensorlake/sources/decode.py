@@ -75,7 +75,8 @@ def explode_clouds(clouds: DataFrame, fields: Sequence[str] = POINT_FIELDS) -> D
 
     ``fields`` (array of name, offset, datatype) describes the layout; the
     argument ``fields`` limits which are decoded.  Clouds are stored azimuth by
-    azimuth, so ring = i mod height and column = i div height.
+    azimuth, so ring = i mod height and column = i div height.  A missing or
+    short buffer gives one row with ``error`` and no point.
     """
     wanted = [f for f in POINT_FIELDS if f in fields]
     kinds = {"x": "f4", "y": "f4", "z": "f4", "intensity": "f4", "t": "i8", "reflectivity": "i4", "noise": "i4", "range": "i8"}
@@ -88,9 +89,15 @@ def explode_clouds(clouds: DataFrame, fields: Sequence[str] = POINT_FIELDS) -> D
                 have = [f for f in wanted if layout.get(f, (0, None))[1]]
                 dtype = np.dtype({"names": have, "formats": [layout[f][1] for f in have], "offsets": [layout[f][0] for f in have], "itemsize": int(m.point_step)})
                 n = int(m.height) * int(m.width)
+                if m.data is None or len(m.data) < n * int(m.point_step) or dtype.itemsize == 0:
+                    why = "no data" if m.data is None else "short buffer"
+                    parts.append({"bag_id": [m.bag_id], "cloud_ts": [m.cloud_ts], "i": [None], "h": [int(m.height)], **{f: [None] for f in POINT_FIELDS}, "error": [why]})
+                    pending += 1
+                    continue
                 rec = np.frombuffer(m.data, dtype, count=n)
                 out = {"bag_id": np.full(n, m.bag_id, object), "cloud_ts": np.full(n, m.cloud_ts), "i": np.arange(n, dtype="int32"), "h": np.full(n, int(m.height), "int32")}
                 out.update({f: rec[f].astype(kinds[f]) if f in have else np.full(n, None, object) for f in POINT_FIELDS})
+                out["error"] = np.full(n, None, object)
                 parts.append(out)
                 pending += n
                 if pending >= FLUSH_ROWS:
@@ -100,11 +107,11 @@ def explode_clouds(clouds: DataFrame, fields: Sequence[str] = POINT_FIELDS) -> D
             if parts:
                 yield _stack(parts)
 
-    schema = sc.POINTS + ", h int"
+    schema = sc.POINTS + ", h int, error string"
     names = [c.split()[0] for c in schema.split(", ")]
     d = clouds.select("bag_id", "cloud_ts", "height", "width", "point_step", "fields", "data").mapInPandas(lambda it: (p[names] for p in run(it)), schema)
     ring, col = F.pmod("i", "h"), F.floor(F.col("i") / F.col("h")).cast("int")
-    return d.select("bag_id", "cloud_ts", "i", ring.alias("ring"), col.alias("col"), *POINT_FIELDS)
+    return d.select("bag_id", "cloud_ts", "i", ring.alias("ring"), col.alias("col"), *POINT_FIELDS, "error")
 
 
 # Sample type and bands (in blue, green, red order) per encoding.
