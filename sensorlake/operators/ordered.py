@@ -2,17 +2,15 @@
 
 A window ``PARTITION BY key ORDER BY ts`` sorts each key in a single task, so
 one dominant recording decides the run time of the job.  Here the order axis
-is first cut into chunks of about equal numbers of rows of the *whole* table:
-whatever key a row has, a (key, chunk) group can hold at most about one chunk's
-share.  Work inside a chunk is an ordinary window; what crosses a chunk boundary
-(an offset, a previous row) comes from one pre-aggregated row per (key, chunk).
-
-The cuts come from a histogram of the order axis: plain counts per bucket, reduced
-on the map side.  Its number of buckets, and with it the number of chunks, follows
-the number of rows without a ceiling; a bucket that is still crowded is cut again,
-by time or, where it holds a single instant, by the second order column.  Both
-passes are scalar subqueries, so nothing is collected on the driver and small
-inputs get exactly one chunk.
+is first cut at approximate quantiles of the *whole* table: whatever key a row
+has, a (key, chunk) group can hold at most about one chunk's share of all rows.
+Work inside a chunk is an ordinary window; what crosses a chunk boundary (an
+offset, a previous row) comes from one pre-aggregated row per (key, chunk).
+
+Quantiles are taken in two steps: groups of input partitions are sketched side
+by side, then the few values that each group gives are merged by their weights.
+The cut points are a scalar subquery of one row, so nothing is collected on the
+driver; small inputs get exactly one chunk, large ones as many as their rows ask for.
 """
 
 from __future__ import annotations
@@ -25,14 +23,47 @@ from pyspark.sql.window import Window
 
 CHUNK = "_chunk"
 ROWS_PER_CHUNK = 2_000_000
-#: Buckets per chunk, and the least number of buckets once there is more than one chunk.
-BUCKETS_PER_CHUNK, LEAST_BUCKETS = 4, 256
+#: Groups of input partitions that are sketched in parallel, values that each gives, steps of the search among the cut points.
+GROUPS, VALUES, SEARCH_STEPS = 256, 256, 17
+_GRID = f"cast(split('{','.join(str((i + 0.5) / VALUES) for i in range(VALUES))}', ',') AS array<double>)"
 
 
-def _share(x: Column, lo: Column, hi: Column, n: Column) -> Column:
-    """Which of ``n`` equal stretches of [lo, hi] holds ``x``: 0 for NULL, the last for NaN, never falling as ``x`` grows."""
-    at = F.floor(F.least(F.greatest((x - lo) / (hi - lo), F.lit(0.0)), F.lit(1.0)) * n)
-    return F.when(F.isnan(x), n - 1).when(hi > lo, F.least(at, n - 1)).otherwise(F.lit(0)).cast("bigint")
+def _cut_points(df: DataFrame, order: Sequence[str], rows_per_chunk: int, keep: Column | None = None) -> DataFrame:
+    """One row: arrays b0, b1 of cut points, one per full chunk of rows below; a value that spans several chunks repeats. NULL if one chunk is enough."""
+    columns = list(order[:2])
+    held = [] if keep is None else [F.max(keep).alias("keep")]
+    sketches = [F.expr(f"percentile_approx(`{c}`, {_GRID}, {16 * VALUES})").alias(f"q{i}") for i, c in enumerate(columns)]
+    groups = df.withColumn("_g", F.pmod(F.spark_partition_id(), F.lit(GROUPS))).groupBy("_g").agg(F.count(F.lit(1)).alias("n"), *sketches, *held)
+    keeps = [F.max("keep").alias("keep")] if held else []
+    one = groups.agg(F.sum("n").alias("n"), F.collect_list(F.struct("n", *[f"q{i}" for i in range(len(columns))])).alias("g"), *keeps)
+
+    def merged(q: str, kind: str) -> Column:
+        values = F.flatten(F.transform("g", lambda g: F.transform(g[q], lambda x: F.struct(x.alias("x"), (g["n"] / F.lit(float(VALUES))).alias("w")))))
+        nothing = F.struct(F.lit(0.0).alias("below"), F.array().cast(f"array<{kind}>").alias("cuts"))
+
+        def take(s: Column, v: Column) -> Column:
+            below = s["below"] + v["w"]
+            due = (F.floor(below / F.lit(float(rows_per_chunk))) - F.size(s["cuts"])).cast("int")
+            return F.struct(below.alias("below"), F.when(due > 0, F.concat(s["cuts"], F.array_repeat(v["x"], due))).otherwise(s["cuts"]).alias("cuts"))
+
+        return F.aggregate(F.array_sort(values), nothing, take)["cuts"]
+
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+    many = F.col("n") > F.lit(rows_per_chunk)
+    cuts = [F.when(many, merged(f"q{i}", kinds[c])).alias(f"b{i}") for i, c in enumerate(columns)]
+    return one.select(F.struct(*cuts, *(["keep"] if held else [])).alias("cuts"))
+
+
+def _rank_in(cuts: Column, value: Column, strict: bool) -> Column:
+    """How many cut points lie below ``value`` (binary search by halving steps)."""
+    steps = F.array(*[F.lit(1 << s) for s in reversed(range(SEARCH_STEPS))])
+
+    def step(lo: Column, jump: Column) -> Column:
+        probe = F.get(cuts, lo + jump - 1)
+        hit = probe < value if strict else probe <= value
+        return F.when(hit, lo + jump).otherwise(lo)
+
+    return F.aggregate(steps, F.lit(0), step)
 
 
 def with_chunk(
@@ -44,40 +75,20 @@ def with_chunk(
     """Add ``_chunk``, non-decreasing in the lexicographic order of ``order[:2]``.
 
     Rows that share one value of ``order[0]`` in bulk (a stuck clock) are
-    spread over several chunks by ``order[1]``.  ``keep`` names a column the
-    counting passes should not prune, so that a shuffle below ``df`` is the
-    same in those passes and is run once.
+    spread over the chunks that value spans by the rank of ``order[1]``.
+    ``keep`` names a column the cut-point pass should not prune, so that a
+    shuffle below ``df`` is the same in that pass and is run once.
     """
-    rows = F.lit(float(rows_per_chunk))
-    number = lambda c: F.col(c).cast("double")
-    value, tie = number(order[0]), number(order[1] if len(order) > 1 else order[0])
-    held = [] if keep is None else [F.max(keep).alias("_keep")]
-    known = F.when(~F.isnan(value), value)
-    total = df.agg(F.count(F.lit(1)).alias("n"), F.min(known).alias("lo"), F.max(known).alias("hi"), *held)
-    wide = F.greatest(F.lit(LEAST_BUCKETS), F.ceil(F.col("n") * BUCKETS_PER_CHUNK / rows))
-    total = total.select(F.struct("lo", "hi", F.when(F.col("n") > rows, wide).otherwise(F.lit(1)).cast("bigint").alias("k")).alias("all"))
-
-    def bucket(d: DataFrame) -> DataFrame:
-        a = F.col("_all")
-        return d.withColumn("_all", total.scalar()).withColumn("_bucket", F.when(a["k"] == 1, F.lit(0)).otherwise(F.coalesce(_share(value, a["lo"], a["hi"], a["k"]), F.lit(0))).cast("bigint"))
-
-    counts = bucket(df).groupBy("_bucket").agg(
-        F.count(F.lit(1)).alias("c"), F.coalesce(F.min(order[0]) == F.max(order[0]), F.lit(False)).alias("tie"), F.min(value).alias("v0"), F.max(value).alias("v1"), F.min(tie).alias("t0"), F.max(tie).alias("t1"), *held
-    )
-    grid = total.select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("all.k") - 1)).alias("_b"))
-    counts = grid.join(counts, F.col("_b") == F.col("_bucket"), "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    before = F.coalesce(F.sum("c").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    start = F.floor(F.col("before") / rows)
-    parts = F.when(F.col("c") > rows, F.floor((F.col("before") + F.col("c")) / rows) - start + 1).otherwise(F.lit(1))
-    pick = lambda t, v: F.when(F.col("tie"), F.col(t)).otherwise(F.col(v))
-    cuts = counts.withColumn("before", before).select("_b", F.struct(start.cast("bigint").alias("start"), parts.cast("bigint").alias("parts"), "tie", pick("t0", "v0").alias("lo"), pick("t1", "v1").alias("hi")).alias("cut"))
-    cuts = cuts.agg(F.transform(F.array_sort(F.collect_list(F.struct("_b", "cut"))), lambda e: e["cut"]).alias("cuts"))
-
-    d = bucket(df).withColumn("_cut", F.get(cuts.scalar(), F.col("_bucket").cast("int")))
-    c = F.col("_cut")
-    inside = F.when(c["parts"] > 1, F.coalesce(_share(F.when(c["tie"], tie).otherwise(value), c["lo"], c["hi"], c["parts"]), F.lit(0))).otherwise(F.lit(0))
-    chunk = F.when(F.col("_all.k") == 1, F.lit(0)).otherwise(F.coalesce(c["start"] + inside, F.lit(0)))
-    return d.withColumn(CHUNK, chunk.cast("int")).drop("_all", "_bucket", "_cut")
+    cuts = _cut_points(df, order, rows_per_chunk, keep)
+    df = df.withColumn("_cuts", cuts.scalar())
+    first, value = F.col("_cuts.b0"), F.col(order[0])
+    low = _rank_in(first, value, strict=True)
+    if len(order) > 1:
+        span = _rank_in(first, value, strict=False) - low
+        tie = _rank_in(F.col("_cuts.b1"), F.col(order[1]), strict=False)
+        spread = F.when(span > 0, F.floor((tie * (span + 1)) / (F.size(first) + 1)).cast("int")).otherwise(F.lit(0))
+        low = low + spread
+    return df.withColumn(CHUNK, F.when(first.isNull(), F.lit(0)).otherwise(low)).drop("_cuts")
 
 
 def _null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
