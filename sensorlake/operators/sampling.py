@@ -140,7 +140,8 @@ def exact_subset(df: DataFrame, keys: Sequence[str], n: int, seed: int = 0, rows
     Repeatable and independent of partitioning; the hash order is ranked in
     chunks, so ``n`` may be large.
     """
-    d = df.withColumn("_h", F.xxhash64(F.lit(seed), *keys))
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]).cast("binary"))
+    d = df.withColumn("_h", F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint"))
     d = running_sums(d, [], ["_h", *keys], {"_i": F.lit(1).cast("bigint")}, rows_per_chunk=rows_per_chunk, chunk_by=["_h"])
     return d.where(F.col("_i") <= n).drop("_h", "_i")
 

@@ -140,12 +140,12 @@ def label_equi_join(spark, sf):
         """SELECT doc_id, CASE WHEN coalesce(a.det,false) THEN 'raw_production' WHEN coalesce(b.det,false) THEN 'scalar_fallback' ELSE 'none' END AS source_priority,
   CASE WHEN coalesce(a.det,false) THEN true WHEN coalesce(b.det,false) THEN true ELSE false END AS detected,
   CASE WHEN coalesce(a.det,false) THEN a.score WHEN coalesce(b.det,false) THEN b.score ELSE coalesce(a.score,b.score) END AS score
-FROM (SELECT doc_id, n_chars>2000 AS det, n_chars AS score FROM fx_docs WHERE lang<>'de') a FULL JOIN (SELECT doc_id, quality=1 AS det, quality*50::BIGINT+toxic AS score FROM labels) b USING (doc_id)""",
+FROM (SELECT doc_id, n_chars>2000 AS det, n_chars AS score FROM fx_docs) a FULL JOIN (SELECT doc_id, quality=1 AS det, quality*50::BIGINT+toxic AS score FROM labels) b USING (doc_id)""",
         "fx_docs",
     ),
 )
 def precedence_merge(spark, sf):
-    a = fx_docs(spark, sf).where("lang <> 'de'").select("doc_id", (F.col("n_chars") > 2000).alias("detected"), F.col("n_chars").alias("score"))
+    a = fx_docs(spark, sf).select("doc_id", (F.col("n_chars") > 2000).alias("detected"), F.col("n_chars").alias("score"))
     b = table(spark, sf, "labels").select("doc_id", (F.col("quality") == 1).alias("detected"), (F.col("quality") * 50 + F.col("toxic")).cast("bigint").alias("score"))
     return mg.precedence_merge(a, b, ["doc_id"], "detected", ["score"])
 
@@ -172,13 +172,13 @@ def gapfill_antijoin(spark, sf):
   CASE WHEN b.score IS NOT NULL AND (a.score IS NULL OR b.score>a.score) THEN b.score ELSE a.score END AS score,
   CASE WHEN b.score IS NOT NULL AND (a.score IS NULL OR b.score>a.score) THEN b.method ELSE a.method END AS method,
   CASE WHEN b.score IS NOT NULL AND (a.score IS NULL OR b.score>a.score) THEN a.score END AS alternative_score
-FROM (SELECT doc_id, n_chars/100.0::DOUBLE AS score, lang AS method FROM fx_docs WHERE source<>'news') a
+FROM (SELECT doc_id, n_chars/100.0::DOUBLE AS score, lang AS method FROM fx_docs) a
 FULL JOIN (SELECT doc_id, quality*20.0::DOUBLE+toxic AS score, 'label' AS method FROM labels) b USING (doc_id)""",
         "fx_docs",
     ),
 )
 def existing_or_new(spark, sf):
-    a = fx_docs(spark, sf).where("source <> 'news'").select("doc_id", (F.col("n_chars") / F.lit(100.0)).alias("score"), F.col("lang").alias("method"))
+    a = fx_docs(spark, sf).select("doc_id", (F.col("n_chars") / F.lit(100.0)).alias("score"), F.col("lang").alias("method"))
     b = table(spark, sf, "labels").select("doc_id", (F.col("quality") * F.lit(20.0) + F.col("toxic")).alias("score"), F.lit("label").alias("method"))
     return mg.keep_better(a, b, ["doc_id"], "score", ["method"])
 
@@ -403,7 +403,16 @@ def rank_unique_names(spark, sf):
     return d.select("k", "st", "v", F.col("rank").cast("bigint").alias("rank"))
 
 
-@query("greedy_suppression", "WIN-14")
+def _suppression_sql(distance: float, keep: int) -> str:
+    """The rounds one after the other: the best of what is left, then what it leaves."""
+    parts = ["l0 AS (SELECT flag, seq, sub, x, y, price FROM fx_points)"]
+    for i in range(keep):
+        parts.append(f"b{i} AS MATERIALIZED (SELECT * FROM l{i} QUALIFY row_number() OVER (PARTITION BY flag ORDER BY price DESC, seq, sub)=1)")
+        parts.append(f"l{i + 1} AS MATERIALIZED (SELECT l.* FROM l{i} l JOIN b{i} b USING (flag) WHERE sqrt((l.x-b.x)*(l.x-b.x)+(l.y-b.y)*(l.y-b.y))>{distance}::DOUBLE)")
+    return with_sql(" UNION ALL ".join(f"SELECT flag, price, seq, sub, x, y, {i + 1} AS rank FROM b{i}" for i in range(keep)), "fx_points", *parts)
+
+
+@query("greedy_suppression", "WIN-14", _suppression_sql(12.0, 8))
 def greedy_suppression(spark, sf):
     from sensorlake.plans.fixtures import fx_points
 

@@ -288,14 +288,14 @@ def presentation_samples(spark, sf):
     "JOB-14 WIN-05 JN-17 AGG-33",
     with_sql(
         """SELECT sensor, count(*) AS n, count_if(used)::BIGINT AS kept_existing, count_if(used AND a IS NOT NULL)::BIGINT AS with_alternative FROM (SELECT sensor, a, b IS NOT NULL AND (a IS NULL OR b>a) AS used FROM (
-  SELECT k, st AS sensor, max(CASE WHEN v>80 THEN 5e5::DOUBLE ELSE 0 END+v+0.1::DOUBLE*(seq%97)) AS a FROM fx_stream WHERE st<>'error' GROUP BY k, st) FULL JOIN (SELECT k, st AS sensor, max(v)*5000 AS b FROM fx_stream WHERE k%3=0 GROUP BY k, st) USING (k, sensor)) GROUP BY sensor""",
+  SELECT k, st AS sensor, max(CASE WHEN v>80 THEN 5e5::DOUBLE ELSE 0 END+v+0.1::DOUBLE*(seq%97)) AS a FROM fx_stream GROUP BY k, st) FULL JOIN (SELECT k, st AS sensor, max(v)*5000 AS b FROM fx_stream GROUP BY k, st) USING (k, sensor)) GROUP BY sensor""",
         "fx_stream",
     ),
 )
 def campaign_consolidation(spark, sf):
     s = fx_stream(spark, sf)
-    a = s.where("st <> 'error'").select("k", F.col("st").alias("sensor"), F.when(F.col("v") > 80, "model_strong").otherwise("weak_reject").alias("confidence"), F.col("v").alias("score"), F.pmod("seq", F.lit(97)).alias("quality"), F.col("seq").alias("pos"), F.lit("new").alias("method"))
-    e = s.where("k % 3 = 0").groupBy("k", F.col("st").alias("sensor")).agg((F.max("v") * 5000).alias("score")).withColumn("method", F.lit("old"))
+    a = s.select("k", F.col("st").alias("sensor"), F.when(F.col("v") > 80, "model_strong").otherwise("weak_reject").alias("confidence"), F.col("v").alias("score"), F.pmod("seq", F.lit(97)).alias("quality"), F.col("seq").alias("pos"), F.lit("new").alias("method"))
+    e = s.groupBy("k", F.col("st").alias("sensor")).agg((F.max("v") * 5000).alias("score")).withColumn("method", F.lit("old"))
     return jobs.consolidate_campaign(a, e, ["k", "sensor"])["counts"]
 
 

@@ -177,13 +177,34 @@ def homography_warp(spark, sf):
     return nb.warp(p, p, K, F.array(*[F.lit(v) for v in H]), "v").withColumn("v", F.round("v", 6))
 
 
-@query("label_components", "RAS-05")
+# Components by reachability, and the half-open box and area of each.
+LABELLED = """hot AS MATERIALIZED (SELECT frame, r, c, r*2147483648::BIGINT+c AS id FROM fx_pixels WHERE v>=150),
+near AS MATERIALIZED (SELECT a.frame, a.id AS a, b.id AS b FROM hot a JOIN (SELECT frame, r+i AS r, c+j AS c, id FROM hot, (SELECT unnest([-1,0,1]) AS i), (SELECT unnest([-1,0,1]) AS j)) b ON a.frame=b.frame AND a.r=b.r AND a.c=b.c),
+reach(frame, id, root) AS (SELECT frame, id, id FROM hot UNION SELECT reach.frame, near.b, reach.root FROM reach JOIN near ON near.frame=reach.frame AND near.a=reach.id WHERE near.b>reach.root),
+lab AS (SELECT frame, id, min(root) AS label FROM reach GROUP BY frame, id),
+comp AS (SELECT frame, label, count(*) AS area, min(id%2147483648)::INT AS x0, min(id//2147483648)::INT AS y0, (max(id%2147483648)+1)::INT AS x1, (max(id//2147483648)+1)::INT AS y1 FROM lab GROUP BY frame, label)"""
+
+
+@query("label_components", "RAS-05", with_sql("SELECT frame, label, area, x0, y0, x1, y1 FROM comp", "fx_pixels", LABELLED, recursive=True))
 def label_components(spark, sf):
     lab = nb.label_components(_px(spark, sf).where("v >= 150"), K, tile=32)
     return nb.component_table(lab, K).select("frame", "label", "area", "x0", "y0", "x1", "y1")
 
 
-@query("component_panel_choice", "AGG-42 RAS-05")
+@query(
+    "component_panel_choice",
+    "AGG-42 RAS-05",
+    with_sql(
+        """SELECT frame, label, area, x0, y0, x1, y1, round(score,6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY score DESC, label) AS rn FROM (
+  SELECT *, 4.0::DOUBLE*inter/((x1-x0)*(y1-y0)+1024.0::DOUBLE-inter)+1.2::DOUBLE*least(area/((x1-x0)*(y1-y0))::DOUBLE,1)+0.8::DOUBLE*least(area/4096.0::DOUBLE,1)
+    -0.8::DOUBLE*sqrt(pow((x0+x1)*0.5::DOUBLE-32,2)+pow((y0+y1)*0.5::DOUBLE-32,2))/sqrt(2048.0::DOUBLE)
+    -0.5::DOUBLE*(abs(ln(greatest((x1-x0)/32.0::DOUBLE,0.1)))+abs(ln(greatest((y1-y0)/32.0::DOUBLE,0.1))))-CASE WHEN (x1-x0)/(y1-y0)::DOUBLE BETWEEN 0.55 AND 4.0 THEN 0 ELSE 1 END AS score
+  FROM (SELECT *, greatest(least(x1,48)-greatest(x0,16),0)*greatest(least(y1,48)-greatest(y0,16),0)::DOUBLE AS inter FROM comp))) WHERE rn=1""",
+        "fx_pixels",
+        LABELLED,
+        recursive=True,
+    ),
+)
 def component_panel_choice(spark, sf):
     from sensorlake.operators.ranking import first_by
 

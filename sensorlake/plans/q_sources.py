@@ -477,6 +477,16 @@ def overlay_metrics(spark, sf):
 @query(
     "hull_area",
     "SCL-14 SCL-31",
+    with_sql(
+        """SELECT board, round(-sum(part),6) AS area FROM (SELECT board, list_sum(list_transform(range(1, len(s)), lambda k: (s[k+1].x-s[k].x)*(s[k+1].y+s[k].y)/2)) AS part FROM chain WHERE i>len(p)) GROUP BY board""",
+        "fx_points",
+        """cols AS (SELECT ts_ns//86400000000000//30 AS board, x, min(y) AS lo, max(y) AS hi FROM fx_points GROUP BY 1, 2),
+side AS (SELECT board, list({'x': x, 'y': lo} ORDER BY x) AS p FROM cols GROUP BY board UNION ALL SELECT board, list({'x': x, 'y': -hi} ORDER BY x) FROM cols GROUP BY board),
+chain(board, p, i, s) AS (SELECT board, p, 1, p[1:0] FROM side UNION ALL SELECT board, p,
+  CASE WHEN len(s)>1 AND (s[-1].x-s[-2].x)*(p[i].y-s[-2].y)-(s[-1].y-s[-2].y)*(p[i].x-s[-2].x)<=0 THEN i ELSE i+1 END,
+  CASE WHEN len(s)>1 AND (s[-1].x-s[-2].x)*(p[i].y-s[-2].y)-(s[-1].y-s[-2].y)*(p[i].x-s[-2].x)<=0 THEN s[1:-2] ELSE list_append(s, p[i]) END FROM chain WHERE i<=len(p))""",
+        recursive=True,
+    ),
 )
 def hull_area(spark, sf):
     from sensorlake.operators.hull import hull_areas

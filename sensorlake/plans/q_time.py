@@ -409,6 +409,7 @@ def stream_mode_value(spark, sf):
 @query(
     "hash_subset",
     "FLT-17",
+    with_sql("SELECT * FROM (SELECT * FROM slim QUALIFY row_number() OVER (ORDER BY CAST('0x'||substr(md5('31:'||seq),1,15) AS BIGINT), seq)<=500)", "fx_stream", "slim AS (SELECT seq, k, st, ts_ns FROM fx_stream)"),
 )
 def hash_subset(spark, sf):
     from sensorlake.operators import sampling
