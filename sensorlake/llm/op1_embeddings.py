@@ -39,8 +39,10 @@ from sensorlake.session import cut_lineage
 COSINE = 0.9
 BLOCK_DIMS = 8
 #: Rows of one part of a slab; bins of the leading coordinate.
-PART, BINS = 12288, 2048
+PART, BINS = 24576, 2048
 SLACK = 1e-9
+#: What single precision may be off by in a block's product; vectors have length one.
+SINGLE_SLACK = 1e-5
 
 
 def rotation(d: int) -> np.ndarray:
@@ -134,7 +136,8 @@ def _histograms(nodes: DataFrame) -> dict[int, np.ndarray]:
 
 def _dealt(nodes: DataFrame, layouts: dict[int, Layout]) -> DataFrame:
     """Every row once for each pair of parts that it takes part in: (dim, block, low, high, part, node, copies, embedding)."""
-    schema = "dim int, block int, low bigint, high bigint, part bigint, node bigint, copies bigint, embedding array<double>"
+    kind = dict(nodes.dtypes)["embedding"]
+    schema = f"dim int, block int, low bigint, high bigint, part bigint, node bigint, copies bigint, embedding {kind}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -166,40 +169,49 @@ def _dealt(nodes: DataFrame, layouts: dict[int, Layout]) -> DataFrame:
     return nodes.select("dim", "node", "copies", "embedding").mapInArrow(run, schema)
 
 
-def near_pairs(x: np.ndarray, y: np.ndarray, b: int, cosine: float, same: bool, step: int = 256, most: int = 50_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Positions of pairs with cosine at least ``cosine`` that block ``b`` is the first to find. ``same``: x is y, each pair once."""
-    d = x.shape[1]
+def near_pairs(x: np.ndarray, y: np.ndarray, b: int, cosine: float, same: bool, rows: int = 256, columns: int = 4096, most: int = 50_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of pairs with cosine at least ``cosine`` that block ``b`` is the first to find. ``same``: x is y, each pair once.
+
+    Tiles are compared in single precision with some slack, by one product of vectors
+    that carry half their squared length: a.b - |a|^2 / 2 - |b|^2 / 2. What passes is judged in double precision.
+    """
     ux, uy = unit(x), unit(y)
-    q, bounds, share = rotation(d), block_bounds(d), budgets(d, cosine)
+    q, bounds, share = rotation(x.shape[1]), block_bounds(x.shape[1]), budgets(x.shape[1], cosine)
     rx, ry = ux @ q, uy @ q
     lo, hi = bounds[b]
     radius = math.sqrt(share[b])
     order_x, order_y = np.argsort(rx[:, lo], kind="stable"), np.argsort(ry[:, lo], kind="stable")
     lead = ry[order_y, lo]
-    by = ry[order_y, lo:hi]
-    ny = (by * by).sum(axis=1)
-    for at in range(0, len(x), step):
-        i_rows = order_x[at : at + step]
-        bx = rx[i_rows, lo:hi]
-        s, e = np.searchsorted(lead, bx[0, 0] - radius, "left"), np.searchsorted(lead, bx[-1, 0] + radius, "right")
-        dist = (bx * bx).sum(axis=1)[:, None] + ny[None, s:e] - 2 * (bx @ by[s:e].T)
-        i, j = np.nonzero(dist <= share[b])
-        i, j = i_rows[i], order_y[s + j]
-        if same:
-            keep = i < j
-            i, j = i[keep], j[keep]
-        for cut in range(0, len(i), most):
-            p, r = i[cut : cut + most], j[cut : cut + most]
-            for c in range(b):
-                if not len(p):
-                    break
-                diff = rx[p, bounds[c][0] : bounds[c][1]] - ry[r, bounds[c][0] : bounds[c][1]]
-                later = (diff * diff).sum(axis=1) > share[c]
-                p, r = p[later], r[later]
-            if len(p):
-                near = np.einsum("ij,ij->i", ux[p], uy[r]) >= cosine
-                if near.any():
-                    yield p[near], r[near]
+    half = lambda m: (m * m).sum(axis=1, keepdims=True) / 2
+    bx, by = rx[order_x, lo:hi], ry[order_y, lo:hi]
+    ax = np.hstack([bx, -half(bx), np.ones((len(bx), 1))]).astype(np.float32)
+    ay = np.ascontiguousarray(np.hstack([by, np.ones((len(by), 1)), -half(by)]).astype(np.float32).T)
+    least = np.float32(-share[b] / 2 - SINGLE_SLACK)
+    for at in range(0, len(x), rows):
+        i_rows = order_x[at : at + rows]
+        s, e = np.searchsorted(lead, bx[at, 0] - radius, "left"), np.searchsorted(lead, bx[at + len(i_rows) - 1, 0] + radius, "right")
+        for start in range(s, e, columns):
+            hits = np.flatnonzero(ax[at : at + rows] @ ay[:, start : min(e, start + columns)] >= least)
+            if not len(hits):
+                continue
+            i, j = np.divmod(hits, min(e, start + columns) - start)
+            i, j = i_rows[i], order_y[start + j]
+            if same:
+                keep = i < j
+                i, j = i[keep], j[keep]
+            for cut in range(0, len(i), most):
+                p, r = i[cut : cut + most], j[cut : cut + most]
+                for c in (b, *range(b)):
+                    if not len(p):
+                        break
+                    diff = rx[p, bounds[c][0] : bounds[c][1]] - ry[r, bounds[c][0] : bounds[c][1]]
+                    inside = np.einsum("ij,ij->i", diff, diff) <= share[c]
+                    keep = inside if c == b else ~inside
+                    p, r = p[keep], r[keep]
+                if len(p):
+                    near = np.einsum("ij,ij->i", ux[p], uy[r]) >= cosine
+                    if near.any():
+                        yield p[near], r[near]
 
 
 def join(nodes: DataFrame, cosine: float = COSINE, part: int = PART) -> DataFrame:
@@ -240,8 +252,7 @@ def deduplicate(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     # Ids may repeat with different vectors, so nodes are numbered by the digest, the smallest id is kept beside it.
     reps = reps.withColumn("node", F.conv(F.substring("digest", 1, 15), 16, 10).cast("long"))
     first = good.join(reps.withColumnRenamed("digest", "r_digest"), (F.col("digest") == F.col("r_digest")) & (F.col("vec_id") == F.col("least"))).select("node", "copies", "embedding")
-    vec = F.transform("embedding", lambda x: x.cast("double"))
-    nodes = cut_lineage(first.dropDuplicates(["node"]).withColumn("embedding", vec))
+    nodes = cut_lineage(first.dropDuplicates(["node"]))
     found = cut_lineage(join(nodes, cosine))
     counts = found.where("b IS NULL").groupBy(F.col("a").alias("c_node")).agg(F.sum("n").alias("n"))
     roots = components(found.where("b IS NOT NULL"))

@@ -370,7 +370,16 @@ def ground_relative_height(spark, sf):
     return fit.ground_height(p, ["flag"]).select("seq", "sub", F.round("height", 5).alias("height"))
 
 
-@query("plane_fit_pca", "AGG-24")
+# Smallest eigenvalue of the covariance in closed form; its direction is the longest cross product of two rows of (covariance - eigenvalue).
+PLANE_SQL = """m AS (SELECT flag, count(*) AS n, covar_pop(x,x) AS xx, covar_pop(x,y) AS xy, covar_pop(x,z) AS xz, covar_pop(y,y) AS yy, covar_pop(y,z) AS yz, covar_pop(z,z) AS zz FROM fx_points GROUP BY flag),
+q AS (SELECT *, (xx+yy+zz)/3 AS q FROM m),
+p AS (SELECT *, sqrt(((xx-q)*(xx-q)+(yy-q)*(yy-q)+(zz-q)*(zz-q)+2*(xy*xy+xz*xz+yz*yz))/6) AS p FROM q),
+e AS (SELECT *, q+2*p*cos(acos(least(greatest(((xx-q)*((yy-q)*(zz-q)-yz*yz)-xy*(xy*(zz-q)-yz*xz)+xz*(xy*yz-(yy-q)*xz))/(2*p*p*p),-1),1))/3+2*pi()/3) AS l FROM p),
+c AS (SELECT flag, n, l, unnest([{'a': xy*yz-xz*(yy-l), 'b': xz*xy-(xx-l)*yz, 'c': (xx-l)*(yy-l)-xy*xy}, {'a': xy*(zz-l)-xz*yz, 'b': xz*xz-(xx-l)*(zz-l), 'c': (xx-l)*yz-xy*xz}, {'a': (yy-l)*(zz-l)-yz*yz, 'b': yz*xz-xy*(zz-l), 'c': xy*yz-(yy-l)*xz}]) AS v FROM e),
+b AS (SELECT *, sqrt(v.a*v.a+v.b*v.b+v.c*v.c)*CASE WHEN v.c<0 THEN -1 ELSE 1 END AS s FROM c QUALIFY row_number() OVER (PARTITION BY flag ORDER BY v.a*v.a+v.b*v.b+v.c*v.c DESC)=1)"""
+
+
+@query("plane_fit_pca", "AGG-24", with_sql("SELECT flag, n, round(v.a/s,6)+0.0 AS n0, round(v.b/s,6)+0.0 AS n1, round(v.c/s,6)+0.0 AS n2, round(sqrt(greatest(l,0)),6) AS rms FROM b", "fx_points", PLANE_SQL))
 def plane_fit_pca(spark, sf):
     p = fit.plane_pca(fx_points(spark, sf), ["flag"])
     return p.select("flag", "n", *[F.round(F.get("normal", F.lit(i)), 6).alias(f"n{i}") for i in range(3)], F.round("rms", 6).alias("rms"))

@@ -65,7 +65,24 @@ def _dem_px(spark, sf):
     return fx_pixels(spark, sf).select("frame", "r", "c", "v")
 
 
-@query("painted_surface", "JOB-02 AGG-12 SCL-09 SCL-18 FLT-15")
+def _paint_sql() -> str:
+    """Highest z per cell, seen by every frame whose ground box holds the cell's centre, painted from the best one."""
+    from sensorlake.plans.q_points import cells_sql
+
+    return with_sql(
+        """SELECT row, col, frame, round(score,6) AS score, v FROM (SELECT row, col, s.frame, score, p.v, row_number() OVER (PARTITION BY row, col ORDER BY score DESC, s.frame, s.r, s.c) AS rn FROM s JOIN fx_pixels p ON p.frame=s.frame AND p.r=s.r AND p.c=s.c) WHERE rn=1""",
+        "fx_points",
+        "fx_pixels",
+        cells_sql(0.5),
+        """top AS (SELECT row, col, max(z) AS z, min(emin)+(col+0.5::DOUBLE)*0.5::DOUBLE AS ex, min(nmax)-(row+0.5::DOUBLE)*0.5::DOUBLE AS ny FROM cells, meta GROUP BY row, col),
+seen AS (SELECT row, col, frame, ex-(frame*11.0::DOUBLE+6) AS a, ny-5 AS b, z+20 AS d FROM top JOIN (SELECT DISTINCT frame FROM fx_pixels) f ON ex BETWEEN frame*11.0::DOUBLE AND frame*11.0::DOUBLE+14 AND ny BETWEEN 0 AND 10),
+lens AS (SELECT *, 1+((a/d)*(a/d)+(b/d)*(b/d))*(-0.1::DOUBLE+((a/d)*(a/d)+(b/d)*(b/d))*0.01::DOUBLE) AS k FROM seen),
+pix AS (SELECT row, col, frame, round_even(180*(a/d)*k+32,0)::INT AS c, round_even(180*(b/d)*k+32,0)::INT AS r FROM lens WHERE d>0.05),
+s AS (SELECT *, -(((c-32)/22.4::DOUBLE)*((c-32)/22.4::DOUBLE)+((r-32)/22.4::DOUBLE)*((r-32)/22.4::DOUBLE)) AS score FROM pix WHERE c BETWEEN 0 AND 63 AND r BETWEEN 0 AND 63)""",
+    )
+
+
+@query("painted_surface", "JOB-02 AGG-12 SCL-09 SCL-18 FLT-15", _paint_sql())
 def painted_surface(spark, sf):
     from sensorlake.operators import rasterize as rz
 
