@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sensorlake.operators.ordered import _null_safe
 from sensorlake.session import cut_lineage
 
 DIRECTIONS = 64
@@ -27,7 +28,8 @@ def hull_areas(points: DataFrame, keys: Sequence[str], x: str, y: str, rounds: i
     dirs = [(math.cos(2 * math.pi * i / DIRECTIONS), math.sin(2 * math.pi * i / DIRECTIONS)) for i in range(DIRECTIONS)]
     ext = points.groupBy(*keys).agg(F.array(*[F.max(F.struct((px * a + py * b).alias("d"), px.alias("x"), py.alias("y"))) for a, b in dirs]).alias("_e"))
     ext = cut_lineage(ext)
-    j = points.select(*keys, px.alias("_x"), py.alias("_y")).join(ext, list(keys))
+    j = points.select(*keys, px.alias("_x"), py.alias("_y"))
+    j = _null_safe(j, ext, keys, "inner")
     n = F.size("_e")
     nxt = lambda i: F.get("_e", F.pmod(i + 1, n).cast("int"))
     edge = F.transform("_e", lambda p, i: F.struct(p["x"].alias("ax"), p["y"].alias("ay"), nxt(i)["x"].alias("bx"), nxt(i)["y"].alias("by")))

@@ -29,9 +29,10 @@ def shared_folder(spark: SparkSession, kind: str) -> str:
     Only a local session without that setting (tests) gets a folder of its own.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    alone = spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")
+    if not alone and (base is None or "://" not in base and not base.startswith("file:")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share, with its scheme")
     if base is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
