@@ -226,16 +226,22 @@ def bracketed_slice(
 ) -> DataFrame:
     """Samples (``ts_ns, seq, payload``) of each interval plus one on each side, as ``clip_ns``.
 
-    Inner samples come from a bucketed equi-join; the sample before the start
+    Inner samples come from an equi-join on buckets that suit each interval's
+    length; the sample before the start
     and the one after the end come from two directional as-of lookups.  Stamps
     are clipped to the interval, rows at most ``min_gap_ns`` after their
     predecessor are dropped, and intervals with fewer than two rows disappear.
     """
     fields = ["ts_ns", "seq", *payload]
     slim = intervals.select(*keys, interval_id, start, end)
-    probe = slim.withColumn("_b", F.explode(F.sequence(time_bucket(F.col(start), bucket_ns), time_bucket(F.col(end), bucket_ns))))
+    # Buckets are as wide as the interval, in powers of two of bucket_ns, so an interval is in two or three of them whatever its length.
+    span = F.greatest((F.col(end) - F.col(start)) / F.lit(float(bucket_ns)), F.lit(1.0))
+    probe = slim.withColumn("_level", F.ceil(F.log2(span)).cast("int"))
+    place = lambda c: F.floor(F.col(c) / (F.lit(float(bucket_ns)) * F.pow(F.lit(2.0), "_level"))).cast("bigint")
+    levels = probe.agg(F.collect_set("_level").alias("l")).scalar()
+    probe = probe.where(F.col(start) <= F.col(end)).withColumn("_b", F.explode(F.sequence(place(start), place(end))))
     inner = (
-        probe.join(samples.withColumn("_b", time_bucket(F.col("ts_ns"), bucket_ns)), [*keys, "_b"])
+        probe.join(samples.withColumn("_level", F.explode(levels)).withColumn("_b", place("ts_ns")), [*keys, "_level", "_b"])
         .where(F.col("ts_ns").between(F.col(start), F.col(end)))
         .select(*keys, interval_id, start, end, *fields)
     )
