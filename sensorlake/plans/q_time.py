@@ -86,13 +86,11 @@ def asof_without_tolerance(spark, sf):
     "multi_sensor_sync",
     "JN-04",
     with_sql(
-        f"""SELECT l.seq, l.k, p.r_seq AS purchase_seq, v.r_seq AS view_seq, CASE WHEN e.dt<={DAY_NS} THEN e.r_seq END AS error_seq
-FROM fx_stream l JOIN n1 p ON p.seq=l.seq AND p.st='purchase' AND p.dt<={2 * DAY_NS}
-  JOIN n1 v ON v.seq=l.seq AND v.st='view' AND v.dt<={2 * DAY_NS} LEFT JOIN n1 e ON e.seq=l.seq AND e.st='error' WHERE l.st='click'""",
+        f"""SELECT seq, k, p.seq AS purchase_seq, v.seq AS view_seq, CASE WHEN e.dt<={DAY_NS} THEN e.seq END AS error_seq FROM near WHERE p.dt<={2 * DAY_NS} AND v.dt<={2 * DAY_NS}""",
         "fx_stream",
-        """n1 AS (SELECT * FROM (SELECT l.seq, r.st, r.seq AS r_seq, abs(l.ts_ns-r.ts_ns) AS dt,
-    row_number() OVER (PARTITION BY l.seq, r.st ORDER BY abs(l.ts_ns-r.ts_ns), r.ts_ns, r.seq) AS rn
-  FROM fx_stream l JOIN fx_stream r ON l.k=r.k WHERE l.st='click' AND r.st IN ('purchase','view','error')) WHERE rn=1)""",
+        """near AS (SELECT l.seq, l.k, min({'dt': abs(l.ts_ns-r.ts_ns), 'ts': r.ts_ns, 'seq': r.seq}) FILTER (r.st='purchase') AS p,
+    min({'dt': abs(l.ts_ns-r.ts_ns), 'ts': r.ts_ns, 'seq': r.seq}) FILTER (r.st='view') AS v, min({'dt': abs(l.ts_ns-r.ts_ns), 'ts': r.ts_ns, 'seq': r.seq}) FILTER (r.st='error') AS e
+  FROM fx_stream l JOIN fx_stream r ON l.k=r.k WHERE l.st='click' AND r.st IN ('purchase','view','error') GROUP BY l.seq, l.k)""",
     ),
 )
 def multi_sensor_sync(spark, sf):
