@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from sensorlake.functions import color, geometry as gm
 from sensorlake.functions import labels as lb
-from sensorlake.operators import asof, fit, merging, ordered, pairing, pointfilters, quantiles, trajectory
+from sensorlake.operators import asof, fit, merging, ordered, pairing, pointfilters, quantiles, spatial, trajectory
 from sensorlake.plans.fixtures import DAY_NS, fx_docs, fx_pairs, fx_pixels, fx_points, fx_stream, table, with_sql
 from sensorlake.plans.registry import query
+from sensorlake.session import shared_folder
 from sensorlake.sinks import tables as sinks
 from sensorlake.sources import decode, documents, recordings
 from sensorlake.sources import schemas as sc
@@ -92,11 +93,45 @@ def velocity_speed(spark, sf):
 @query(
     "odometry_columns",
     "SRC-06",
-    with_sql("SELECT ts_ns AS stamp_ns, v AS x, v*2 AS y FROM fx_stream", "fx_stream"),
+    with_sql("SELECT CASE WHEN seq%5=0 THEN (ts_ns//1000000000)*1000000000 ELSE ts_ns END AS stamp_ns, v AS x, v*2 AS y, -v AS z, 1.0::DOUBLE AS qw FROM fx_stream", "fx_stream"),
 )
 def odometry_columns(spark, sf):
-    raw = fx_stream(spark, sf).select(F.col("ts_ns").cast("string").alias("field.header.stamp"), F.col("v").alias("field.pose.pose.position.x"), (F.col("v") * 2).alias("field.pose.pose.position.y"))
-    return raw.select(F.col("`field.header.stamp`").try_cast("bigint").alias("stamp_ns"), F.col("`field.pose.pose.position.x`").alias("x"), F.col("`field.pose.pose.position.y`").alias("y"))
+    """Poses written as CSV with dotted headers, some stamps in floating point form, and read back."""
+    s, zero = fx_stream(spark, sf), F.lit(0.0)
+    stamp = F.when(F.col("seq") % 5 == 0, F.concat(F.expr("ts_ns div 1000000000").cast("string"), F.lit("E9"))).otherwise(F.concat(F.lit(" "), F.col("ts_ns").cast("string")))
+    cols = {"stamp_ns": stamp, "x": F.col("v"), "y": F.col("v") * 2, "z": -F.col("v"), "qx": zero, "qy": zero, "qz": zero, "qw": F.lit(1.0)}
+    path = shared_folder(spark, "odometry")
+    s.select(*[c.alias(recordings.ODOMETRY[n]) for n, c in cols.items()]).write.csv(path, header=True, ignoreLeadingWhiteSpace=False)
+    return recordings.read_odometry(spark, path).select("stamp_ns", "x", "y", "z", "qw")
+
+
+@query("recording_discovery", "SRC-02", with_sql("SELECT DISTINCT 'bag_'||k AS bag FROM fx_stream", "fx_stream"))
+def recording_discovery(spark, sf):
+    """One folder per recording is written and the recordings are found by their files."""
+    path = shared_folder(spark, "recordings")
+    fx_stream(spark, sf).select(F.concat(F.lit("bag_"), F.col("k")).alias("bag"), "seq", "ts_ns").write.partitionBy("bag").parquet(path)
+    found = recordings.find_recordings(spark, path, "*.parquet")
+    return found.select(F.regexp_extract("path", r"/bag=([^/]+)/", 1).alias("bag")).distinct()
+
+
+@query(
+    "plot_layer_file",
+    "SRC-13 JN-13",
+    with_sql(
+        """SELECT seq, sub, CASE WHEN x>10 AND x<30 AND y>1 AND y<9 AND NOT (x>=15 AND x<=20 AND y>=3 AND y<=6) THEN '1' WHEN (x>40 AND x<50 OR x>60 AND x<75) AND y>2 AND y<8 THEN '2' END AS plot_id FROM fx_points""",
+        "fx_points",
+    ),
+)
+def plot_layer_file(spark, sf):
+    """A GeoJSON file with a hole and a plot of two parts, written from rows, read as a plot layer and joined with the points."""
+    box = lambda a, b, c, d: f"[[{a},{b}],[{c},{b}],[{c},{d}],[{a},{d}],[{a},{b}]]"
+    shapes = [("Polygon", f"[{box(10, 1, 30, 9)},{box(15, 3, 20, 6)}]"), ("MultiPolygon", f"[[{box(40, 2, 50, 8)}],[{box(60, 2, 75, 8)}]]")]
+    text = ",".join(f'{{"type":"Feature","properties":{{" name ":"p"}},"geometry":{{"type":"{t}","coordinates":{c}}}}}' for t, c in shapes)
+    path = shared_folder(spark, "plots")
+    spark.range(1).select(F.lit(f'{{"type":"FeatureCollection","features":[{text}]}}')).write.text(path)
+    plots = documents.read_plots(spark, path)
+    d = spatial.assign_plot(fx_points(spark, sf).select("seq", "sub", "x", "y"), plots, ["seq", "sub"], 5.0)
+    return d.select("seq", "sub", "plot_id")
 
 
 @query(

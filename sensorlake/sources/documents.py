@@ -75,10 +75,20 @@ def plots_from_rings(raw: DataFrame, order: str) -> DataFrame:
     return d.withColumn("plot_id", (F.col("pos") + 1).cast("string"))
 
 
+_POINTS = "array<array<double>>"
+
+
 def read_plots(spark: SparkSession, path: str) -> DataFrame:
-    """GeoJSON polygons as ``pos, plot_id, ring`` plus their properties."""
-    schema = "features array<struct<geometry: struct<type: string, coordinates: array<array<array<double>>>>, properties: map<string,string>>>"
+    """GeoJSON polygons as ``pos, plot_id, ring, rings`` plus their properties.
+
+    ``rings`` holds every ring of a Polygon or MultiPolygon, holes included;
+    ``ring`` is the first outer one.  Other geometries have neither.
+    """
+    schema = "features array<struct<geometry: struct<type: string, coordinates: string>, properties: map<string,string>>>"
     d = spark.read.schema(schema).json(path, multiLine=True).select(F.posexplode("features").alias("pos", "f"))
-    ring = F.transform(F.get("f.geometry.coordinates", F.lit(0)), lambda p: F.struct(F.get(p, F.lit(0)).alias("x"), F.get(p, F.lit(1)).alias("y")))
+    kind, text = F.col("f.geometry.type"), F.col("f.geometry.coordinates")
+    raw = F.when(kind == "Polygon", F.from_json(text, f"array<{_POINTS}>")).when(kind == "MultiPolygon", F.flatten(F.from_json(text, f"array<array<{_POINTS}>>")))
     # a GeoJSON ring repeats its first point
-    return d.select("pos", (F.col("pos") + 1).cast("string").alias("plot_id"), F.slice(ring, 1, F.size(ring) - 1).alias("ring"), F.transform_keys("f.properties", lambda k, _: F.trim(k)).alias("properties"))
+    points = lambda r: F.transform(F.slice(r, 1, F.greatest(F.size(r) - 1, F.lit(0))), lambda p: F.struct(F.get(p, F.lit(0)).alias("x"), F.get(p, F.lit(1)).alias("y")))
+    d = d.withColumn("rings", F.transform(raw, points))
+    return d.select("pos", (F.col("pos") + 1).cast("string").alias("plot_id"), F.get("rings", F.lit(0)).alias("ring"), "rings", F.transform_keys("f.properties", lambda k, _: F.trim(k)).alias("properties"))
