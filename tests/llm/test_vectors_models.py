@@ -33,7 +33,7 @@ def plain_links(v, ok, cosine=0.9):
     return [(a, b) for a in range(len(v)) for b in range(a) if near[a, b]]
 
 
-@pytest.mark.parametrize("part", [12288, 40])
+@pytest.mark.parametrize("part", [24576, 40])
 def test_near_vectors_against_plain(spark, part, monkeypatch):
     monkeypatch.setattr(op1_embeddings, "PART", part)
     v = cloud(1, 300)
