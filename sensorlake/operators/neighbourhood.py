@@ -170,13 +170,16 @@ def median3(df, keys, value, name="med", r="r", c="c") -> DataFrame:
 def nearest_fill(cells: DataFrame, keys: Sequence[str], values: Sequence[str], radius: int, r: str = "row", c: str = "col") -> DataFrame:
     """Empty cells within ``radius`` cells of a valid one take the nearest one's values; ``filled`` marks them.
 
-    Equal distances go to the smaller row, then column.
+    Equal distances go to the smaller row, then column.  Two passes: the nearest
+    valid cell of each column up or down, then the nearest of those sideways, so
+    a cell is copied along two lines, not over the whole disc.
     """
-    disc = [(i, j) for i in range(-radius, radius + 1) for j in range(-radius, radius + 1) if 0 < i * i + j * j <= radius * radius]
-    offs = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(i * i + j * j).alias("d2")) for i, j in disc])
-    src = cells.select(*keys, r, c, *values, F.explode(offs).alias("_o"))
-    cand = F.min(F.struct(F.col("_o.d2").alias("d2"), F.col(r).alias("r0"), F.col(c).alias("c0"), *values))
-    to = src.groupBy(*keys, (F.col(r) + F.col("_o.i")).alias("_r"), (F.col(c) + F.col("_o.j")).alias("_c")).agg(cand.alias("_n"))
+    line = F.explode(F.sequence(F.lit(-radius), F.lit(radius)))
+    up = cells.select(*keys, F.col(r).alias("_r0"), F.col(c).alias("_c0"), *values, line.alias("_i"))
+    up = up.groupBy(*keys, (F.col("_r0") + F.col("_i")).alias("_r"), "_c0").agg(F.min(F.struct(F.abs("_i").alias("a"), F.col("_r0").alias("r0"), *values)).alias("_v"))
+    side = up.select(*keys, "_r", "_c0", "_v", line.alias("_j")).withColumn("_d2", F.col("_v.a") * F.col("_v.a") + F.col("_j") * F.col("_j")).where((F.col("_d2") > 0) & (F.col("_d2") <= radius * radius))
+    cand = F.min(F.struct(F.col("_d2").alias("d2"), F.col("_v.r0").alias("r0"), F.col("_c0").alias("c0"), *[F.col(f"_v.{v}").alias(v) for v in values]))
+    to = side.groupBy(*keys, "_r", (F.col("_c0") + F.col("_j")).alias("_c")).agg(cand.alias("_n"))
     to = to.select(*keys, F.col("_r").alias(r), F.col("_c").alias(c), *[F.col(f"_n.{v}").alias(v) for v in values], F.lit(True).alias("filled"))
     empty = to.join(cells.select(*keys, r, c), [*keys, r, c], "left_anti")
     return cells.select(*keys, r, c, *values, F.lit(False).alias("filled")).unionByName(empty)

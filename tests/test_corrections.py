@@ -134,3 +134,23 @@ def test_registration_says_whether_it_converged(spark):
     assert done.converged and done.rounds < 25 and done.rmse < 1e-6
     assert not jobs.register_scans(scans, guess, 0.5, iterations=1).collect()[0].converged
     assert fit is not None
+
+
+@pytest.mark.parametrize("radius", [1, 4, 7])
+def test_fill_takes_the_nearest_cell(spark, radius):
+    import random
+
+    from sensorlake.operators.neighbourhood import nearest_fill
+
+    r = random.Random(1)
+    cells = {(r.randrange(30), r.randrange(30)): r.random() for _ in range(60)}
+    df = spark.createDataFrame([(a, b, v) for (a, b), v in cells.items()], "row int, col int, v double")
+    got = {(x.row, x.col): (x.v, x.filled) for x in nearest_fill(df, [], ["v"], radius).collect()}
+    want = {k: (v, False) for k, v in cells.items()}
+    for a in range(-radius, 30 + radius):
+        for b in range(-radius, 30 + radius):
+            if (a, b) not in cells:
+                d, *at = min(((a - x) ** 2 + (b - y) ** 2, x, y) for x, y in cells)
+                if d <= radius * radius:
+                    want[(a, b)] = (cells[tuple(at)], True)
+    assert got == want
