@@ -154,3 +154,17 @@ def test_fill_takes_the_nearest_cell(spark, radius):
                 if d <= radius * radius:
                     want[(a, b)] = (cells[tuple(at)], True)
     assert got == want
+
+
+def test_pose_chain_over_several_levels(spark):
+    """Blocks of three rows make four levels of one track; another key is short, a third NULL."""
+    r = np.random.default_rng(2)
+    steps = [("a", i, [float(v) for v in (np.eye(3) + 0.1 * r.standard_normal((3, 3))).ravel()]) for i in range(100)]
+    steps += [("b", 0, None), ("b", 1, [2.0, 0.0, 0.0, 0.0, 2.0, 0.0, 0.0, 0.0, 2.0]), (None, 5, None)]
+    d = spark.createDataFrame([(k, t, t, m) for k, t, m in steps], "k string, ts_ns long, seq long, m array<double>")
+    got = {(x.k, x.ts_ns): x.pose for x in trajectory.pose_chain(d, ["k"], "m", 3, block=3).collect()}
+    at = {}
+    for k, t, m in steps:
+        at[k] = at.get(k, np.eye(3)) @ (np.eye(3) if m is None else np.array(m).reshape(3, 3))
+        assert np.allclose(got[k, t], at[k].ravel(), rtol=1e-9)
+    assert len(got) == len(steps)
