@@ -98,7 +98,21 @@ def painted_surface(spark, sf):
     return d.select("row", "col", "frame", F.round("score", 6).alias("score"), "v")
 
 
-@query("coloured_cloud_raster", "JOB-03 JN-01 AGG-08")
+COLOURED_SQL = """span AS (SELECT min(ts_ns) AS a FROM fx_points),
+f AS (SELECT frame, a+frame*2592000000000000 AS ts FROM (SELECT DISTINCT frame FROM fx_pixels), span),
+near AS (SELECT p.*, f.frame AS near_frame, row_number() OVER (PARTITION BY p.seq, p.sub ORDER BY abs(p.ts_ns-f.ts), f.ts, f.frame) AS rn, abs(p.ts_ns-f.ts) AS dt FROM fx_points p, f),
+seen AS (SELECT seq, sub, near_frame, x AS e, y AS n, z AS h, round_even(40*(((x-50)/20)/(z/2+1))+32,0)::INT AS c, round_even(40*((y-5)/(z/2+1))+32,0)::INT AS r FROM near WHERE rn=1 AND dt<=5184000000000000 AND z/2+1>0.05),
+px AS (SELECT s.*, p.v FROM seen s JOIN fx_pixels p ON p.frame=s.near_frame AND p.r=s.r AND p.c=s.c WHERE s.c BETWEEN 0 AND 63 AND s.r BETWEEN 0 AND 63),
+meta AS (SELECT min(e)-1 AS emin, max(e)+1 AS emax, min(n)-1 AS nmin, max(n)+1 AS nmax FROM px),
+size AS (SELECT *, greatest(1, ceil((emax-emin)/0.5::DOUBLE)::INT) AS width, greatest(1, ceil((nmax-nmin)/0.5::DOUBLE)::INT) AS height FROM meta),
+cells AS (SELECT px.*, least(greatest(trunc((nmax-n)/0.5::DOUBLE)::INT,0),height-1) AS row, least(greatest(trunc((e-emin)/0.5::DOUBLE)::INT,0),width-1) AS col FROM px, size)"""
+
+
+@query(
+    "coloured_cloud_raster",
+    "JOB-03 JN-01 AGG-08",
+    with_sql("SELECT row, col, h, v, n FROM (SELECT row, col, h, v, count(*) OVER (PARTITION BY row, col) AS n, row_number() OVER (PARTITION BY row, col ORDER BY h DESC, seq DESC, sub DESC) AS rn FROM cells) WHERE rn=1", "fx_points", "fx_pixels", COLOURED_SQL),
+)
 def coloured_cloud_raster(spark, sf):
     p = fx_points(spark, sf).select("seq", "sub", "ts_ns", ((F.col("x") - 50) / 20).alias("x"), (F.col("y") - 5).alias("y"), (F.col("z") / 2 + 1).alias("z"), F.col("x").alias("e"), F.col("y").alias("n"), F.col("z").alias("h"), F.lit(0).alias("bag"))
     px = _dem_px(spark, sf)

@@ -151,7 +151,24 @@ def nearest_fill(spark, sf):
     return nb.nearest_fill(m, [], ["z"], 2)
 
 
-@query("canopy_height", "RAS-07")
+def _canopy_sql() -> str:
+    """Lower envelope over 7 x 7 cells, blurred by columns, then by rows, each time with the weights that are there."""
+    from sensorlake.plans.q_points import cells_sql
+
+    return with_sql(
+        "SELECT t.row, t.col, round(greatest(z-env,0),6) AS canopy FROM top t JOIN down USING (row, col)",
+        "fx_points",
+        cells_sql(0.5),
+        """top AS (SELECT row, col, max(z) AS z FROM cells GROUP BY row, col),
+seven AS (SELECT unnest([-3,-2,-1,0,1,2,3]) AS i), kernel AS (SELECT i, exp(-0.5::DOUBLE*(i/1.5::DOUBLE)*(i/1.5::DOUBLE)) AS w FROM seven),
+wide AS (SELECT row, col+i AS col, min(z) AS z FROM top, seven GROUP BY row, col+i),
+low AS (SELECT t.row, t.col, m.z FROM top t JOIN (SELECT row+i AS row, col, min(z) AS z FROM wide, seven GROUP BY row+i, col) m USING (row, col)),
+across AS (SELECT row, col+i AS col, sum(w*z)/sum(w) AS v FROM low, kernel GROUP BY row, col+i),
+down AS (SELECT row+i AS row, col, sum(w*v)/sum(w) AS env FROM across, kernel GROUP BY row+i, col)""",
+    )
+
+
+@query("canopy_height", "RAS-07", _canopy_sql())
 def canopy_height(spark, sf):
     from sensorlake.operators.rasterize import surface_max
 
