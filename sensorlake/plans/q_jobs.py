@@ -330,7 +330,21 @@ def campaign_consolidation(spark, sf):
     return jobs.consolidate_campaign(a, e, ["k", "sensor"])["counts"]
 
 
-@query("sweep_intensity_image", "JOB-15 AGG-11 AGG-16 SCL-20 RAS-03")
+# Sigma 3 with a reach of 12 cells and mirrored borders, by columns, then by rows.
+SWEEP_SQL = """top AS (SELECT frame, r, c, greatest(v*1.0::DOUBLE, v*0.5::DOUBLE+20) AS v, (v>128)::INT AS g FROM fx_pixels),
+q AS (SELECT frame, quantile_cont(v,0.08) AS lo, quantile_cont(v,0.97) AS hi, max(r)+1 AS nr, max(c)+1 AS nc FROM top GROUP BY frame),
+k AS (SELECT i, exp(-0.5::DOUBLE*(i/3.0::DOUBLE)*(i/3.0::DOUBLE)) AS w FROM range(-12,13) t(i)), kn AS (SELECT i, w/(SELECT sum(w) FROM k) AS w FROM k),
+ask AS (SELECT frame, r, c, w, CASE WHEN c+i<0 THEN -(c+i) WHEN c+i>=nc THEN 2*(nc-1)-(c+i) ELSE c+i END AS at FROM top JOIN q USING (frame), kn),
+h AS (SELECT a.frame, a.r, a.c, sum(w*b.g) AS g FROM ask a JOIN top b ON b.frame=a.frame AND b.r=a.r AND b.c=a.at GROUP BY a.frame, a.r, a.c),
+ask2 AS (SELECT frame, r, c, w, CASE WHEN r+i<0 THEN -(r+i) WHEN r+i>=nr THEN 2*(nr-1)-(r+i) ELSE r+i END AS at FROM top JOIN q USING (frame), kn),
+veg AS (SELECT a.frame, a.r, a.c, sum(w*b.g) AS g FROM ask2 a JOIN h b ON b.frame=a.frame AND b.c=a.c AND b.r=a.at GROUP BY a.frame, a.r, a.c)"""
+
+
+@query(
+    "sweep_intensity_image",
+    "JOB-15 AGG-11 AGG-16 SCL-20 RAS-03",
+    with_sql("SELECT frame, r, c, round(pow(least(greatest((v-lo)/(CASE WHEN hi<=lo THEN 1.0::DOUBLE ELSE hi-lo END),0),1),0.75::DOUBLE)*(0.18::DOUBLE+0.82::DOUBLE*veg.g),6) AS value FROM top JOIN q USING (frame) JOIN veg USING (frame, r, c)", "fx_pixels", SWEEP_SQL),
+)
 def sweep_intensity_image(spark, sf):
     px = _dem_px(spark, sf)
     sweeps = px.select("frame", "r", "c", F.explode(F.array(F.col("v") * 1.0, F.col("v") * 0.5 + 20)).alias("intensity"))
