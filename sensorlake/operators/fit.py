@@ -142,7 +142,7 @@ def sample_sets(points: DataFrame, keys: Sequence[str], pid: str, size: int, hyp
 
 
 def ransac_plane(
-    points: DataFrame, keys: Sequence[str], pid: str, xyz: Sequence[str] = ("x", "y", "z"), threshold: float = 0.035, hypotheses: int = 64, min_points: int = 12, seed: int = 20260623
+    points: DataFrame, keys: Sequence[str], pid: str, xyz: Sequence[str] = ("x", "y", "z"), threshold: float = 0.035, hypotheses: int = 64, min_points: int = 12, seed: int = 1
 ) -> DataFrame:
     """Best-supported plane per key, refitted to its inliers.
 
