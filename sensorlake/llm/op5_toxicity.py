@@ -1,12 +1,14 @@
 """Toxicity scores of texts restored through a noisy channel.
 
-A character trigram model is counted over all documents. A token that may be
-disguised (letters written as digits or signs, letters set apart, letters
+A character trigram model is counted over all documents. A token, or a run of
+short tokens with the spaces between them, that may be disguised (letters
+written as digits or signs, also at the ends, letters set apart, letters
 repeated) spans a lattice of readings; Viterbi decoding finds the reading that
 the channel and the model together find likeliest. A token with a single
 reading is that reading. Words of the restored text, and their beginnings, that
 labelled documents show to be marks of toxicity give the score.
 
+* digits and signs without any letter in the token or run stand for themselves
 * null or empty text: no word, gets the score of texts without marks
 * null id: not held out, never part of the sample
 * no usable labels, or only one kind: every document gets the prior of the labels (0.5 without any)
@@ -17,6 +19,7 @@ labelled documents show to be marks of toxicity give the score.
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -39,8 +42,18 @@ FOLDS, HELD_OUT = 4, 2
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "*": "aeiou"}
 APART = ".-_*~'`/\\,"
 EDGE = ".,;:!?\"'()[]{}<>#%&*|~=+-_/\\^`"
+#: Signs that stand for no letter, and where those that do are plain punctuation as a rule: before, after and between words.
+PLAIN = "".join(c for c in EDGE if c not in LEET)
+BEFORE, AFTER, ALONE = "*", "!)*", "|*"
 #: Costs of the channel in nats: a letter read from a sign, a sign dropped, a sign as an end of word, a repeated letter dropped.
 READ, DROP, BREAK, REPEAT = 1.0, 0.7, 1.2, 0.4
+#: A space between short tokens dropped (single letters rather belong together, there a space costs BREAK), a sign at an end that no punctuation explains.
+JOIN, STRAY = 2.0, 6.0
+
+#: A run of tokens so short that they may be one word set apart, or one token.
+SHORT = 3
+PIECE = re.compile(rf"\S{{1,{SHORT}}}(?:\s+\S{{1,{SHORT}}})+(?!\S)|\S+")
+TWICE = re.compile(r"([^\W\d_])\1")
 
 PREFIXES = (3, 4, 5, 6)
 LEAST_SEEN = 3
@@ -102,38 +115,68 @@ def corpus_model(docs: DataFrame, text: str = "text") -> list[float]:
     return model_of(counts)
 
 
+CODE = {chr(b): int(k) for b, k in enumerate(FOLD)}
+
+
 def _code(c: str) -> int:
-    o = ord(c)
-    return int(FOLD[o]) if o < 256 else 0
+    return CODE.get(c, 0)
+
 
+def _sign_at_end(c: str, repeated: bool, usual: str) -> list[tuple[str, float]]:
+    """Readings of a sign before or after a word: nothing, or a letter."""
+    return [("", 0.0 if c not in LEET or repeated or c in usual else STRAY), *((x, READ) for x in LEET.get(c, ""))]
 
-def lattice(token: str) -> list[list[tuple[str, float]]]:
-    """Readings of each character with their cost: a string to write ('' drops it, ' ' ends the word)."""
+
+def _token_lattice(token: str, in_run: bool) -> list[list[tuple[str, float]]]:
+    if token.isalpha():
+        return [[(c, 0.0), ("", REPEAT)] if c == before else [(c, 0.0)] for before, c in zip(" " + token, token)]
     out = []
+    body = [i for i, c in enumerate(token) if c not in EDGE]
+    first, last = (body[0], body[-1]) if body else (len(token), -1)
+    number = in_run and not any(map(str.isalpha, token))
     for i, c in enumerate(token):
+        before = i > 0 and token[i - 1] == c
         if c.isalpha():
             ways = [(c, 0.0)]
-            if i and token[i - 1] == c:
+            if before:
                 ways.append(("", REPEAT))
+        elif not body or i < first or i > last:
+            ways = _sign_at_end(c, before or token[i + 1 : i + 2] == c, ALONE if not body else BEFORE if i < first else AFTER)
         else:
-            ways = [(" ", BREAK)]
+            ways = [(c, 0.0) if number else (" ", BREAK)]
             ways += [(x, READ) for x in LEET.get(c, "")]
-            if c in APART or (i and token[i - 1] == c):
+            if c in APART or before:
                 ways.append(("", DROP))
         out.append(ways)
     return out
 
 
+def lattice(piece: str) -> list[list[tuple[str, float]]]:
+    """Readings of each character with their cost: a string to write ('' drops it, ' ' ends the word). Spaces of a run stay or go."""
+    tokens = piece.split()
+    out = []
+    for i, t in enumerate(tokens):
+        if i:
+            out.append([(" ", BREAK), ("", 0.0)] if len(t) == len(tokens[i - 1]) == 1 else [(" ", 0.0), ("", JOIN)])
+        out += _token_lattice(t, len(tokens) > 1)
+    return out
+
+
 def viterbi(ways: list[list[tuple[str, float]]], model: list[float]) -> str:
     """Likeliest reading of the lattice. A state is the last two characters as the model knows them."""
     best: dict[int, tuple[float, tuple]] = {0: (0.0, ())}
     for options in ways:
         step: dict[int, tuple[float, tuple]] = {}
+        if len(options) == 1 and len(best) == 1 and (c := options[0][0]):
+            ((s, (cost, path)),) = best.items()
+            k = CODE.get(c, 0)
+            best = {s % 27 * 27 + k: (cost + options[0][1] - (model[s * 27 + k] if k or s % 27 else 0.0), (path, c))}
+            continue
+        coded = [(c, extra, CODE.get(c, 0)) for c, extra in options]
         for s, (cost, path) in best.items():
-            for c, extra in options:
+            for c, extra, k in coded:
                 if c:
-                    k = _code(c)
-                    to, now = s % 27 * 27 + k, cost + extra - (model[s * 27 + k] if c != " " or s % 27 else 0.0)
+                    to, now = s % 27 * 27 + k, cost + extra - (model[s * 27 + k] if k or s % 27 else 0.0)
                     way = (path, c)
                 else:
                     to, now, way = s, cost + extra, path
@@ -148,22 +191,12 @@ def viterbi(ways: list[list[tuple[str, float]]], model: list[float]) -> str:
     return "".join(reversed(out)).strip()
 
 
-def _shorn(token: str) -> str:
-    """Without marks at the ends; one or two signs that often stand for a letter stay."""
-    return token.strip(EDGE)
-
-
-def reading(token: str, model: list[float]) -> str:
-    """What a token says: itself if there is one reading only, else the decoded one."""
-    t = _shorn(token.lower())
+def _cleared(token: str) -> str:
+    """In lower case, without signs at the ends that stand for no letter and without the signs that mark up rows of words."""
+    t = token.lower().strip(PLAIN)
     while t.endswith("$$$") or t.endswith("@@@"):
-        t = _shorn(t[:-3].rstrip(t[-1]))
-    if t.isalpha():
-        if all(a != b or b != c for a, b, c in zip(t, t[1:], t[2:])):
-            return t
-    elif not any(map(str.isalpha, t)):
-        return t  # numbers and signs alone are no disguised word
-    return viterbi(lattice(t), model)
+        t = t[:-3].rstrip(t[-1]).strip(PLAIN)
+    return t
 
 
 def spaced(tokens: list[str]) -> list[str]:
@@ -179,23 +212,33 @@ def spaced(tokens: list[str]) -> list[str]:
     return out
 
 
+def reading(piece: str, model: list[float]) -> str:
+    """What a token or a run of short tokens says: itself if there is one reading only, else the decoded one."""
+    tokens = [t for t in map(_cleared, piece.split()) if t]
+    if len(tokens) == 1 and tokens[0].isalpha() and not TWICE.search(tokens[0]):
+        return tokens[0]
+    if not any(c.isalpha() for t in tokens for c in t):
+        return " ".join(filter(None, (t.strip(EDGE) for t in tokens)))  # numbers and signs alone are no disguised word
+    words = viterbi(lattice(" ".join(tokens)), model).split()
+    # Letters set singly are also read as one word, wherever the model would cut them.
+    if len(tokens) > 2:
+        words += [w for s in spaced(tokens) for w in viterbi(lattice(s), model).split() if w not in words]
+    return " ".join(words)
+
+
 class Reader:
-    """Readings of tokens, remembered within a fixed number of entries."""
+    """Readings of tokens and runs, remembered within a fixed number of entries."""
 
     def __init__(self, model: list[float]):
         self.model = model
         self.of = _Cache(lambda t: reading(t, model))
 
     def restore(self, text: str | None) -> str:
-        """The restored text: every token's reading, spaced words joined."""
-        tokens = (text or "").split()
-        return " ".join([*map(self.of.__getitem__, tokens), *(self.of[s] for s in spaced(tokens))])
+        """The restored text: the reading of every token and of every run of short tokens."""
+        return " ".join(map(self.of.__getitem__, PIECE.findall(text or "")))
 
     def words(self, text: str | None) -> set[str]:
-        tokens = (text or "").split()
-        seen = set(map(self.of.__getitem__, set(tokens)))
-        if list(map(len, tokens)).count(1) >= 3:
-            seen.update(self.of[s] for s in spaced(tokens))
+        seen = set(map(self.of.__getitem__, set(PIECE.findall(text or ""))))
         return {w for r in seen for w in r.split()} if any(" " in r for r in seen) else seen - {""}
 
 
@@ -213,7 +256,7 @@ class Scorer:
 
     def __post_init__(self):
         self.reader = Reader(self.model)
-        self.of_token = _Cache(lambda t: max((self.of_word(w) for w in self.reader.of[t].split()), default=0.0))
+        self.of_piece = _Cache(lambda p: tuple((w, v) for w in self.reader.of[p].split() if (v := self.of_word(w))))
 
     def __getstate__(self):
         return {"model": self.model, "marks": self.marks, "curve": self.curve, "prior": self.prior}
@@ -227,12 +270,10 @@ class Scorer:
 
     def features(self, text: str | None) -> tuple[float, ...]:
         """Strongest mark, sum of the marks, their sum against the length, the length, whether there is a mark, constant."""
-        tokens = (text or "").split()
-        hits = [v for v in map(self.of_token.__getitem__, set(tokens)) if v]
-        if list(map(len, tokens)).count(1) >= 3:
-            hits += [v for s in spaced(tokens) if (v := self.of_token[s])]
-        total = sum(hits)
-        return (max(hits, default=0.0), math.log1p(total), math.log1p(1000 * total / (len(tokens) + 20)), math.log1p(len(tokens)), float(bool(hits)), 1.0)
+        text = text or ""
+        hits = {w: v for found in map(self.of_piece.__getitem__, set(PIECE.findall(text))) for w, v in found}.values()
+        total, length = sum(hits), len(text.split())
+        return (max(hits, default=0.0), math.log1p(total), math.log1p(1000 * total / (length + 20)), math.log1p(length), float(bool(hits)), 1.0)
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         if self.prior is not None or not texts:

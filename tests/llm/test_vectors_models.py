@@ -194,6 +194,18 @@ def test_disguised_words_are_restored():
     assert reader.words("") == set() == reader.words(None)
 
 
+def test_doubled_letters_edge_signs_and_spaces_are_decoded():
+    text = " ".join(["idiot stupid trash loser moron clown you are a the and of house"] * 50)
+    reader = op5_toxicity.Reader(op5_toxicity.model_of(op5_toxicity.trigram_counts([text])))
+    doubled = {"mmoron": "moron", "stuupid": "stupid", "iidiot": "idiot", "moronn!": "moron"}
+    edges = {"!diot": "idiot", "|oser": "loser", "(lown": "clown", "idio+": "idiot", "(the)": "the", "trash!": "trash", "*house*": "house"}
+    for disguised, plain in {**doubled, **edges}.items():
+        assert reader.of[disguised] == plain
+    for run, plain in {"id iot": "idiot", "you are a i d i o t": "you are a idiot", "mo r on": "moron", "l 0 s e r and": "loser and", "the and of a": "the and of a", "of 12 and 3": "of 12 and 3"}.items():
+        assert reader.restore(run).split()[: len(plain.split())] == plain.split()
+        assert set(plain.split()) <= reader.words(run)
+
+
 def test_viterbi_against_enumeration():
     from itertools import product
 
