@@ -15,7 +15,7 @@ from sensorlake.sinks import tables as sinks
 from sensorlake.sources import decode, documents, recordings
 from sensorlake.sources import schemas as sc
 from sensorlake.streaming import twins
-from sensorlake.streaming.run import run_available
+from sensorlake.streaming.run import run_available, run_whole
 
 
 def test_manifest(spark, tmp_path):
@@ -234,6 +234,22 @@ def test_stream_join_equals_batch_join(spark, tmp_path):
         assert (None if pd.isna(r.r_seq) else int(r.r_seq)) == (None if pd.isna(w) else int(w))
 
 
+def test_closed_stream_gives_the_rows_after_the_last_watermark(spark, tmp_path):
+    base = 1_719_500_000_000_000_000
+    rows = [(i % 2, base + i * 1_000_000_000, i, float(i)) for i in range(50)]
+    for i in range(0, 50, 10):
+        spark.createDataFrame(rows[i : i + 10], "k long, ts_ns long, seq long, v double").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    rd = lambda: spark.readStream.schema("k long, ts_ns long, seq long, v double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    day = 86_400_000_000_000
+    build = lambda s: twins.rate_monitor(s, ["k"], "v", "10 seconds", "1 hour")
+    assert run_available(build(rd())).count() == 0
+    got = run_whole([rd()], build, rows[-1][1], day).collect()
+    assert sum(r.n for r in got) == 50 and all(r.k is not None for r in got)
+    hits = run_whole([rd(), rd()], lambda a, b: twins.nearest_stream_join(a, b, "k", "5 SECONDS", 5_000_000_000, "1 hour"), rows[-1][1], day).collect()
+    assert sorted((r.seq, r.r_seq, r.dt_ns) for r in hits) == [(i, i, 0) for i in range(50)]
+    assert run_whole([rd().where("k = 7")], build, None, day).count() == 0
+
+
 def test_registry_is_complete():
     assert set(catalog.ORACLES) <= set(catalog.QUERIES)
     covered = {c for ids in catalog.COVERS.values() for c in ids}
