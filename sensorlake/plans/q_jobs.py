@@ -123,7 +123,7 @@ def coloured_cloud_raster(spark, sf):
     return d.select("row", "col", "h", "v", "n")
 
 
-@query("scan_registration", "JOB-04 JN-15 AGG-23 WIN-11 AGG-37")
+@query("scan_registration", "JOB-04 JN-15 AGG-23")
 def scan_registration(spark, sf):
     p = fx_points(spark, sf)
     base = p.select(F.struct("seq", "sub").alias("pid"), F.xxhash64("seq", "sub").alias("h"), "x", F.col("y").alias("y"), F.col("z").alias("z"))
@@ -152,7 +152,7 @@ def _warp_sql(name, h):
 
 @query(
     "registered_frame_sets",
-    "JOB-05 JN-04 RAS-01 AGG-34 AGG-36",
+    "JOB-05 RAS-01 AGG-34 AGG-36",
     with_sql(
         """SELECT frame, r::INT AS r, c::INT AS c, round(vis.v,5) AS vis, round(nir.v,5) AS nir FROM vis FULL JOIN nir USING (frame, r, c)
 JOIN (SELECT frame, min(r) AS r0, max(r) AS r1, min(c) AS c0, max(c) AS c1 FROM vis JOIN nir USING (frame, r, c) GROUP BY frame) b USING (frame) WHERE r BETWEEN r0 AND r1 AND c BETWEEN c0 AND c1""",
