@@ -12,6 +12,7 @@ Queries meet blocks of rows; the best of each block are merged by Spark.
 * vectors are compared with those of their own dimension
 * rows that share a query's id are its own; of several, the smallest vector is the query
 * repeated rows are candidates each
+* components of any finite size count exactly; a score beyond a long is ranked by its true value and shown as the nearest long
 * no candidates: no rows for the query; empty vectors score 0
 * other columns are untouched and may have any name
 """
@@ -32,6 +33,8 @@ K = 5
 SCALE = 256
 #: Rows of a block at most, blocks that a small table is still cut into and their least size, queries that meet a block in one task.
 BLOCK_ROWS, SPREAD, LEAST_ROWS, CHUNK_QUERIES = 32768, 8, 2048, 512
+#: Components from this size on are taken as whole numbers without a bound; below, their quantised values have 40 bits at most.
+WIDE = 2.0**32
 
 
 def finite(v: Column) -> Column:
@@ -41,12 +44,26 @@ def finite(v: Column) -> Column:
 
 
 def quantised(column: pa.Array) -> np.ndarray:
-    """(rows, dimensions) of floor(SCALE * x); all rows have one length."""
+    """(rows, dimensions) of floor(SCALE * x); all rows have one length. Whole numbers of any size where longs do not hold them safely."""
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    whole = np.floor(SCALE * flat)
-    if whole.size and np.abs(whole).max() >= 2**40:
-        raise ValueError("components beyond 2^40 after scaling are not supported")
-    return whole.astype(np.int64).reshape(len(column), -1 if flat.size else 0)
+    shape = (len(column), len(flat) // len(column) if len(column) else 0)
+    if not flat.size or np.abs(flat).max() < WIDE:
+        return np.floor(SCALE * flat).astype(np.int64).reshape(shape)
+    whole = np.empty(len(flat), object)
+    whole[:] = [math.floor(SCALE * x) if abs(x) < WIDE else int(x) * SCALE for x in flat.tolist()]
+    return whole.reshape(shape)
+
+
+def _bits(values: np.ndarray) -> int:
+    """Bits of the largest size among the values."""
+    return int(np.abs(values).max()).bit_length() if values.size else 0
+
+
+def sortable(score: int) -> bytes:
+    """Bytes in the order of the numbers, whatever their size."""
+    n = -(-abs(score).bit_length() // 8)
+    size = n.to_bytes(4, "big") + abs(score).to_bytes(n, "big")
+    return b"\x01" + size if score >= 0 else b"\x00" + bytes(255 - x for x in size)
 
 
 class SlicedBlock:
@@ -58,12 +75,20 @@ class SlicedBlock:
         n, d = values.shape
         self.words = max(1, -(-n // 64))
         low = self.values.min(axis=0) if n else np.zeros(d, np.int64)
-        above = np.zeros((self.words * 64, d), np.int64)
-        above[:n] = self.values - low
-        self.bits = max(1, int(above.max()).bit_length()) if d and n else 1
+        above = self.values - low if n else self.values
+        self.bits = max(1, _bits(above))
+        self.size = _bits(self.values)
+        # The bytes of each number, lowest first; longs have theirs in place.
+        octets = -(-self.bits // 8)
+        if above.dtype == object:
+            raw = np.frombuffer(b"".join(v.to_bytes(octets, "little") for v in above.ravel().tolist()), np.uint8).reshape(n, d, octets)
+        else:
+            raw = np.ascontiguousarray(above, "<i8").view(np.uint8).reshape(n, d, 8) if n and d else np.zeros((n, d, octets), np.uint8)
         slices = np.empty((2, d, self.bits, self.words), np.uint64)
+        of_slice = np.zeros((d, self.words * 64), np.uint8)
         for b in range(self.bits):
-            slices[0, :, b] = np.packbits(np.ascontiguousarray((above >> b & 1).astype(np.uint8).T), axis=1, bitorder="little").view(np.uint64)
+            of_slice[:, :n] = (raw[:, :, b // 8] >> (b % 8) & 1).T
+            slices[0, :, b] = np.packbits(of_slice, axis=1, bitorder="little").view(np.uint64)
         slices[1] = ~slices[0]  # the largest value minus this one, for components below zero
         self.slices = slices
         exist = np.zeros(self.words * 64, np.uint8)
@@ -111,10 +136,10 @@ def score_slices(block: SlicedBlock, q: np.ndarray) -> np.ndarray:
     """Slices of sum |q_d| * (v_d - low_d, or high_d - v_d where q_d < 0): the score up to a constant of the block."""
     size = np.abs(q)
     total = np.zeros((1, 1, block.words), np.uint64)
-    for j in range(int(size.max()).bit_length() if size.size else 0)[::-1]:
+    for j in range(_bits(size))[::-1]:
         doubled = np.zeros((1, total.shape[1] + 1, block.words), np.uint64)
         doubled[:, 1:] = total
-        d = np.flatnonzero(size >> j & 1)
+        d = np.flatnonzero((size >> j & 1).astype(bool))
         total = add(doubled, add_all(block.slices[(q[d] < 0).astype(np.int64), d])) if d.size else doubled
     return total[0]
 
@@ -144,7 +169,9 @@ def best_rows(block: SlicedBlock, query_id: int, q: np.ndarray, k: int) -> list[
                 break
     # Rows are in the order of their ids: of more boundary rows than that, all slices agree, so the first ones win the tie.
     rows = np.concatenate([_rows_of(sure), _rows_of(open_)[: 4 * k + k]])
-    scores = block.values[rows].astype(object) @ q.astype(object) if len(rows) and block.bits + int(np.abs(q).max(initial=0)).bit_length() > 50 else block.values[rows] @ q
+    narrow = block.size + _bits(q) + len(q).bit_length() < 63
+    values = block.values[rows]
+    scores = values @ q if narrow else [sum(a * b for a, b in zip(v, q.tolist())) for v in values.tolist()]
     best = sorted(zip((-int(s) for s in scores), block.ids[rows].tolist()))[:k]
     return [(i, -s) for s, i in best]
 
@@ -158,12 +185,14 @@ def search(rows: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     chunks = max(1, math.ceil(nq / CHUNK_QUERIES))
     place = lambda m, seed: F.pmod(F.xxhash64(F.lit(seed), "vec_id"), F.lit(m)).cast("int")
     every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    left = rows.withColumn("block", place(blocks, 1)).withColumn("chunk", every(chunks))
-    right = queries.withColumn("chunk", place(chunks, 2)).withColumn("block", every(blocks))
-    keys = ["dim", "block", "chunk"]
+    # Rows with very large components need many slices, so they have blocks of their own.
+    wide = F.exists("embedding", lambda x: F.abs(x.cast("double")) >= WIDE)
+    left = rows.withColumn("wide", wide).withColumn("block", place(blocks, 1)).withColumn("chunk", every(chunks))
+    right = queries.withColumn("wide", F.explode(F.array(F.lit(False), F.lit(True)))).withColumn("chunk", place(chunks, 2)).withColumn("block", every(blocks))
+    keys = ["dim", "wide", "block", "chunk"]
 
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
-        out: dict[str, list[int]] = {"query_id": [], "vec_id": [], "score": []}
+        out: dict[str, list] = {"query_id": [], "vec_id": [], "score": [], "place": []}
         if a.num_rows and b.num_rows:
             ids = a.column("vec_id").to_numpy().astype(np.int64)
             block = SlicedBlock(ids, quantised(a.column("embedding").combine_chunks()))
@@ -171,11 +200,12 @@ def search(rows: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
                 for vec, s in best_rows(block, qid, q, k):
                     out["query_id"].append(qid)
                     out["vec_id"].append(vec)
-                    out["score"].append(s)
-        return pa.table({n: pa.array(v, pa.int64()) for n, v in out.items()})
+                    out["score"].append(min(max(s, -(2**63)), 2**63 - 1))
+                    out["place"].append(sortable(s))
+        return pa.table({n: pa.array(v, pa.binary() if n == "place" else pa.int64()) for n, v in out.items()})
 
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, "query_id bigint, vec_id bigint, score bigint")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, "query_id bigint, vec_id bigint, score bigint, place binary")
+    w = Window.partitionBy("query_id").orderBy(F.desc("place"), F.asc("vec_id"))
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
