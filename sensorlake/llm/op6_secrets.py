@@ -32,10 +32,27 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 PEM = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----")
-URLAUTH = re.compile(r"[a-z][a-z0-9+.-]*://[^\s/:@]+:[^\s/:@]+@")
+#: Credentials in a URL: a scheme (lower-case letter first), ``://``, and this.
+URLAUTH = re.compile(r"[^\s/:@]+:[^\s/:@]+@")
+SCHEME_REST = "0123456789+.-"
+SCHEME = "abcdefghijklmnopqrstuvwxyz" + SCHEME_REST
 WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 
+def url_credentials(text: str) -> list[tuple[int, int]]:
+    """(start, end) of URLs with credentials. Each ``://`` looks back over its own scheme only, so the work grows with the text, however long its runs."""
+    found, at, before = [], text.find("://"), 0
+    while at >= 0:
+        run = text[before:at]
+        scheme = run[len(run.rstrip(SCHEME)) :].lstrip(SCHEME_REST)
+        rest = URLAUTH.match(text, at + 3) if scheme else None
+        if rest:
+            found.append((at - len(scheme), rest.end()))
+        before = rest.end() if rest else at + 3
+        at = text.find("://", before)
+    return found
+
+
 def find(text: str | None) -> list[tuple[int, int, str]]:
     """(start, end, kind) in code points, by start, then kind as listed.
 
@@ -54,7 +71,7 @@ def find(text: str | None) -> list[tuple[int, int, str]]:
     if "-----BEGIN " in text:
         found += [(m.start(), m.end(), 3) for m in PEM.finditer(text)]
     if "://" in text:
-        found += [(m.start(), m.end(), 4) for m in URLAUTH.finditer(text)]
+        found += [(s, e, 4) for s, e in url_credentials(text)]
     found.sort(key=lambda f: (f[0], f[2], f[1]))
     return [(s, e, KINDS[k]) for s, e, k in found]
 
