@@ -43,7 +43,7 @@ def map_rows(df: DataFrame, fn: Callable[[dict], dict], schema: str | StructType
     return df.mapInArrow(run, schema)
 
 
-def packed(df: DataFrame, *names: str) -> DataFrame:
+def packed(df: DataFrame, *names: str | Column) -> DataFrame:
     """``row`` with all columns of ``df`` as one struct, and the named columns beside it: whatever else ``df`` has cannot clash."""
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *names)
 

@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -63,14 +63,19 @@ def fingerprint(text: str | None) -> int:
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, fp): the fingerprint as a signed long."""
+    """(key, fp, mark): the fingerprint as a signed long, and a hash of the text that tells rows of one id apart."""
     kind = dict(docs.dtypes)[key]
 
     def run(c: dict) -> dict:
         fp = np.fromiter((fingerprint(t.as_py()) for t in c["text"]), np.uint64, len(c["text"]))
-        return {"key": c["key"], "fp": fp.view(np.int64)}
+        return {"key": c["key"], "fp": fp.view(np.int64), "mark": c["mark"]}
 
-    return map_rows(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), run, f"key {kind}, fp bigint").withColumnRenamed("key", key)
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), _mark(text).alias("mark"))
+    return map_rows(rows, run, f"key {kind}, fp bigint, mark bigint").withColumnRenamed("key", key)
+
+
+def _mark(text: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
 
 def _unsigned(column: pa.Array) -> np.ndarray:
@@ -178,11 +183,16 @@ def links(nodes: DataFrame, bits: int = BITS) -> DataFrame:
     return cells.groupBy("level", "cell").applyInArrow(verify, "a bigint, b bigint")
 
 
-def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", bits: int = BITS) -> DataFrame:
-    """(key, fp, component_id) per row of ``docs``."""
+def _rooted(docs: DataFrame, key: str, text: str, bits: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Written (key, fp, mark) per row; (fp, least) per fingerprint; (node, root) per fingerprint with a link."""
     prints = cut_lineage(fingerprints(docs, key, text))
     nodes = cut_lineage(prints.groupBy("fp").agg(F.min(key).alias("least")))
-    roots = components(links(nodes.select("fp"), bits))
+    return prints, nodes, components(links(nodes.select("fp"), bits))
+
+
+def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", bits: int = BITS) -> DataFrame:
+    """(key, fp, component_id) per row of ``docs``."""
+    prints, nodes, roots = _rooted(docs, key, text, bits)
     placed = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     # Nodes without a link keep their own smallest id; only linked ones are grouped.
     linked = placed.join(roots.select(F.col("root").alias("_r")).distinct(), F.col("root") == F.col("_r"), "left")
@@ -194,14 +204,21 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", bits: int
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document per component: that with the smallest doc_id. Of rows that share it, one stays; rows without an id stay."""
-    found = classes(docs)
-    stay = found.where("doc_id = component_id").select(F.col("doc_id").alias("stay_id")).distinct()
-    rows = packed(docs, "doc_id", "text")
-    kept = rows.join(stay, F.col("doc_id") == F.col("stay_id"), "left_semi")
-    w = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    first = kept.withColumn("nth", F.row_number().over(w)).where("nth = 1").select("row")
-    return unpacked(first.union(rows.where(F.col("doc_id").isNull()).select("row")))
+    """``docs`` with exactly one row per component.
+
+    That with the smallest doc_id stays; of rows that share it, the one with the smallest fingerprint, then the
+    smallest hash of its text; of rows alike in all of these, any one. A component without any id keeps a row as well.
+    """
+    prints, _, roots = _rooted(docs, "doc_id", "text", BITS)
+    # Rows of one fingerprint are reduced first, then the fingerprints of a component.
+    first = lambda c: F.min(c).alias("first")
+    of_print = prints.groupBy("fp").agg(first(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "fp", "mark")))
+    rooted = of_print.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+    stay = rooted.groupBy(F.coalesce("root", "fp").alias("root")).agg(first("first")).select(F.col("first.doc_id").alias("stay_id"), F.col("first.mark").alias("stay_mark"))
+    rows = packed(docs, "doc_id", _mark("text").alias("mark"))
+    kept = rows.join(stay, F.col("doc_id").eqNullSafe(F.col("stay_id")) & (F.col("mark") == F.col("stay_mark")), "left_semi")
+    nth = F.row_number().over(Window.partitionBy("doc_id", "mark").orderBy("mark"))
+    return unpacked(kept.withColumn("nth", nth).where("nth = 1").select("row"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -11,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sensorlake.llm import op11_resampling, op12_transducer, op13_divergence
+from sensorlake.llm import op6_secrets, op7_simhash, op9_topk, op11_resampling, op12_transducer, op13_divergence
 from tests.compare import compare, duck
 from tests.llm.helpers import ODD, docs, prose
 
@@ -156,7 +157,7 @@ def test_lookahead_is_bounded(tik):
     raw = "".join(random.Random(5).choice("etaoinshrdl") for _ in range(4000)).encode()
     s, read, out = t.start, 0, 0
     for b in raw:
-        s, emitted = s.after.get(b) or t._step(s, b)
+        s, emitted = s[b]
         read += 1
         out += sum(len(t.bytes_of[i]) for i in emitted)
         assert read - out <= 4 * longest
@@ -262,3 +263,49 @@ def test_terms_are_those_of_the_pattern():
 def test_queries_agree_with_sql(spark, sf, name):
     module = {"op11": op11_resampling, "op13": op13_divergence}[name]
     assert compare(module.query(spark, sf), duck(sf), module.SQL) == []
+
+
+# -- earlier operators on rows that they used to fail on -----------------------------------------------
+
+
+def test_topk_with_components_of_any_size(spark):
+    r = random.Random(6)
+    rows = [(i, [r.choice([1e30, -1e30, 3e38, 0.25, -7.0, 2.0**33, 1e-3]) if i % 3 else r.uniform(-1, 1) for _ in range(4)]) for i in range(90)]
+    rows += [(90, [float(2**31)] * 4), (91, [float(2**31) + 0.5] * 4), (92, [1e300, 0.0, -1e300, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = {(g.query_id, g["rank"]): (g.vec_id, g.score) for g in op9_topk.search(df, df.where("vec_id % 7 = 0 OR vec_id > 89")).collect()}
+    exact = [[math.floor(256 * x) if abs(x) < 2**40 else int(x) * 256 for x in v] for _, v in rows]
+    limit = lambda s: min(max(s, -(2**63)), 2**63 - 1)
+    want = {}
+    for q, _ in rows:
+        if q % 7 == 0 or q > 89:
+            best = sorted((-sum(a * b for a, b in zip(exact[q], exact[c])), c) for c, _ in rows if c != q)[:5]
+            want |= {(q, i): (c, limit(-s)) for i, (s, c) in enumerate(best, 1)}
+    assert got == want
+
+
+def test_sortable_bytes_have_the_order_of_numbers():
+    r = random.Random(1)
+    numbers = sorted({r.choice([-1, 1]) * r.getrandbits(r.choice([1, 3, 8, 9, 63, 64, 200])) for _ in range(800)})
+    assert sorted(numbers, key=op9_topk.sortable) == numbers
+
+
+def test_secret_urls_in_long_runs():
+    plain = re.compile(r"[a-z][a-z0-9+.-]*://[^\s/:@]+:[^\s/:@]+@")
+    r = random.Random(9)
+    for _ in range(4000):
+        s = "".join(r.choice(["a", "z", "9", "+", "://", ":", "/", "@", " ", "A", "ftp://u:p@", "é"]) for _ in range(r.randint(0, 25)))
+        assert op6_secrets.url_credentials(s) == [m.span() for m in plain.finditer(s)]
+    start = time.monotonic()
+    assert op6_secrets.find("a" * 1_000_000 + " x://" + "b" * 1_000_000 + ":c")[:1] != []  # the run of hex digits
+    assert op6_secrets.find("q" * 1_000_000 + "://u:p@h " + "://" * 100_000) == [(0, 1_000_007, "urlauth")]
+    assert time.monotonic() - start < 5
+
+
+def test_one_row_of_each_component_stays(spark):
+    a, b, c = prose(1, 60), prose(2, 60), prose(3, 60)
+    rows = [(4, a), (6, a), (6, b), (None, b), (None, c), (None, c), (7, None), (8, ""), (9, prose(4, 60)), (9, prose(5, 60)), (3, a), (3, a)]
+    kept = op7_simhash.keep_first(docs(spark, rows, extra=True))
+    assert sorted((str(k.doc_id), k.text or "") for k in kept.collect()) == sorted([("3", a), ("6", b), ("None", c), ("7", ""), ("9", prose(4, 60)), ("9", prose(5, 60))])
+    assert kept.columns == docs(spark, [], extra=True).columns
+    assert op7_simhash.keep_first(docs(spark, [])).count() == 0
