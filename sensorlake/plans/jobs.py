@@ -7,6 +7,7 @@ once are written to the checkpoint folder.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -17,7 +18,7 @@ from sensorlake.functions import geometry as gm
 from sensorlake.functions import labels as lb
 from sensorlake.operators import asof, fit, frames, merging, neighbourhood as nb
 from sensorlake.operators import pairing, rasterize as rz, ranking, robust, sampling, spatial, trajectory
-from sensorlake.operators.ordered import _null_safe, running_index
+from sensorlake.operators.ordered import _null_safe, previous_row, running_index
 from sensorlake.operators.quantiles import attach_quantiles, exact_quantiles
 from sensorlake.session import cut_lineage
 from sensorlake.sources import recordings
@@ -120,16 +121,15 @@ ICP_MIN_PAIRS = 80
 ICP_RMSE_STEP = 1e-5
 
 
-def register_scans(scans: DataFrame, pairs: DataFrame, max_corr: float, iterations: int = ICP_MAX_ITERATIONS, min_pairs: int = ICP_MIN_PAIRS) -> DataFrame:
-    """Point-to-point registration of scan pairs from several first guesses, all in parallel.
+def try_guesses(scans: DataFrame, pairs: DataFrame, max_corr: float, iterations: int = ICP_MAX_ITERATIONS, min_pairs: int = ICP_MIN_PAIRS) -> DataFrame:
+    """Point-to-point registration of scan pairs from several first guesses, all in parallel; a written table with one row per (pair, guess).
 
     ``scans`` has ``scan, pid, x, y, z``; ``pairs`` has ``pair, src, dst,
     guess, r, t``.  Each round joins the moved source points to their nearest
     destination points and refits; a (pair, guess) stops when its RMSE changes
-    by less than 1e-5 or it has too few matches.  ``converged`` says whether the
-    chosen guess stopped by that rule within ``iterations`` (``rounds`` it took).  The loop's state is one row
-    per (pair, guess).  Returns the guess with the lowest RMSE - 1e-6 * matches
-    per pair: ``pair, guess, r, t, n, rmse, rounds, converged``.
+    by less than 1e-5 or it has too few matches.  ``open`` says whether it was still moving after
+    ``iterations`` (``rounds`` it took); without a match the guess stays as it was and ``rmse`` is NULL.
+    Returns ``pair, guess, r, t, n, rmse, open, rounds``.
     """
     key = ["pair", "guess"]
     src = pairs.select(*key, F.col("src").alias("scan")).join(scans, "scan").select(*key, "pid", "x", "y", "z")
@@ -157,8 +157,18 @@ def register_scans(scans: DataFrame, pairs: DataFrame, max_corr: float, iteratio
         )
         if state.where("open").isEmpty():
             break
+    return state
+
+
+def best_guess(tried: DataFrame) -> DataFrame:
+    """Per pair the guess with the lowest RMSE - 1e-6 * matches, the first on a tie; ``converged`` if it stopped by the rule."""
     score = F.coalesce("rmse", F.lit(999.0)) - 1e-6 * F.col("n")
-    return ranking.first_by(state, ["pair"], [score, F.col("guess")]).select("pair", "guess", "r", "t", "n", "rmse", "rounds", (~F.col("open") & F.col("rmse").isNotNull()).alias("converged"))
+    return ranking.first_by(tried, ["pair"], [score, F.col("guess")]).select("pair", "guess", "r", "t", "n", "rmse", "rounds", (~F.col("open") & F.col("rmse").isNotNull()).alias("converged"))
+
+
+def register_scans(scans: DataFrame, pairs: DataFrame, max_corr: float, iterations: int = ICP_MAX_ITERATIONS, min_pairs: int = ICP_MIN_PAIRS) -> DataFrame:
+    """The best guess of each pair: ``pair, guess, r, t, n, rmse, rounds, converged``."""
+    return best_guess(try_guesses(scans, pairs, max_corr, iterations, min_pairs))
 
 
 def initial_guesses(pairs: DataFrame, distance: str) -> DataFrame:
@@ -169,6 +179,91 @@ def initial_guesses(pairs: DataFrame, distance: str) -> DataFrame:
     return pairs.select("*", F.posexplode(shifts).alias("guess", "t")).withColumn("r", eye)
 
 
+# Number of each axis among the first guesses, and the order that decides equal scores.
+AXES = {"x_plus": 2, "x_minus": 1, "y_plus": 4, "y_minus": 3}
+
+
+def bounded_corrections(moves: DataFrame, max_shift: float, max_turn_deg: float) -> DataFrame:
+    """Registered motions ``r, t`` held near their priors ``r0, t0``.
+
+    The correction ``(r, t) . (r0, t0)^-1`` is cut to ``max_shift`` in length and ``max_turn_deg`` in angle (0: no
+    limit), then applied to the prior: ``r, t`` are replaced, ``shift`` is the length of the correction that was applied.
+    A half turn has no axis in its skew part; such a correction is left without rotation.  Each step is a column of its
+    own, so no expression holds another one many times.
+    """
+    at = lambda a, i: F.get(F.col(a), F.lit(i))
+    vec = lambda a, n=3: [at(a, i) for i in range(n)]
+    rest = [c for c in moves.columns if c not in ("r", "t", "r0", "t0")]
+    back_r, back_t = gm.rigid_inverse(F.col("r0"), F.col("t0"))
+    d = moves.withColumn("_br", back_r).withColumn("_bt", F.array(*[F.get(back_t, F.lit(i)) for i in range(3)]))
+    d = d.withColumn("_cr", trajectory.matmul(F.col("r"), F.col("_br"), 3)).withColumn("_ct", F.array(*gm.rigid_apply(F.col("r"), F.col("t"), vec("_bt"))))
+    d = d.withColumn("_ct", F.array(*gm.clamp_length(vec("_ct"), max_shift))).withColumn("_angle", F.radians(gm.rotation_angle_deg(F.col("_cr"))))
+    turn = F.least(F.col("_angle"), F.lit(math.radians(max_turn_deg))) if max_turn_deg > 0 else F.col("_angle")
+    d = d.withColumn("_per", F.when(F.abs(F.sin("_angle")) > 1e-12, turn / (2.0 * F.sin("_angle"))).otherwise(F.lit(0.0)))
+    skew = [at("_cr", 7) - at("_cr", 5), at("_cr", 2) - at("_cr", 6), at("_cr", 3) - at("_cr", 1)]
+    d = d.withColumn("_v", F.array(*[F.col("_per") * v for v in skew])).withColumn("_h", gm.rodrigues(*vec("_v")))
+    d = d.withColumn("r", trajectory.matmul(F.col("_h"), F.col("r0"), 3)).withColumn("t", F.array(*gm.rigid_apply(F.col("_h"), F.col("_ct"), vec("t0"))))
+    return d.select(*rest, "r", "t", F.sqrt(sum((v * v for v in vec("_ct")[1:]), vec("_ct")[0] * vec("_ct")[0])).alias("shift"))
+
+
+def _matrix4(r: Column, t: Column) -> Column:
+    rows = [[*[F.get(r, F.lit(3 * i + j)) for j in range(3)], F.get(t, F.lit(i))] for i in range(3)]
+    return F.array(*[v for row in rows for v in row], *[F.lit(float(i == 3)) for i in range(4)])
+
+
+def register_track(
+    scans: DataFrame, frames_: DataFrame, keys: Sequence[str], max_corr: float, max_shift: float, max_turn_deg: float, iterations: int = ICP_MAX_ITERATIONS, min_pairs: int = ICP_MIN_PAIRS
+) -> dict[str, DataFrame]:
+    """Poses of consecutive scans from their pairwise registration: ``pairs, poses, scores``.
+
+    ``frames_`` has ``scan, ts_ns, seq, speed`` (``scan`` unique), ``scans`` has ``scan, pid, x, y, z``.
+    Each scan meets the one before it from five first guesses (no motion, and the distance that the speeds
+    of both promise along each axis), all pairs and guesses in one loop.  Two kinds of chain come of it:
+
+    * ``free``: each pair takes its best guess.
+    * one per axis: the guess along that axis is the prior, and the registration may correct it within
+      ``max_shift`` and ``max_turn_deg``.  Of the four whole chains the one with the best score (footprint,
+      path length, mean residual, mean correction) is ``constrained``; ``scores`` has all four.
+
+    ``poses`` has ``variant, axis, pose`` (row-major 4 x 4) per frame, the first being the identity.  A pair without
+    enough matches keeps its first guess, so the chain never breaks.
+    """
+    d = trajectory.consecutive_deltas(frames_, keys, "speed")
+    d = previous_row(d, keys, ["ts_ns", "seq"], {"scan": "_before"})
+    d = cut_lineage(d.select(*keys, "scan", "ts_ns", "seq", "_before", F.coalesce("step", F.lit(0.0)).alias("step")))
+    pairs = d.where(F.col("_before").isNotNull()).select(F.col("scan").alias("pair"), F.col("scan").alias("src"), F.col("_before").alias("dst"), "step")
+    guesses = cut_lineage(initial_guesses(pairs, "step"))
+    tried = try_guesses(scans, guesses.select("pair", "src", "dst", "guess", "r", "t"), max_corr, iterations, min_pairs)
+
+    best = best_guess(tried)
+    free = best.select(F.col("pair").alias("scan"), F.lit("free").alias("variant"), _matrix4(F.col("r"), F.col("t")).alias("m"), "rmse", F.lit(0.0).alias("shift"))
+    prior = guesses.select("pair", "guess", F.col("r").alias("r0"), F.col("t").alias("t0"))
+    axis = F.element_at(F.create_map(*[x for a, g in AXES.items() for x in (F.lit(g), F.lit(a))]), F.col("guess"))
+    held = tried.where(F.col("guess").isin(*AXES.values())).join(prior, ["pair", "guess"])
+    held = cut_lineage(bounded_corrections(held.select(F.col("pair").alias("scan"), axis.alias("variant"), "r", "t", "r0", "t0", "rmse"), max_shift, max_turn_deg))
+    held = held.select("scan", "variant", _matrix4(F.col("r"), F.col("t")).alias("m"), "rmse", "shift")
+    steps = cut_lineage(free.unionByName(held))
+
+    variants = F.explode(F.array(*[F.lit(v) for v in ("free", *AXES)])).alias("variant")
+    every = d.select(*keys, "scan", "ts_ns", "seq", variants).join(steps, ["scan", "variant"], "left")
+    chain = [*keys, "variant"]
+    poses = trajectory.pose_chain(every, chain, "m", 4)
+    poses = cut_lineage(poses.select(*chain, "scan", "ts_ns", "seq", "rmse", "shift", "pose", *[F.get("pose", F.lit(4 * i + 3)).alias(c) for i, c in enumerate("xyz")]))
+
+    held_poses = poses.where(F.col("variant") != "free")
+    span = trajectory.path_and_span(held_poses, chain, ["x", "y", "z"])
+    means = held_poses.groupBy(*chain).agg(F.count(F.lit(1)).alias("_n"), F.avg("rmse").alias("rmse"), F.avg("shift").alias("corr"))
+    area = F.greatest("span_x", F.lit(1e-6)) * F.greatest("span_y", F.lit(1e-6))
+    scores = _null_safe(span, means, chain, "inner").withColumn("area", area)
+    scores = trajectory.trajectory_score(scores).withColumn("score", F.when(F.col("_n") < 2, F.lit(-1e9)).otherwise(F.col("score"))).drop("_n")
+    scores = cut_lineage(scores)
+    order = F.element_at(F.create_map(*[x for i, a in enumerate(AXES) for x in (F.lit(a), F.lit(i))]), F.col("variant"))
+    chosen = ranking.first_by(scores, list(keys), [-F.col("score"), order]).select(*keys, F.col("variant").alias("axis"))
+    axis_of = _null_safe(held_poses, chosen, keys, "inner").where("variant = axis").withColumn("variant", F.lit("constrained"))
+    out = poses.where("variant = 'free'").withColumn("axis", F.lit(None).cast("string")).unionByName(axis_of)
+    return {"pairs": best, "poses": out, "scores": scores}
+
+
 def registered_frames(sync: DataFrame, pixels: Mapping[str, DataFrame], h_to_rgb: Mapping[str, Sequence[float]], width: int, height: int) -> dict[str, DataFrame]:
     """Warp every sensor of each frame set into the master image, then crop to what all see.
 

@@ -123,18 +123,47 @@ def coloured_cloud_raster(spark, sf):
     return d.select("row", "col", "h", "v", "n")
 
 
-@query("scan_registration", "JOB-04 JN-15 AGG-23")
-def scan_registration(spark, sf):
+# Motion between two scans of the fixture: forward by the speed, a little to the side, and a small turn.
+SIDE, TURN, MONTH_GAP = 0.04, 0.003, 60.0
+
+
+def _month_scans(spark, sf):
+    """One recording per year, one scan per month. A scan sees the points of its own month and of both
+    neighbours (months apart in height, so only shared points can match) from its pose on the known track."""
     p = fx_points(spark, sf)
-    base = p.select(F.struct("seq", "sub").alias("pid"), F.xxhash64("seq", "sub").alias("h"), "x", F.col("y").alias("y"), F.col("z").alias("z"))
-    s0 = base.select(F.lit(0).alias("scan"), F.col("h").alias("pid"), "x", "y", "z")
-    r = gm.rodrigues(F.lit(0.002), F.lit(-0.001), F.lit(0.004))
-    q = gm.rigid_apply(r, F.array(F.lit(0.03), F.lit(-0.02), F.lit(0.01)), [F.col(c) for c in "xyz"])
-    s1 = base.select(F.lit(1).alias("scan"), F.col("h").alias("pid"), *[v.alias(n) for v, n in zip(q, "xyz")])
-    pair = spark.range(1).select(F.lit("0-1").alias("pair"), F.lit(1).alias("src"), F.lit(0).alias("dst"), F.lit(0.05).alias("step"))
-    g = jobs.initial_guesses(pair, "step")
-    d = jobs.register_scans(s0.unionByName(s1), g, 0.6)
-    return d.select("pair", "guess", "n", "converged", F.round("rmse", 4).alias("rmse"), *[F.round(F.get("t", F.lit(i)), 4).alias(f"t{i}") for i in range(3)])
+    at = F.timestamp_micros(F.call_function("div", F.col("ts_ns"), F.lit(1000)))
+    p = p.select(F.year(at).alias("rec"), F.month(at).alias("of"), F.xxhash64("seq", "sub").alias("pid"), "x", "y", (F.col("z") + MONTH_GAP * F.month(at)).alias("z"))
+    f = p.groupBy("rec").agg(F.min("of").alias("a"), F.max("of").alias("b")).select("rec", F.explode(F.sequence("a", "b")).alias("month"), F.col("a"))
+    speed = 0.2 + 0.02 * (F.col("rec") - 1992)
+    f = f.select("rec", F.col("month"), (F.col("rec") * 100 + F.col("month")).alias("scan"), (F.col("month").cast("bigint") * 1_000_000_000).alias("ts_ns"), F.col("month").cast("bigint").alias("seq"), speed.alias("speed"), (F.col("month") - F.col("a")).alias("i"))
+    j = F.sequence(F.lit(0), F.col("i") - 1)
+    turned = lambda u: F.when(F.col("i") > 0, F.aggregate(j, F.lit(0.0), lambda s, k: s + u(k * TURN))).otherwise(F.lit(0.0))
+    c, n = turned(F.cos), turned(F.sin)
+    f = f.withColumn("tx", F.col("speed") * c - SIDE * n).withColumn("ty", F.col("speed") * n + SIDE * c).withColumn("yaw", F.col("i") * TURN)
+    seen = p.withColumn("month", F.explode(F.array(F.col("of") - 1, F.col("of"), F.col("of") + 1))).join(f, ["rec", "month"])
+    dx, dy = F.col("x") - F.col("tx"), F.col("y") - F.col("ty")
+    cy, sy = F.cos("yaw"), F.sin("yaw")
+    scans = seen.select("scan", "pid", (cy * dx + sy * dy).alias("x"), (cy * dy - sy * dx).alias("y"), "z")
+    return scans, f.select("rec", "scan", "ts_ns", "seq", "speed")
+
+
+@query(
+    "scan_registration",
+    "JOB-04 JN-15 AGG-23 AGG-37 WIN-08 WIN-11",
+    with_sql(
+        f"""SELECT rec, scan, variant, CASE WHEN variant='constrained' THEN 'x_plus' END AS axis, round(coalesce(sum(s*cos(j*{TURN})-{SIDE}*sin(j*{TURN})),0),3)+0 AS x, round(coalesce(sum(s*sin(j*{TURN})+{SIDE}*cos(j*{TURN})),0),3)+0 AS y,
+  0.0::DOUBLE AS z, round(degrees(max(i)*{TURN}),2) AS yaw
+FROM (SELECT rec::INT AS rec, (rec*100+m)::INT AS scan, m-a AS i, 0.2::DOUBLE+0.02::DOUBLE*(rec-1992) AS s FROM (
+  SELECT *, unnest(range(a, b+1)) AS m FROM (SELECT year(make_timestamp(ts_ns//1000)) AS rec, min(month(make_timestamp(ts_ns//1000))) AS a, max(month(make_timestamp(ts_ns//1000))) AS b FROM fx_points GROUP BY 1)))
+LEFT JOIN range(12) t(j) ON j < i, (SELECT unnest(['free','constrained']) AS variant) GROUP BY rec, scan, variant""",
+        "fx_points",
+    ),
+)
+def scan_registration(spark, sf):
+    scans, f = _month_scans(spark, sf)
+    d = jobs.register_track(scans, f, ["rec"], 1.0, 0.05, 2.0)["poses"]
+    turn = gm.yaw_deg(F.array(*[F.get("pose", F.lit(4 * i + j)) for i in range(3) for j in range(3)]))
+    return d.select("rec", "scan", "variant", "axis", *[(F.round(c, 3) + F.lit(0.0)).alias(c) for c in "xyz"], F.round(turn, 2).alias("yaw"))
 
 
 HV = (1.02, 0.01, 2.0, -0.01, 0.98, 1.0, 0.0001, 0.0002, 1.0)

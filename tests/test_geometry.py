@@ -304,3 +304,61 @@ def test_scan_registration_recovers_motion(spark):
     got = jobs.register_scans(scans, jobs.initial_guesses(pair, "step").where("guess < 2"), 0.6, iterations=12).collect()[0]
     assert np.allclose(np.array(got.r).reshape(3, 3), r, atol=0.01) and np.allclose(got.t, [0.08, -0.05, 0.02], atol=0.02)
     assert got.n >= 80
+
+
+def test_far_points_meet_few_plots(spark):
+    """Points near, far and very far from a field of plots, against all distances; the number of plots met stays small."""
+    import random
+
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from sensorlake.operators import spatial
+
+    r = random.Random(3)
+    boxes = [(i, 10.0 * (i % 20) + r.random(), 7.0 * (i // 20) + r.random(), 3 + 4 * r.random(), 2 + 3 * r.random()) for i in range(400)] + [(400, -900.0, 50.0, 5.0, 5.0), (401, 30.0, 30.0, 400.0, 1.0)]
+    ring = lambda x, y, w, h: [(x, y), (x + w, y), (x + w, y + h), (x, y + h)]
+    plots = spark.createDataFrame([(i, f"p{i}", ring(*b)) for i, *b in boxes], "pos int, plot_id string, ring array<struct<x:double,y:double>>")
+    at = [(i, r.uniform(-300, 500), r.uniform(-200, 400)) for i in range(300)] + [(1000, 1e6, 1e6), (1001, -5e5, 40.0), (1002, -400.0, 55.0), (1003, None, 1.0)]
+    got = {g.id: g for g in spatial.assign_plot(spark.createDataFrame(at, "id int, x double, y double"), plots, ["id"], 5.0, levels=1).collect()}
+    assert len(got) == len(at)
+    b = np.array([x[1:] for x in boxes])
+    for i, x, y in at:
+        if x is None:
+            assert got[i].assignment == "no_gps"
+            continue
+        dx = np.maximum(np.maximum(b[:, 0] - x, x - b[:, 0] - b[:, 2]), 0)
+        dy = np.maximum(np.maximum(b[:, 1] - y, y - b[:, 1] - b[:, 3]), 0)
+        d = np.hypot(dx, dy)
+        if d.min() > 0:
+            assert got[i].assignment == "nearest_polygon" and abs(got[i].distance - d.min()) < 0.006, (i, x, y)
+            assert abs(d[int(got[i].plot_id[1:])] - d.min()) < 1e-6
+
+
+def test_corrections_are_held_near_their_prior(spark):
+    """Against the same steps in plain matrices: cut in length and angle, then applied to the prior."""
+    import numpy as np
+
+    from sensorlake.plans import jobs
+
+    def turn(v):
+        a = np.linalg.norm(v)
+        k = np.array([[0, -v[2], v[1]], [v[2], 0, -v[0]], [-v[1], v[0], 0]]) / (a or 1)
+        return np.eye(3) + np.sin(a) * k + (1 - np.cos(a)) * k @ k
+
+    rng = np.random.default_rng(2)
+    rows, want = [], []
+    for i in range(40):
+        v, v0 = rng.normal(0, 0.02 + 0.1 * (i % 3), 3), rng.normal(0, 0.05, 3) * (i % 2)
+        r, r0, t, t0 = turn(v), turn(v0), rng.normal(0, 0.3, 3), rng.normal(0, 0.3, 3) * (i % 4 > 0)
+        cr, ct = r @ r0.T, t - r @ r0.T @ t0
+        n, a = np.linalg.norm(ct), np.arccos(np.clip((np.trace(cr) - 1) / 2, -1, 1))
+        ct = ct * min(1, 0.2 / n)
+        axis = np.array([cr[2, 1] - cr[1, 2], cr[0, 2] - cr[2, 0], cr[1, 0] - cr[0, 1]]) / (2 * np.sin(a))
+        held = turn(axis * min(a, np.radians(4.0)))
+        want.append((held @ r0, held @ t0 + ct, np.linalg.norm(ct)))
+        rows.append((i, *[x.ravel().tolist() for x in (r, t, r0, t0)]))
+    df = spark.createDataFrame(rows, "i int, r array<double>, t array<double>, r0 array<double>, t0 array<double>")
+    for g in jobs.bounded_corrections(df, 0.2, 4.0).collect():
+        wr, wt, ws = want[g.i]
+        assert np.allclose(np.array(g.r).reshape(3, 3), wr, atol=1e-7) and np.allclose(g.t, wt, atol=1e-7) and abs(g.shift - ws) < 1e-9
