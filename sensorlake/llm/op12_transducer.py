@@ -28,8 +28,10 @@ once they complete a character, the rest waits for the next id.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from itertools import chain
 
 import numpy as np
@@ -39,8 +41,8 @@ from pyspark.sql import DataFrame, SparkSession
 from sensorlake.llm.common import map_rows, table
 from sensorlake.llm.op2_bpe import NEWER
 
-#: States, neighbour pairs and whole pieces that are remembered, and the longest piece among them.
-STATES, PAIRS, PIECES, PIECE_CHARS = 150_000, 500_000, 300_000, 48
+#: States, neighbour pairs and words that are remembered, and the longest word among them.
+STATES, PAIRS, PIECES, PIECE_CHARS = 200_000, 500_000, 300_000, 48
 
 # Fixed value: the pattern whose pieces start at each single space.
 SPACE_STARTS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -49,24 +51,40 @@ START, PASSED, NEVER = -1, -2, float("inf")
 
 
 class _Node:
-    """A place in the trie of token bytes."""
+    """A place in the trie of token bytes; ``stands`` says whether the merges of its token's bytes give the token (None: not asked yet)."""
 
-    __slots__ = ("token", "child")
+    __slots__ = ("token", "child", "stands")
 
     def __init__(self):
-        self.token = -1
+        self.token, self.stands = -1, None
         self.child: dict[int, _Node] = {}
 
 
-class _State:
-    """Live starts as (node, tokens from the last shared one to the start), the latest start last."""
+class _State(dict):
+    """Byte -> (state after it, tokens emitted), made when first asked for.
 
-    __slots__ = ("live", "after", "end")
+    ``live`` are the starts as (node, tokens from the last shared one to the start), the latest start last; ``end`` is what the end of a piece emits.
+    """
 
-    def __init__(self, live: tuple):
-        self.live = live
-        self.after: dict[int, tuple[_State, tuple[int, ...]]] = {}
-        self.end: tuple[int, ...] | None = None
+    __slots__ = ("live", "end", "of")
+
+    def __init__(self, live: tuple, of: Transducer):
+        self.live, self.end, self.of = live, None, of
+
+    def __missing__(self, byte: int) -> tuple[_State, tuple[int, ...]]:
+        return self.of._step(self, byte)
+
+
+@contextmanager
+def _no_collector() -> Iterator[None]:
+    """States, tries and words are many small objects without garbage in cycles, which the collector would visit again and again."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
 
 
 class Transducer:
@@ -89,18 +107,23 @@ class Transducer:
         self.two_spaces = regex.compile(r"\s\s")
         self.agreed: dict[tuple[int, int], bool] = {}
         self.courses: dict[int, list | None] = {}
+        #: Words used since the last change of generation, and those of the generation before.
         self.pieces: dict[str, tuple[int, ...]] = {}
+        self.earlier: dict[str, tuple[int, ...]] = {}
+        self.states: dict[tuple, _State] = {}
         self._forget()
         self.utf8 = Utf8()
 
     def _forget(self) -> None:
-        self.states: dict[tuple, _State] = {}
+        for s in self.states.values():
+            s.clear()  # states refer to each other
+        self.states = {}
         self.start = self._state(((self.root, (START,)),))
 
     def _state(self, live: tuple) -> _State:
         s = self.states.get(live)
         if s is None:
-            s = self.states[live] = _State(live)
+            s = self.states[live] = _State(live, self)
         return s
 
     # -- the compiled merges -------------------------------------------------
@@ -178,17 +201,21 @@ class Transducer:
             nxt = node.child.get(byte)
             if nxt is None:
                 continue
-            last, token = tokens[-1], nxt.token
+            last = tokens[-1]
             if nxt.child or last == START:
                 live.append((nxt, tokens))
-            if token >= 0 and closed is None and self._course(token) is not None:
-                if last != START:
-                    holds = agreed.get((last, token))
-                    if holds is None:
-                        holds = self._agree(last, token)
-                    if not holds:
-                        continue
-                closed = (*tokens, token)
+            token = nxt.token
+            if token >= 0 and closed is None:
+                if nxt.stands is None:
+                    nxt.stands = self._course(token) is not None
+                if nxt.stands:
+                    if last != START:
+                        holds = agreed.get((last, token))
+                        if holds is None:
+                            holds = self._agree(last, token)
+                        if not holds:
+                            continue
+                    closed = (*tokens, token)
         if closed is None:
             raise ValueError(f"byte {byte} is no token of this vocabulary")
         live.append((self.root, closed))
@@ -206,7 +233,7 @@ class Transducer:
         if len(self.states) > STATES:
             self._forget()
         else:
-            s.after[byte] = out
+            s[byte] = out
         return out
 
     def _end(self, s: _State) -> tuple[int, ...]:
@@ -218,8 +245,7 @@ class Transducer:
         """One piece through the transducer, byte by byte."""
         s, out = self.start, []
         for b in raw:
-            known = s.after.get(b)
-            s, emitted = known if known is not None else self._step(s, b)
+            s, emitted = s[b]
             if emitted:
                 out += emitted
         out += s.end if s.end is not None else self._end(s)
@@ -235,13 +261,15 @@ class Transducer:
         return [text[m.start() : m.end()] for m in self.pattern.finditer(shape)]
 
     def _passage(self, text: str) -> tuple[int, ...]:
-        """Pieces of a text, or of a word with the space before it; short ones are remembered."""
+        """Tokens of a text, or of a word with the space before it; short ones are remembered."""
         known = self.pieces.get(text)
         if known is None:
-            known = tuple(chain.from_iterable(self.piece(p.encode("utf-8", "surrogatepass")) for p in self.split(text)))
+            known = self.earlier.get(text)
+            if known is None:
+                known = tuple(chain.from_iterable([self.piece(p.encode("utf-8", "surrogatepass")) for p in self.split(text)]))
             if len(text) <= PIECE_CHARS:
                 if len(self.pieces) >= PIECES:
-                    self.pieces.clear()
+                    self.pieces, self.earlier = {}, self.pieces
                 self.pieces[text] = known
         return known
 
@@ -251,8 +279,9 @@ class Transducer:
         if not self.cut_at_spaces or text[-1] == " " or self.two_spaces.search(text):
             return list(self._passage(text))
         # Here each space stands between two other characters and starts a piece, whatever follows.
+        known = self.pieces.get
         first, *rest = text.split(" ")
-        return [*self._passage(first), *chain.from_iterable([self._passage(" " + r) for r in rest])]
+        return [*self._passage(first), *chain.from_iterable([known(w) or self._passage(w) for w in [" " + r for r in rest]])]
 
     def decode(self, ids: Iterable[int] | None) -> Iterator[bytes]:
         """Bytes of whole characters as soon as they are complete; what is no UTF-8 comes out as it is."""
@@ -336,7 +365,8 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", key: str
 
     def run(c: dict) -> dict:
         t = transducer(path, pattern)
-        return {"key": c["key"], "ids": [t.encode(x.as_py()) for x in c["text"]]}
+        with _no_collector():
+            return {"key": c["key"], "ids": [t.encode(x.as_py()) for x in c["text"]]}
 
     return map_rows(df.selectExpr(f"`{key}` AS key", f"`{text}` AS text"), run, f"key {kind}, ids array<int>").withColumnRenamed("key", key)
 
@@ -359,11 +389,12 @@ def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text", key:
     def run(c: dict) -> dict:
         t = transducer(path, pattern)
         out: dict[str, list] = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
-        for x in c["text"]:
-            ids = t.encode(x.as_py())
-            out["n_tokens"].append(len(ids))
-            out["ids_sha256"].append(hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
-            out["decoded_sha256"].append(hashlib.sha256(b"".join(t.decode(ids))).hexdigest())
+        with _no_collector():
+            for x in c["text"]:
+                ids = t.encode(x.as_py())
+                out["n_tokens"].append(len(ids))
+                out["ids_sha256"].append(hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
+                out["decoded_sha256"].append(hashlib.sha256(b"".join(t.decode(ids))).hexdigest())
         return {"key": c["key"], **out}
 
     schema = f"key {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
