@@ -93,9 +93,10 @@ def ground_height(points: DataFrame, keys: Sequence[str], x: str = "x", y: str =
     d = attach_quantiles(points, keys, z, {"_zl": low, "_zf": fallback}, settle=True)
     counts = cut_lineage(d.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.count_if(F.col(z) <= F.col("_zl")).alias("_nl")))
     d = _null_safe(d, counts, keys, "inner")
-    p = cut_lineage(plane_lsq(d.where((F.col(z) <= F.col("_zl")) | (F.col("_nl") < 12)), keys, x, y, z).drop("n"))
+    low_points = d.where((F.col(z) <= F.col("_zl")) | (F.col("_nl") < 12)).select(*keys, x, y, z)
+    p = cut_lineage(plane_lsq(low_points, keys, x, y, z).select(*keys, *[F.col(v).alias(f"_{v}") for v in "abc"]))
     d = _null_safe(d, p, keys, "left")
-    rel = F.coalesce(F.col(z) - (F.col("a") * F.col(x) + F.col("b") * F.col(y) + F.col("c")), F.col(z) - F.col("_zf"))
+    rel = F.coalesce(F.col(z) - (F.col("_a") * F.col(x) + F.col("_b") * F.col(y) + F.col("_c")), F.col(z) - F.col("_zf"))
     d = attach_quantiles(d.withColumn("_rel", rel), keys, "_rel", {"_p": base})
     h = F.when(F.col("_n") < 20, F.lit(0.0)).otherwise(F.greatest(F.col("_rel") - F.col("_p"), F.lit(0.0)))
     return d.select(*points.columns, h.alias("height"))

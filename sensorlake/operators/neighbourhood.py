@@ -74,6 +74,16 @@ def closed(df, keys, value, k, r="r", c="c") -> DataFrame:
     return erode(d, keys, value, k, r, c)
 
 
+def splat(df: DataFrame, keys: Sequence[str], values: Sequence[str], k: int, r: str = "r", c: str = "c") -> DataFrame:
+    """Several sparse layers grown together: each to its own maximum over k x k cells (odd ``k``), NULLs left out."""
+    if k % 2 == 0:
+        raise ValueError("a splat needs an odd size")
+    d = df.select(*keys, r, c, *values)
+    for axis in (c, r):
+        d = _spread(d, axis, _reach(k)).groupBy(*keys, r, c).agg(*[F.max(v).alias(v) for v in values])
+    return d
+
+
 def mirror(i: Column, n: Column) -> Column:
     """Index folded back into 0..n-1 without repeating the edge cell."""
     j = F.abs(i)
