@@ -86,22 +86,22 @@ PARTS = [
   UNION ALL SELECT k, 'nir', 2*frame, ts-40000000 FROM f UNION ALL SELECT k, 'nir', 2*frame+1, ts+40000000 FROM f
   UNION ALL SELECT k, 'thermal', frame, ts+CASE WHEN frame%5=3 THEN 200000000 ELSE 10000000 END FROM f
   UNION ALL SELECT DISTINCT (frame%8)%2, 'cloud', frame%8, (frame%8)*1000000000+60000000 FROM fx_points)""",
-    """sy AS (SELECT *, vis IS NOT NULL AND nir IS NOT NULL AND thermal IS NOT NULL AS synced FROM (
+    """sy AS MATERIALIZED (SELECT *, vis IS NOT NULL AND nir IS NOT NULL AND thermal IS NOT NULL AS synced FROM (
   SELECT frame, max(own) FILTER (st='vis') AS vis, max(own) FILTER (st='nir') AS nir, max(own) FILTER (st='thermal') AS thermal, max(own) FILTER (st='cloud') AS cloud FROM f LEFT JOIN (
     SELECT f.frame, st, own FROM f JOIN ms USING (k) WHERE true QUALIFY row_number() OVER (PARTITION BY f.frame, st ORDER BY abs(ms.ts-f.ts), ms.ts, own)=1 AND abs(ms.ts-f.ts)<=120000000) USING (frame) GROUP BY frame))""",
     _warped("vis", "SELECT 2*frame AS own, r, c, v::DOUBLE AS v FROM fx_pixels UNION ALL SELECT 2*frame+1, r, c, 255-v FROM fx_pixels"),
     _warped("nir", "SELECT 2*frame AS own, r, c, v*0.5::DOUBLE AS v FROM fx_pixels UNION ALL SELECT 2*frame+1, r, c, v FROM fx_pixels"),
     _warped("thermal", "SELECT frame AS own, r, c, 10+v/10.0::DOUBLE AS v FROM fx_pixels"),
-    """wide AS (SELECT rgb.*, vis.vis, nir.nir, thermal.thermal, (vis.vis IS NOT NULL AND nir.nir IS NOT NULL AND thermal.thermal IS NOT NULL)::INT AS ok FROM rgb JOIN sy USING (frame)
+    """wide AS MATERIALIZED (SELECT rgb.*, vis.vis, nir.nir, thermal.thermal, (vis.vis IS NOT NULL AND nir.nir IS NOT NULL AND thermal.thermal IS NOT NULL)::INT AS ok FROM rgb JOIN sy USING (frame)
   LEFT JOIN vis USING (frame, r, c) LEFT JOIN nir USING (frame, r, c) LEFT JOIN thermal USING (frame, r, c) WHERE synced)""",
     _window("ok", "min", 2 * MARGIN + 1, "wide", "safe"),
-    "ru AS (SELECT frame, r, c, r-row_number() OVER (PARTITION BY frame, c ORDER BY r) AS run FROM safe WHERE ok=1)",
+    "ru AS MATERIALIZED (SELECT frame, r, c, r-row_number() OVER (PARTITION BY frame, c ORDER BY r) AS run FROM safe WHERE ok=1)",
     "hs AS (SELECT frame, r, c, row_number() OVER (PARTITION BY frame, c, run ORDER BY r) AS h FROM ru)",
     f"""bx AS (SELECT frame, x0, y0, x1, least(y1, greatest(y0+32, y1-{TRIM}))::INT AS y1 FROM (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY (x1-x0)*(y1-y0) DESC, y0, x0, x1, y1) AS rn FROM (
   SELECT frame, y0, y1, min(c)::INT AS x0, (max(c)+1)::INT AS x1 FROM (SELECT *, c-row_number() OVER (PARTITION BY frame, y0, y1 ORDER BY c) AS run FROM (
     SELECT frame, c, (r+1-k)::INT AS y0, (r+1)::INT AS y1 FROM hs, range(1,65) t(k) WHERE k<=h)) GROUP BY frame, y0, y1, run)) WHERE rn=1)""",
-    f"""st AS (SELECT sy.frame, vis, nir, thermal, cloud, x0, y0, x1, y1, CASE WHEN NOT synced THEN 'no_sync' WHEN x0 IS NULL THEN 'no_common_intersection' WHEN x1-x0<{MIN_SIDE} OR y1-y0<{MIN_SIDE} THEN 'common_intersection_too_small' ELSE 'ok' END AS status FROM sy LEFT JOIN bx ON bx.frame=sy.frame)""",
-    "ce AS (SELECT wide.* FROM wide JOIN st USING (frame) WHERE status='ok' AND c>=x0 AND c<x1 AND r>=y0 AND r<y1)",
+    f"""st AS MATERIALIZED (SELECT sy.frame, vis, nir, thermal, cloud, x0, y0, x1, y1, CASE WHEN NOT synced THEN 'no_sync' WHEN x0 IS NULL THEN 'no_common_intersection' WHEN x1-x0<{MIN_SIDE} OR y1-y0<{MIN_SIDE} THEN 'common_intersection_too_small' ELSE 'ok' END AS status FROM sy LEFT JOIN bx ON bx.frame=sy.frame)""",
+    "ce AS MATERIALIZED (SELECT wide.* FROM wide JOIN st USING (frame) WHERE status='ok' AND c>=x0 AND c<x1 AND r>=y0 AND r<y1)",
     "gl AS (SELECT frame, r, c, red, green, blue, trunc(least(greatest((CASE WHEN 2*green+red+blue>1e-6::DOUBLE THEN (2*green-red-blue)/(2*green+red+blue)::DOUBLE ELSE 0 END+1)*127.5::DOUBLE,0),255))::BIGINT AS g FROM ce)",
     """ot AS (SELECT frame, g AS threshold FROM (SELECT frame, g, row_number() OVER (PARTITION BY frame ORDER BY CASE WHEN n>w0 THEN w0*(n-w0)*(s0/w0-(s-s0)/(n-w0))*(s0/w0-(s-s0)/(n-w0)) ELSE 0 END DESC, g) AS rn FROM (
   SELECT frame, g, sum(n) OVER w AS w0, sum(n*g) OVER w AS s0, sum(n) OVER (PARTITION BY frame) AS n, sum(n*g) OVER (PARTITION BY frame) AS s FROM (SELECT frame, g, count(*)::DOUBLE AS n FROM gl GROUP BY frame, g) WINDOW w AS (PARTITION BY frame ORDER BY g))) WHERE rn=1)""",
@@ -115,7 +115,7 @@ PARTS = [
   SELECT seq, sub, frame%8 AS cloud, x/10+0.5::DOUBLE AS px, (y-5)*0.6::DOUBLE AS py, (z-25)/10 AS pz, intensity FROM fx_points)) p JOIN st USING (cloud) WHERE status='ok' AND cz>0.05::DOUBLE AND sqrt(px*px+py*py+pz*pz)>0.35::DOUBLE AND sqrt(px*px+py*py+pz*pz)<{MAX_RANGE!r}::DOUBLE)""",
     f"""uv AS (SELECT *, 40*(a*rad+2*{DIST[2]!r}::DOUBLE*a*b+{DIST[3]!r}::DOUBLE*(r2+2*a*a))+32 AS u, 40*(b*rad+{DIST[2]!r}::DOUBLE*(r2+2*b*b)+2*{DIST[3]!r}::DOUBLE*a*b)+32 AS v FROM (
   SELECT *, 1+r2*({DIST[0]!r}::DOUBLE+r2*{DIST[1]!r}::DOUBLE) AS rad FROM (SELECT *, a*a+b*b AS r2 FROM pr)))""",
-    """ins AS (SELECT * FROM (SELECT *, (x0+round_even(u-x0,0))::INT AS c, (y0+round_even(v-y0,0))::INT AS r FROM uv WHERE u>=x0 AND u<x1 AND v>=y0 AND v<y1) WHERE c<x1 AND r<y1)""",
+    """ins AS MATERIALIZED (SELECT * FROM (SELECT *, (x0+round_even(u-x0,0))::INT AS c, (y0+round_even(v-y0,0))::INT AS r FROM uv WHERE u>=x0 AND u<x1 AND v>=y0 AND v<y1) WHERE c<x1 AND r<y1)""",
     "lo AS (SELECT frame, quantile_cont(up,0.65) AS q, count(*) AS n FROM ins GROUP BY frame)",
     """pl AS (SELECT frame, avg(x) AS mx, avg(y) AS my, avg(up) AS mz, var_pop(x) AS xx, covar_pop(x,y) AS xy, var_pop(y) AS yy, covar_pop(x,up) AS xz, covar_pop(y,up) AS yz FROM ins JOIN lo USING (frame) WHERE up<=q GROUP BY frame)""",
     """hi AS (SELECT *, CASE WHEN n<20 THEN 0 ELSE greatest(rel-quantile_cont(rel,0.05) OVER (PARTITION BY frame),0) END AS height FROM (
