@@ -285,26 +285,55 @@ def registered_frames(sync: DataFrame, pixels: Mapping[str, DataFrame], h_to_rgb
     return {"cells": inside.select("frame", "r", "c", *pixels), "crop": frames.coverage(crop, ["frame"], width, height, 1, 1)}
 
 
+def _strip_weight(u: Column, v: Column, width: int, height: int, feather: float) -> Column:
+    """Weight of a source position: highest in the middle row, interpolated between rows, falling to 0 at the frame's edge."""
+    spread = max(height * feather, 1.0)
+
+    def row(r: Column) -> Column:
+        off = (r - height * 0.5) / spread
+        return F.when((r >= 0) & (r < height), F.exp(-0.5 * off * off)).otherwise(0.0)
+
+    def column(c: Column) -> Column:
+        return ((c >= 0) & (c < width)).cast("double")
+
+    fu, fv = F.floor(u), F.floor(v)
+    a, b = u - fu, v - fv
+    return ((1.0 - b) * row(fv) + b * row(fv + 1)) * ((1.0 - a) * column(fu) + a * column(fu + 1))
+
+
 def plot_mosaic(pixels: DataFrame, matches: DataFrame, width: int, height: int, mode: str = "vertical_strip", feather: float = 0.18) -> dict[str, DataFrame]:
-    """Mosaic per plot from given pair matches: ``transforms, canvas, cells, quality``.
+    """Mosaic per plot from given pair matches: ``transforms, canvas, crop, cells, quality``.
 
     ``matches`` has ``plot, frame, ts_ns, seq`` and the match results of
     :func:`pairing.pair_transform` against the previous frame (NULL for the
-    first).  Frames are blended with a weight that falls off from the middle
-    row.  Each source pixel is sent to its nearest canvas cell.
+    first).  Every canvas cell below a frame's footprint asks that frame for its
+    value, so enlarged and turned frames leave no hole; frames are blended with
+    a weight that falls off from the middle row.  ``crop`` is the box of the
+    valid cells on the canvas (half-open), and ``row, col`` of ``cells`` count
+    from its corner.
     """
     d = pairing.pair_transform(matches, width, height, mode)
     d = running_index(d, ["plot"], ["ts_ns", "seq"], "_i")
     d = d.withColumn("_first", F.col("_i") == 0).withColumn("h", F.when(F.col("_first"), F.lit(None)).otherwise(F.col("h")))
     chain = cut_lineage(trajectory.pose_chain(d.select("plot", "frame", "ts_ns", "seq", "h", "method", "_first"), ["plot"], "h", 3))
     can = cut_lineage(pairing.canvas(chain, ["plot"], "pose", width, height))
-    px = pixels.join(chain.select("plot", "frame", "pose"), ["plot", "frame"]).join(can.select("plot", "tx", "ty"), "plot")
-    u, v = gm.h_apply(F.col("pose"), F.col("c").cast("double"), F.col("r").cast("double"))
-    off = (F.col("r") - height * 0.5) / max(height * feather, 1.0)
-    px = px.select("plot", F.bround(v + F.col("ty")).cast("int").alias("row"), F.bround(u + F.col("tx")).cast("int").alias("col"), "v", F.exp(-0.5 * off * off).alias("w"))
-    blended = rz.weighted_blend(px, ["plot", "row", "col"], ["v"], "w").where("valid").drop("valid")
+    corners = [gm.h_apply(F.col("pose"), F.lit(float(x)), F.lit(float(y))) for x, y in ((0, 0), (width, 0), (width, height), (0, height))]
+    edge = lambda pick, to, i, name: to(pick(*[p[i] for p in corners])).cast("int").alias(name)
+    back = chain.select("plot", "frame", gm.h_inverse(F.col("pose")).alias("_back"), edge(F.least, F.floor, 0, "_c0"), edge(F.least, F.floor, 1, "_r0"), edge(F.greatest, F.ceil, 0, "_c1"), edge(F.greatest, F.ceil, 1, "_r1"))
+    back = cut_lineage(back)
+    cells = back.withColumn("r", F.explode(F.sequence("_r0", "_r1"))).withColumn("c", F.explode(F.sequence("_c0", "_c1")))
+    seen = nb.warp(pixels.select("plot", "frame", "r", "c", F.col("v").cast("double").alias("v")), cells, ["plot", "frame"], F.col("_back"), "v").where("valid")
+    seen = seen.join(back.select("plot", "frame", "_back"), ["plot", "frame"])
+    u, v = gm.h_apply(F.col("_back"), F.col("c").cast("double"), F.col("r").cast("double"))
+    seen = seen.withColumn("_u", u).withColumn("_v", v).withColumn("w", _strip_weight(F.col("_u"), F.col("_v"), width, height, feather))
+    blended = cut_lineage(rz.weighted_blend(seen, ["plot", "r", "c"], ["v"], "w").where("valid").drop("valid"))
+    crop = blended.groupBy("plot").agg(F.min("c").alias("x0"), F.min("r").alias("y0"), (F.max("c") + 1).alias("x1"), (F.max("r") + 1).alias("y1"))
+    cells = blended.join(crop.select("plot", "x0", "y0"), "plot").select("plot", (F.col("r") - F.col("y0")).alias("row"), (F.col("c") - F.col("x0")).alias("col"), "v", "weight")
+    shifted = crop.join(can.select("plot", "tx", "ty"), "plot")
+    crop = shifted.select("plot", *[(F.col(e) + F.col(t)).alias(e) for e, t in (("x0", "tx"), ("y0", "ty"), ("x1", "tx"), ("y1", "ty"))])
     pairs = chain.where(~F.col("_first"))
-    return {"transforms": chain, "canvas": can, "cells": blended, "quality": trajectory.trajectory_quality(pairs, ["plot"], "method", [f"rgb_feature_{mode}", f"soil_feature_{mode}", f"rgb_ecc_{mode}"])}
+    quality = trajectory.trajectory_quality(pairs, ["plot"], "method", [f"rgb_feature_{mode}", f"soil_feature_{mode}", f"rgb_ecc_{mode}"])
+    return {"transforms": chain, "canvas": can, "crop": crop, "cells": cells, "quality": quality}
 
 
 def plot_windows(frames_: DataFrame, fixes: DataFrame, plots: DataFrame, keys: Sequence[str], windows: int, half_ns: int, tolerance_ns: int, min_frames: int, cell_size: float) -> DataFrame:

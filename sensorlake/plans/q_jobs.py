@@ -208,6 +208,41 @@ def plot_mosaic_job(spark, sf):
     return d["cells"].select("plot", "row", "col", F.round("v", 5).alias("v"), F.round("weight", 6).alias("weight"))
 
 
+TURNED = (1.31, -0.23, 7.3, 0.27, 1.22, -23.7, 0.0003, 0.0002, 1.0)
+
+
+def _turned_sql():
+    m = np.array(TURNED).reshape(3, 3)
+    at = np.array([[0, 0, 1], [64, 0, 1], [64, 64, 1], [0, 64, 1]]) @ m.T
+    (x0, y0), (x1, y1) = np.floor((at[:, :2] / at[:, 2:]).min(0)).astype(int), np.ceil((at[:, :2] / at[:, 2:]).max(0)).astype(int)
+    a = np.linalg.inv(m)
+    a = [float(x) for x in (a / a[2, 2]).ravel()]
+    line = lambda i: f"({a[i]!r}::DOUBLE*c+{a[i + 1]!r}::DOUBLE*r+{a[i + 2]!r}::DOUBLE)"
+    g = lambda r: f"CASE WHEN {r}>=0 AND {r}<64 THEN exp(-0.5::DOUBLE*(({r}-32)/11.52::DOUBLE)*(({r}-32)/11.52::DOUBLE)) ELSE 0 END"
+    return f"""t AS (SELECT frame, r, c, CASE WHEN frame%2=0 THEN c ELSE {line(0)}/{line(6)} END AS u, CASE WHEN frame%2=0 THEN r ELSE {line(3)}/{line(6)} END AS v FROM (SELECT DISTINCT frame FROM fx_pixels), range({min(y0, 0)}, {max(y1, 64) + 1}) y(r), range({min(x0, 0)}, {max(x1, 64) + 1}) x(c)),
+q AS (SELECT *, floor(u)::INT AS fu, floor(v)::INT AS fv, u-floor(u) AS a, v-floor(v) AS b FROM t),
+s AS (SELECT q.frame, q.r, q.c, fu, fv, a, b, sum((CASE WHEN j=1 THEN a ELSE 1-a END)*(CASE WHEN i=1 THEN b ELSE 1-b END)*p.v) AS val
+  FROM q, (SELECT unnest([0,1]) AS i), (SELECT unnest([0,1]) AS j), fx_pixels p WHERE p.frame=q.frame AND p.r=fv+i AND p.c=fu+j
+  GROUP BY q.frame, q.r, q.c, fu, fv, a, b HAVING bool_or(j=(a>=0.5)::INT AND i=(b>=0.5)::INT)),
+w AS (SELECT *, ((1-b)*({g("fv")})+b*({g("(fv+1)")}))*((1-a)*(fu>=0 AND fu<64)::INT+a*(fu+1>=0 AND fu+1<64)::INT) AS w FROM s),
+m AS (SELECT frame//2 AS plot, r, c, sum(w*val)/greatest(sum(w),1e-3::DOUBLE) AS v, sum(w) AS weight FROM w GROUP BY frame//2, r, c HAVING sum(w)>0.05::DOUBLE)"""
+
+
+@query(
+    "plot_mosaic_turned",
+    "JOB-06 RAS-01 WIN-11 AGG-13",
+    with_sql("SELECT plot, (r-min(r) OVER (PARTITION BY plot))::INT AS row, (c-min(c) OVER (PARTITION BY plot))::INT AS col, round(v,5) AS v, round(weight,6) AS weight FROM m", "fx_pixels", _turned_sql()),
+)
+def plot_mosaic_turned(spark, sf):
+    px = _dem_px(spark, sf).withColumn("plot", F.expr("frame div 2"))
+    none = F.lit(None).cast("array<double>")
+    m = px.select("plot", "frame").distinct().select(
+        "plot", "frame", F.col("frame").alias("ts_ns"), F.col("frame").alias("seq"), F.array(*[F.lit(x) for x in TURNED]).alias("h_rgb"), F.lit(30).alias("n_rgb"), none.alias("h_soil"), F.lit(0).alias("n_soil"), none.alias("h_ecc"), none.alias("h_phase")
+    )
+    d = jobs.plot_mosaic(px, m, 64, 64, "homography")
+    return d["cells"].select("plot", "row", "col", F.round("v", 5).alias("v"), F.round("weight", 6).alias("weight"))
+
+
 @query(
     "plot_window_discovery",
     "JOB-07 FLT-09 AGG-03 JN-06",
