@@ -120,7 +120,7 @@ PARTS = [
     """pl AS (SELECT frame, avg(x) AS mx, avg(y) AS my, avg(up) AS mz, var_pop(x) AS xx, covar_pop(x,y) AS xy, var_pop(y) AS yy, covar_pop(x,up) AS xz, covar_pop(y,up) AS yz FROM ins JOIN lo USING (frame) WHERE up<=q GROUP BY frame)""",
     """hi AS (SELECT *, CASE WHEN n<20 THEN 0 ELSE greatest(rel-quantile_cont(rel,0.05) OVER (PARTITION BY frame),0) END AS height FROM (
   SELECT ins.*, n, up-((xz*yy-yz*xy)/(xx*yy-xy*xy)*(x-mx)+(yz*xx-xz*xy)/(xx*yy-xy*xy)*(y-my)+mz) AS rel FROM ins JOIN lo USING (frame) JOIN pl USING (frame)))""",
-    "zb AS (SELECT frame, r, c, depth, height, intensity FROM hi QUALIFY row_number() OVER (PARTITION BY frame, r, c ORDER BY depth, seq, sub)=1)",
+    "zb AS (SELECT frame, r, c, depth, height, intensity FROM hi QUALIFY row_number() OVER (PARTITION BY frame, r, c ORDER BY depth, seq, sub, height, intensity)=1)",
     """sp AS (SELECT frame, r+i AS r, c+j AS c, max(depth) AS depth, max(height) AS height, max(intensity) AS intensity FROM zb, (SELECT unnest([-1,0,1]) AS i), (SELECT unnest([-1,0,1]) AS j) GROUP BY 1, 2, 3)""",
 ]
 
