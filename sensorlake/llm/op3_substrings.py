@@ -14,8 +14,9 @@ words also start earlier, in a document with a smaller id or further up in its o
    over all; what is flagged comes back to its document as ranges.
 
 * null or empty text: no words; the digest is that of the empty string
-* null id: takes no part, nothing is removed from it or because of it
-* rows that share an id: the one with the smallest text hash takes part, nothing is removed from the others
+* null id: the row comes after all that have one
+* rows that share an id or have none: documents of their own, in the order of a hash of their text; of rows
+  that are equal in both one stays and the others, like all later copies of a text of ``WINDOW`` words or more, lose every word
 * equal windows are told by a 96-bit hash
 * other columns are untouched and may have any name
 """
@@ -28,7 +29,7 @@ from functools import lru_cache
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -40,6 +41,10 @@ MARKS = WINDOW - PHRASE + 1
 #: Text of one automaton's documents, in characters.
 SHARD_CHARS = 6_000_000
 
+#: What tells one row from another and says which is earlier: no id, the id (a text hash without one), a text hash.
+KEY = ["late", "doc", "twin"]
+_KEY_DDL = "late boolean, doc bigint, twin bigint"
+
 _BASE, _STEP, _STEP_B = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F))
 
 
@@ -129,23 +134,28 @@ class Marked:
         return text, np.flatnonzero(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32) == 32)
 
 
+def _keys(b: pa.RecordBatch) -> list[np.ndarray]:
+    return [b.column(k).to_numpy(zero_copy_only=False) for k in KEY]
+
+
 def marks_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, h, n): marks of every document and in how many places it has them."""
+    """(late, doc, twin, h, n): marks of every document and in how many places it has them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, hs, ns = [], [], []
-            for doc, t in zip(b.column("doc_id").to_pylist(), b.column("text")):
+            at, hs, ns = [], [], []
+            for i, t in enumerate(b.column("text")):
                 m = Marked(t.as_py())
                 if m.windows:
                     h, n = m.marks()
-                    ids.append(np.full(len(h), doc, np.int64))
+                    at.append(np.full(len(h), i, np.int64))
                     hs.append(h)
                     ns.append(n)
-            if ids:
-                yield pa.RecordBatch.from_pydict({"doc_id": np.concatenate(ids), "h": np.concatenate(hs).view(np.int64), "n": np.concatenate(ns).astype(np.int32)})
+            if at:
+                row = np.concatenate(at)
+                yield pa.RecordBatch.from_pydict({**{k: v[row] for k, v in zip(KEY, _keys(b))}, "h": np.concatenate(hs).view(np.int64), "n": np.concatenate(ns).astype(np.int32)})
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, h bigint, n int")
+    return docs.select(*KEY, "text").mapInArrow(run, f"{_KEY_DDL}, h bigint, n int")
 
 
 def _located(docs: list[tuple[Marked, np.ndarray]]) -> list[np.ndarray]:
@@ -179,10 +189,15 @@ def _ranges(doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def windows_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, recurring) to (wa, wb, doc_id, lo, hi, again): windows that go on, the first of each in the batch, and ranges already known to be repeats."""
+    """(key, text, recurring) to (wa, wb, key, lo, hi, again): windows that go on, the first of each in the batch, and ranges already known to be repeats."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            keys = _keys(b)
+            order = np.lexsort(keys[::-1])
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            keys = [k[order] for k in keys]
             wa, wb, ids, at = [], [], [], []
             shard: list[tuple[Marked, np.ndarray]] = []
             names: list[int] = []
@@ -195,7 +210,7 @@ def windows_of(docs: DataFrame) -> DataFrame:
                     ids.append(np.full(len(starts), doc, np.int64))
                     at.append(starts.astype(np.int64))
 
-            for doc, t, r in zip(b.column("doc_id").to_pylist(), b.column("text"), b.column("recurring")):
+            for doc, t, r in zip(place.tolist(), b.column("text"), b.column("recurring")):
                 m = Marked(t.as_py())
                 if not m.windows:
                     continue
@@ -222,25 +237,34 @@ def windows_of(docs: DataFrame) -> DataFrame:
                 {
                     "wa": np.concatenate([a[first], _mix(rd.astype(np.uint64) + (rl.astype(np.uint64) << np.uint64(32)))]).view(np.int64),
                     "wb": np.concatenate([c[first].astype(np.int64), np.full(n, -1)]),
-                    "doc_id": np.concatenate([d[first], rd]),
+                    **{k: v[np.concatenate([d[first], rd])] for k, v in zip(KEY, keys)},
                     "lo": np.concatenate([s[first], rl]).astype(np.int32),
                     "hi": np.concatenate([s[first], rh]).astype(np.int32),
                     "again": np.concatenate([np.zeros(int(first.sum()), bool), np.ones(n, bool)]),
                 }
             )
 
-    return docs.select("doc_id", "text", "recurring").mapInArrow(run, "wa bigint, wb bigint, doc_id bigint, lo int, hi int, again boolean")
+    return docs.select(*KEY, "text", "recurring").mapInArrow(run, f"wa bigint, wb bigint, {_KEY_DDL}, lo int, hi int, again boolean")
+
+
+def _other(df: DataFrame, *more: str) -> DataFrame:
+    """The key under other names, so that a join can tell the sides apart."""
+    return df.select(*[F.col(k).alias(f"o_{k}") for k in KEY], *more)
+
+
+def _same() -> Column:
+    return (F.col("late") == F.col("o_late")) & (F.col("doc") == F.col("o_doc")) & (F.col("twin") == F.col("o_twin"))
 
 
 def repeats(texts: DataFrame, undealt: DataFrame) -> DataFrame:
-    """(r_id, ranges): for documents with repeats the starts of windows that occurred before. ``texts``: doc_id and text, dealt by doc_id; ``undealt``: the same rows before that."""
+    """(o_late, o_doc, o_twin, ranges): for documents with repeats the starts of windows that occurred before. ``texts``: key and text, dealt by key; ``undealt``: the same rows before that."""
     marks = marks_of(texts)
     recurring = cut_lineage(marks_of(undealt).groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select(F.col("h").alias("r_h")))
-    held = marks.join(recurring, F.col("h") == F.col("r_h"), "left_semi").groupBy(F.col("doc_id").alias("m_id")).agg(F.collect_list("h").alias("recurring"))
-    met = texts.join(held.hint("shuffle_hash"), F.col("doc_id") == F.col("m_id"))
-    w = Window.partitionBy("wa", "wb").orderBy("doc_id", "lo")
+    held = marks.join(recurring, F.col("h") == F.col("r_h"), "left_semi").groupBy(*KEY).agg(F.collect_list("h").alias("recurring"))
+    met = texts.join(_other(held, "recurring").hint("shuffle_hash"), _same())
+    w = Window.partitionBy("wa", "wb").orderBy(*KEY, "lo")
     flagged = windows_of(met).withColumn("nth", F.row_number().over(w)).where("again OR nth > 1")
-    return flagged.groupBy(F.col("doc_id").alias("r_id")).agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
+    return _other(flagged.groupBy(*KEY).agg(F.collect_list(F.struct("lo", "hi")).alias("ranges")), "ranges")
 
 
 def _digests(df: DataFrame, gone: bool = False) -> DataFrame:
@@ -268,24 +292,37 @@ def _digests(df: DataFrame, gone: bool = False) -> DataFrame:
     return map_rows(df, run, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
 
 
+def _copies(rows: DataFrame) -> DataFrame:
+    """(key, first, n) of texts that occur more than once: whether the row is the earliest with its text, and how many rows are equal to it."""
+    digest = F.sha2(F.col("text").cast("binary"), 256)
+    owners = rows.groupBy(digest.alias("digest")).agg(F.min(F.struct("late", "doc")).alias("owner"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    met = rows.select(*KEY, digest.alias("c_digest")).join(owners, F.col("c_digest") == F.col("digest"))
+    first = (F.col("late") == F.col("owner.late")) & (F.col("doc") == F.col("owner.doc"))
+    return cut_lineage(met.select(*KEY, first.alias("first")).groupBy(*KEY, "first").agg(F.count(F.lit(1)).alias("n")))
+
+
 def deduplicate(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) per row of ``docs`` (doc_id, text)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    known = rows.where("doc_id IS NOT NULL")
-    aside = rows.where("doc_id IS NULL")
-    if not known.groupBy("doc_id").count().where("count > 1").isEmpty():
-        nth = known.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))))
-        known, aside = nth.where("nth = 1").drop("nth"), aside.union(nth.where("nth > 1").drop("nth"))
-    digest = F.sha2(F.col("text").cast("binary"), 256).alias("digest")
-    owners = known.groupBy(digest).agg(F.min("doc_id").alias("owner"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    copies = known.select("doc_id", digest.alias("c_digest")).join(owners, F.col("c_digest") == F.col("digest")).where("doc_id <> owner")
-    copies = cut_lineage(copies.select(F.col("doc_id").alias("c_id")))
-    # Marks are counted where the texts lie. Then texts are dealt by id once: one exchange serves marks, automata and final digests.
-    undealt = known.join(copies, F.col("doc_id") == F.col("c_id"), "left_anti")
-    texts = known.repartition("doc_id").join(copies.hint("shuffle_hash"), F.col("doc_id") == F.col("c_id"), "left_anti")
-    found = texts.join(repeats(texts, undealt).hint("shuffle_hash"), F.col("doc_id") == F.col("r_id"), "left").select("doc_id", "text", "ranges")
-    again = known.repartition("doc_id").join(copies.hint("shuffle_hash"), F.col("doc_id") == F.col("c_id"), "left_semi")
-    return _digests(found).union(_digests(again, gone=True)).union(_digests(aside))
+    rows = rows.select("*", F.col("doc_id").isNull().alias("late"), F.coalesce("doc_id", F.xxhash64("text")).alias("doc"), F.xxhash64(F.lit(1), "text").alias("twin"))
+    copies = _copies(rows)
+    aside = _other(copies.where("NOT first OR n > 1"))
+    # Marks are counted where the texts lie. Then texts are dealt by key once: one exchange serves marks, automata and final digests.
+    dealt = rows.repartition(*KEY)
+    undealt = rows.join(aside, _same(), "left_anti")
+    texts = dealt.join(aside.hint("shuffle_hash"), _same(), "left_anti")
+    again = dealt.join(_other(copies.where("NOT first")).hint("shuffle_hash"), _same(), "left_semi")
+    equal = _other(copies.where("first AND n > 1"))
+    if not equal.isEmpty():
+        # Rows equal in id and text get numbers in a written table, so that exactly one of them stays.
+        twins = cut_lineage(rows.join(equal, _same(), "left_semi").withColumn("number", F.monotonically_increasing_id()))
+        least = _other(twins.groupBy(*KEY).agg(F.min("number").alias("least")), "least")
+        twins = twins.join(least, _same())
+        one = twins.where("number = least").select(*rows.columns)
+        undealt, texts = undealt.union(one), texts.union(one).repartition(*KEY)
+        again = again.union(twins.where("number > least").select(*rows.columns))
+    found = texts.join(repeats(texts, undealt).hint("shuffle_hash"), _same(), "left").select("doc_id", "text", "ranges")
+    return _digests(found).union(_digests(again.select("doc_id", "text"), gone=True))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

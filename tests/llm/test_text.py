@@ -90,6 +90,12 @@ def test_substrings_against_plain(spark):
     assert got == plain_substrings(rows)
 
 
+def substrings_in_order(rows):
+    """(id, text) of the rows, in the order in which the operator takes them, with what stays of each."""
+    rows = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0))
+    return list(zip(rows, plain_substrings([(k, t) for k, (_, t) in enumerate(rows)]).values()))
+
+
 def test_substrings_odd_rows(spark):
     got = op3_substrings.deduplicate(docs(spark, ODD)).collect()
     assert len(got) == len(ODD)
@@ -99,6 +105,24 @@ def test_substrings_odd_rows(spark):
     assert op3_substrings.deduplicate(docs(spark, [])).count() == 0
 
 
+def test_substrings_of_rows_that_share_an_id_or_have_none(spark):
+    passage, other = prose(1, 40), prose(2, 40)
+    own = [prose(50 + i, 25) for i in range(8)]
+    # Equal rows, rows of one id with different texts, none of them earlier than id 1, and rows without an id.
+    rows = [(1, passage), (2, passage), (2, passage), (2, f"{own[0]} {passage}"), (None, f"{passage} {own[1]}"), (None, passage), (None, passage), (3, own[2]), (3, own[2]), (3, own[2]), (4, f"{own[3]} {own[3]}"), (None, f"{own[4]} {own[2]}")]
+    got = sorted(((g.doc_id is None, g.doc_id or 0, g.n_words, g.n_removed, g.kept_sha256) for g in op3_substrings.deduplicate(docs(spark, rows, extra=True)).collect()))
+    want = sorted((i is None, i or 0, *w) for (i, _), w in substrings_in_order(rows))
+    assert got == want
+    # A passage that only rows of one id hold, or only rows without one, stays in exactly one of them.
+    for i in (5, None):
+        rows = [(i, f"{own[k]} {other} {own[k + 4]}") for k in range(3)]
+        got = [(g.n_words, g.n_removed) for g in op3_substrings.deduplicate(docs(spark, rows)).collect()]
+        assert sorted(got) == [(90, 0), (90, 40), (90, 40)]
+    # Ids at the end of their range come before rows without one.
+    rows = [(2**63 - 1, passage), (None, passage), (-(2**63), other), (None, other)]
+    assert {(g.doc_id, g.n_removed) for g in op3_substrings.deduplicate(docs(spark, rows)).collect()} == {(2**63 - 1, 0), (None, 40), (-(2**63), 0)}
+
+
 def test_phrase_hashes_agree_with_direct_sums():
     words = prose(4, 60).encode().split() + [b"a" * 5000]
     h = op3_substrings.word_hashes(words)
