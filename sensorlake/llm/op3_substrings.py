@@ -268,7 +268,9 @@ def repeats(texts: DataFrame, undealt: DataFrame) -> DataFrame:
 
 
 def _digests(df: DataFrame, gone: bool = False) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256) from (doc_id, text, ranges); ``gone``: every window is a repeat."""
+    """(doc_id, n_words, n_removed, kept_sha256) from (key, text, ranges); ``gone``: every window is a repeat."""
+    # All uses of the dealt rows read the same columns, so that they share one exchange; the id comes back here.
+    df = df.select(F.when(~F.col("late"), F.col("doc")).alias("doc_id"), *[c for c in ("text", "ranges") if c in df.columns])
 
     def run(c: dict) -> dict:
         out: dict[str, list] = {"n_words": [], "n_removed": [], "kept_sha256": []}
@@ -295,16 +297,17 @@ def _digests(df: DataFrame, gone: bool = False) -> DataFrame:
 def _copies(rows: DataFrame) -> DataFrame:
     """(key, first, n) of texts that occur more than once: whether the row is the earliest with its text, and how many rows are equal to it."""
     digest = F.sha2(F.col("text").cast("binary"), 256)
-    owners = rows.groupBy(digest.alias("digest")).agg(F.min(F.struct("late", "doc")).alias("owner"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    owners = rows.groupBy(digest.alias("digest")).agg(F.min(F.when(~F.col("late"), F.col("doc"))).alias("owner"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     met = rows.select(*KEY, digest.alias("c_digest")).join(owners, F.col("c_digest") == F.col("digest"))
-    first = (F.col("late") == F.col("owner.late")) & (F.col("doc") == F.col("owner.doc"))
+    # Rows without an id that have one text are equal, so any of them may be the first.
+    first = F.when(F.col("owner").isNull(), F.lit(True)).otherwise(~F.col("late") & (F.col("doc") == F.col("owner")))
     return cut_lineage(met.select(*KEY, first.alias("first")).groupBy(*KEY, "first").agg(F.count(F.lit(1)).alias("n")))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) per row of ``docs`` (doc_id, text)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.select("*", F.col("doc_id").isNull().alias("late"), F.coalesce("doc_id", F.xxhash64("text")).alias("doc"), F.xxhash64(F.lit(1), "text").alias("twin"))
+    rows = rows.select(F.col("doc_id").isNull().alias("late"), F.coalesce("doc_id", F.xxhash64("text")).alias("doc"), F.xxhash64(F.lit(1), "text").alias("twin"), "text")
     copies = _copies(rows)
     aside = _other(copies.where("NOT first OR n > 1"))
     # Marks are counted where the texts lie. Then texts are dealt by key once: one exchange serves marks, automata and final digests.
@@ -321,8 +324,8 @@ def deduplicate(docs: DataFrame) -> DataFrame:
         one = twins.where("number = least").select(*rows.columns)
         undealt, texts = undealt.union(one), texts.union(one).repartition(*KEY)
         again = again.union(twins.where("number > least").select(*rows.columns))
-    found = texts.join(repeats(texts, undealt).hint("shuffle_hash"), _same(), "left").select("doc_id", "text", "ranges")
-    return _digests(found).union(_digests(again.select("doc_id", "text"), gone=True))
+    found = texts.join(repeats(texts, undealt).hint("shuffle_hash"), _same(), "left").select(*KEY, "text", "ranges")
+    return _digests(found).union(_digests(again, gone=True))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
