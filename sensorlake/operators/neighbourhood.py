@@ -94,8 +94,8 @@ def frame_size(df: DataFrame, keys: Sequence[str], r: str = "r", c: str = "c") -
     return df.groupBy(*keys).agg((F.max(r) + 1).alias("_nr"), (F.max(c) + 1).alias("_nc"))
 
 
-def convolve(df: DataFrame, keys: Sequence[str], value: str, row_kernel: Sequence[float], col_kernel: Sequence[float], name: str = "out", r: str = "r", c: str = "c", dense: bool = True) -> DataFrame:
-    """Separable correlation; the border of a dense frame is mirrored, a sparse one is normalised by weight.
+def convolve(df: DataFrame, keys: Sequence[str], value: str, row_kernel: Sequence[float], col_kernel: Sequence[float], name: str = "out", r: str = "r", c: str = "c", dense: bool = True, repeat: bool = False) -> DataFrame:
+    """Separable correlation; the border of a dense frame is mirrored (or, with ``repeat``, its edge cells go on), a sparse one is normalised by weight.
 
     ``row_kernel`` runs down the rows, ``col_kernel`` along the columns.  A
     mirrored border is produced by sending each near-border cell to its mirror
@@ -109,7 +109,10 @@ def convolve(df: DataFrame, keys: Sequence[str], value: str, row_kernel: Sequenc
         if dense:
             d = _null_safe(d, size, keys, "inner") if keys else d.withColumn("_z", size.select(F.struct("*")).scalar()).select("*", "_z.*").drop("_z")
             x, m = F.col(axis), F.col(n)
-            images = F.filter(
+            beyond = lambda a, b: F.transform(F.sequence(a, b), lambda p: F.struct(p.alias("p")))
+            images = F.concat(
+                F.array(F.struct(x.alias("p"))), F.when(x == 0, beyond(x - h, x - 1)).otherwise(F.array()), F.when(x == m - 1, beyond(x + 1, x + h)).otherwise(F.array())
+            ) if repeat else F.filter(
                 F.array(F.struct(x.alias("p")), F.struct(F.when((x >= 1) & (x <= h), -x).alias("p")), F.struct(F.when((x >= m - 1 - h) & (x < m - 1), 2 * (m - 1) - x).alias("p"))),
                 lambda s: s["p"].isNotNull(),
             )

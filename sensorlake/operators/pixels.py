@@ -13,10 +13,16 @@ from pyspark.sql.window import Window
 from sensorlake.operators import neighbourhood as nb
 from sensorlake.operators.ordered import _null_safe
 from sensorlake.operators.quantiles import attach_quantiles, exact_quantiles
+from sensorlake.session import cut_lineage
 
 # Weight of the mean absolute gradient and of the saturated share.
 QUALITY_WEIGHTS = {"campaign": (0.35, 25.0), "partial_grid": (0.35, 0.0), "thermal": (0.35, 35.0), "intrinsics": (0.25, 18.0)}
 SATURATED = (2, 253)
+# Fixed values of the mask variants: blur, percentile cuts, block, its deviation and offset, gradient stretch and cut.
+BLUR5 = (1 / 16, 4 / 16, 6 / 16, 4 / 16, 1 / 16)
+MASK_CUTS = (60, 70, 80)
+ADAPTIVE_BLOCK, ADAPTIVE_SIGMA, ADAPTIVE_OFFSET = 41, 6.5, 2
+EDGE_STRETCH, EDGE_CUT = (0.05, 0.99), 0.8
 # Fixed value: added to the length of the parity product so that flat grids score zero.
 PARITY_FLOOR = 1e-6
 
@@ -189,3 +195,43 @@ def threshold_variants(pixels: DataFrame, keys: Sequence[str], value: str) -> Da
         out[f"hot_{p}"] = v >= F.col(f"_p{p}")
         out[f"cold_{p}"] = v <= F.col(f"_p{100 - p}")
     return d.select(*pixels.columns, *[e.alias(n) for n, e in out.items()])
+
+
+def mask_variants(pixels: DataFrame, keys: Sequence[str], value: str, r: str = "r", c: str = "c") -> DataFrame:
+    """All candidate masks of a dense frame of 0..255, as flags per cell of ``keys, r, c``.
+
+    The frame is blurred and rounded first. ``otsu_*``, ``hot_*`` / ``cold_*`` cut
+    it at one level per frame (percentiles lose their fraction), ``adaptive_*`` at the weighted mean of the block around each
+    cell, edge cells repeated, ``edge`` at the percentile of the stretched gradient.
+    Frames no larger than the block have no adaptive mask (NULL). Cells without a value count as no part of the frame.
+    """
+    from sensorlake.operators.rasterize import otsu, robust_stretch
+
+    at = [*keys, r, c]
+    given = pixels.where(F.col(value).isNotNull()).select(*at, F.col(value).alias("_v"))
+    half_up = lambda v: F.floor(v + 0.5).cast("int")
+    # Three kernels start from the blurred frame: it is written once.
+    b = cut_lineage(nb.convolve(given, keys, "_v", BLUR5, BLUR5, "_b", r, c).select(*at, half_up(F.col("_b")).alias("_b")))
+    block = nb.gaussian_kernel(ADAPTIVE_SIGMA, ADAPTIVE_BLOCK // 2)
+    mean = nb.convolve(b, keys, "_b", block, block, "_mean", r, c, repeat=True)
+    slope = lambda row, col, name: nb.convolve(b, keys, "_b", row, col, name, r, c)
+    gradient = _null_safe(slope(nb.SMOOTH3, nb.DIFF3, "_gx"), slope(nb.DIFF3, nb.SMOOTH3, "_gy"), at, "inner")
+    gradient = robust_stretch(gradient.select(*at, (F.abs("_gx") + F.abs("_gy")).alias("_g")), keys, "_g", *EDGE_STRETCH, "_u")
+    gradient = attach_quantiles(gradient, keys, "_u", {"_edge": EDGE_CUT}).select(*at, "_u", "_edge")
+
+    levels = exact_quantiles(b, keys, "_b", {f"_p{p}": p / 100 for p in sorted({*MASK_CUTS, *(100 - p for p in MASK_CUTS)})})
+    per_frame = [otsu(b, keys, "_b").withColumnRenamed("threshold", "_t"), levels, nb.frame_size(b, keys, r, c)]
+    d = _null_safe(_null_safe(b, mean, at, "inner"), gradient, at, "inner")
+    for t in per_frame:
+        d = _null_safe(d, t, keys, "inner")
+    v = F.col("_b")
+    whole = lambda name: F.floor(F.col(name)).cast("int")
+    out: dict[str, Column] = {"otsu_hot": v > F.col("_t"), "otsu_cold": v <= F.col("_t")}
+    for p in MASK_CUTS:
+        out[f"hot_{p}"] = v >= whole(f"_p{p}")
+        out[f"cold_{100 - p}"] = v <= whole(f"_p{100 - p}")
+    above = v > half_up(F.col("_mean")) - ADAPTIVE_OFFSET
+    large = F.least("_nr", "_nc") > ADAPTIVE_BLOCK
+    out["adaptive_hot"], out["adaptive_cold"] = F.when(large, above), F.when(large, ~above)
+    out["edge"] = F.col("_u") >= whole("_edge")
+    return d.select(*at, *[e.alias(n) for n, e in out.items()])

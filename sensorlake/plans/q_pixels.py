@@ -401,3 +401,40 @@ def valid_area_fraction(spark, sf):
 def frame_scan_statistics(spark, sf):
     g = _px(spark, sf).groupBy("frame").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.round(F.avg("v"), 6).alias("mean"), F.count(F.lit(1)).alias("cells"), F.count_if(F.col("v") > 128).alias("bright"))
     return g
+
+
+def _mirrored(x: str, n: str) -> str:
+    return f"CASE WHEN abs({x})>{n} THEN 2*{n}-abs({x}) ELSE abs({x}) END"
+
+
+MASK_FLAGS = ["otsu_hot", "otsu_cold", "hot_60", "cold_40", "hot_70", "cold_30", "hot_80", "cold_20", "adaptive_hot", "adaptive_cold", "edge"]
+MASKS = f"""sz AS (SELECT frame, max(r) AS mr, max(c) AS mc FROM fx_pixels GROUP BY frame),
+taps AS (SELECT * FROM (VALUES (-2,1),(-1,4),(0,6),(1,4),(2,1)) t(o,w)),
+b1 AS (SELECT a.frame, a.r, a.c, sum(w*b.v) AS v FROM (SELECT f.frame, r, c, w, {_mirrored("c+o", "mc")} AS at FROM fx_pixels f JOIN sz USING (frame), taps) a JOIN fx_pixels b ON b.frame=a.frame AND b.r=a.r AND b.c=a.at GROUP BY a.frame, a.r, a.c),
+bl AS (SELECT a.frame, a.r, a.c, floor(sum(w*b.v)/256+0.5)::BIGINT AS v FROM (SELECT f.frame, r, c, w, {_mirrored("r+o", "mr")} AS at FROM b1 f JOIN sz USING (frame), taps) a JOIN b1 b ON b.frame=a.frame AND b.c=a.c AND b.r=a.at GROUP BY a.frame, a.r, a.c),
+wide AS (SELECT o, e/sum(e) OVER () AS w FROM (SELECT o::INT AS o, exp(-0.5::DOUBLE*(o/6.5::DOUBLE)*(o/6.5::DOUBLE)) AS e FROM range(-20,21) t(o))),
+m1 AS (SELECT a.frame, a.r, a.c, sum(w*b.v) AS v FROM (SELECT f.frame, r, c, w, greatest(0,least(mc,c+o)) AS at FROM bl f JOIN sz USING (frame), wide) a JOIN bl b ON b.frame=a.frame AND b.r=a.r AND b.c=a.at GROUP BY a.frame, a.r, a.c),
+mn AS (SELECT a.frame, a.r, a.c, floor(sum(w*b.v)+0.5) AS mean FROM (SELECT f.frame, r, c, w, greatest(0,least(mr,r+o)) AS at FROM bl f JOIN sz USING (frame), wide) a JOIN m1 b ON b.frame=a.frame AND b.c=a.c AND b.r=a.at GROUP BY a.frame, a.r, a.c),
+gr AS (SELECT a.frame, a.r, a.c, (abs(sum(b.v*j*(2-abs(i))))+abs(sum(b.v*i*(2-abs(j)))))::DOUBLE AS g FROM (
+  SELECT f.frame, r, c, i, j, {_mirrored("r+i", "mr")} AS ar, {_mirrored("c+j", "mc")} AS ac FROM bl f JOIN sz USING (frame), (SELECT unnest([-1,0,1]) AS i), (SELECT unnest([-1,0,1]) AS j)) a
+  JOIN bl b ON b.frame=a.frame AND b.r=a.ar AND b.c=a.ac GROUP BY a.frame, a.r, a.c),
+st AS (SELECT frame, quantile_cont(g,0.05) AS lo, quantile_cont(g,0.99) AS hi FROM gr GROUP BY frame),
+ed AS (SELECT frame, r, c, trunc(least(greatest((g-lo)*255/(CASE WHEN hi<=lo THEN 1 ELSE hi-lo END),0),255)) AS u FROM gr JOIN st USING (frame)),
+eq AS (SELECT frame, floor(quantile_cont(u,0.8)) AS cut FROM ed GROUP BY frame),
+ot AS (SELECT frame, bin AS t FROM (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY b DESC, bin) AS rn FROM (
+  SELECT frame, bin, CASE WHEN n>w0 THEN w0*(n-w0)*(s0/w0-(s-s0)/(n-w0))*(s0/w0-(s-s0)/(n-w0)) ELSE 0 END AS b FROM (
+    SELECT frame, bin, sum(c) OVER w AS w0, sum(c*bin) OVER w AS s0, sum(c) OVER (PARTITION BY frame) AS n, sum(c*bin) OVER (PARTITION BY frame) AS s
+    FROM (SELECT frame, v AS bin, count(*)::DOUBLE AS c FROM bl GROUP BY frame, v) WINDOW w AS (PARTITION BY frame ORDER BY bin)))) WHERE rn=1),
+qs AS (SELECT frame, {", ".join(f"floor(quantile_cont(v::DOUBLE,{p / 100})) AS q{p}" for p in (20, 30, 40, 60, 70, 80))} FROM bl GROUP BY frame),
+ms AS (SELECT bl.frame, bl.r, bl.c, bl.v>t AS otsu_hot, bl.v<=t AS otsu_cold, {", ".join(f"bl.v>=q{p} AS hot_{p}, bl.v<=q{100 - p} AS cold_{100 - p}" for p in (60, 70, 80))},
+  CASE WHEN least(mr,mc)>=41 THEN bl.v>mean-2 END AS adaptive_hot, CASE WHEN least(mr,mc)>=41 THEN bl.v<=mean-2 END AS adaptive_cold, u>=cut AS edge
+  FROM bl JOIN mn USING (frame, r, c) JOIN ed USING (frame, r, c) JOIN ot USING (frame) JOIN qs USING (frame) JOIN eq USING (frame) JOIN sz USING (frame))"""
+
+
+@query(
+    "mask_variants",
+    "RAS-08 WIN-13 RAS-03",
+    with_sql(f"SELECT frame, r, c, {', '.join(MASK_FLAGS)} FROM ms", "fx_pixels", MASKS),
+)
+def mask_variants(spark, sf):
+    return px.mask_variants(_px(spark, sf), K, "v")
