@@ -105,6 +105,26 @@ def odometry_columns(spark, sf):
     return recordings.read_odometry(spark, path).select("stamp_ns", "x", "y", "z", "qw")
 
 
+@query(
+    "odometry_rejects",
+    "SRC-06 SNK-09",
+    with_sql(
+        """SELECT CASE WHEN seq%11<>0 THEN ts_ns END AS stamp_ns, CASE WHEN seq%7<>0 THEN v END AS x, v*2 AS y,
+  CASE WHEN seq%11=0 AND seq%7=0 THEN 'stamp_ns,x' WHEN seq%11=0 THEN 'stamp_ns' WHEN seq%7=0 THEN 'x' END AS error FROM fx_stream""",
+        "fx_stream",
+    ),
+)
+def odometry_rejects(spark, sf):
+    """Some stamps are missing and some positions are no numbers; these rows come with their error, the rest is read."""
+    s, zero = fx_stream(spark, sf), F.lit("0.0")
+    stamp = F.when(F.col("seq") % 11 != 0, F.col("ts_ns").cast("string"))
+    x = F.when(F.col("seq") % 7 == 0, F.when(F.col("seq") % 2 == 0, "n/a").otherwise("NaN")).otherwise(F.col("v").cast("string"))
+    cols = {"stamp_ns": stamp, "x": x, "y": F.col("v") * 2, "z": zero, "qx": zero, "qy": zero, "qz": zero, "qw": zero}
+    path = shared_folder(spark, "odometry")
+    s.select(*[c.alias(recordings.ODOMETRY[n]) for n, c in cols.items()]).write.csv(path, header=True)
+    return recordings.read_odometry_checked(spark, path).select("stamp_ns", "x", "y", "error")
+
+
 @query("recording_discovery", "SRC-02", with_sql("SELECT DISTINCT 'bag_'||k AS bag FROM fx_stream", "fx_stream"))
 def recording_discovery(spark, sf):
     """One folder per recording is written and the recordings are found by their files."""
@@ -182,6 +202,31 @@ def nested_detection_scan(spark, sf):
     return d.select("label", "sensor", "frame_index", "score", F.size("corners").alias("corners"), pointfilters.complete_pattern(F.col("corners"), F.col("cols"), F.col("rows"), 4, 3).alias("complete"))
 
 
+@query(
+    "detection_document_rejects",
+    "SRC-11 SNK-09",
+    with_sql(
+        """SELECT path, CASE WHEN h=0 THEN 'unreadable document' WHEN h=1 THEN 'no results' WHEN h=2 THEN 'empty document' END AS error, CASE WHEN h>2 THEN n ELSE 0 END AS n, CASE WHEN h>2 THEN best END AS best
+FROM (SELECT 'doc_'||k AS path, k%5 AS h, count(DISTINCT st) AS n, max(v) AS best FROM fx_stream GROUP BY k)""",
+        "fx_stream",
+    ),
+)
+def detection_document_rejects(spark, sf):
+    """One document per recording is written, some cut off, without results or empty; each gives its detections or its error."""
+    best = fx_stream(spark, sf).groupBy("k", "st").agg(F.max("v").alias("v"))
+    det = F.struct(F.lit(True).alias("checker_detected"), F.col("v").alias("score"))
+    per = best.groupBy("k").agg(F.map_from_entries(F.collect_list(F.struct("st", det))).alias("detections"))
+    text = F.to_json(F.struct(F.array(F.struct(F.concat(F.lit("doc_"), F.col("k")).alias("label_norm"), "detections")).alias("results")))
+    kind = F.pmod("k", F.lit(5))
+    text = F.when(kind == 0, F.substring(text, 1, 40)).when(kind == 1, '{"other": 1}').when(kind == 2, " ").otherwise(text)
+    folder = shared_folder(spark, "documents")
+    per.select(F.concat(F.lit("doc_"), F.col("k")).alias("name"), text.alias("value")).write.partitionBy("name").text(folder)
+    rows, rejects = documents.read_detections_checked(spark, folder, "scan")
+    name = F.regexp_extract("path", "name=([^/]+)/", 1).alias("path")
+    good = rows.groupBy(F.col("label").alias("path")).agg(F.lit(None).cast("string").alias("error"), F.count(F.lit(1)).alias("n"), F.max("score").alias("best"))
+    return good.union(rejects.select(name, "error", F.lit(0).cast("bigint").alias("n"), F.lit(None).cast("double").alias("best")))
+
+
 @query(
     "calibration_documents",
     "SRC-12",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from sensorlake.functions.labels import label_of
 from sensorlake.sources import schemas as sc
@@ -16,6 +17,27 @@ def read_detections(spark: SparkSession, path: str | None, source: str) -> DataF
     return flatten_detections(spark.read.schema(sc.DETECTION_DOCUMENT).json(path, multiLine=True), source)
 
 
+def parse_detections(texts: DataFrame) -> DataFrame:
+    """``path, results, error`` of whole detection documents (``path, text``).
+
+    A document is taken whole or not at all: ``error`` says why one is not read
+    (empty, unreadable as JSON of the expected types, or without results), and its ``results`` are NULL.
+    """
+    schema = StructType([*sc.DETECTION_DOCUMENT.fields, StructField("_broken", StringType())])
+    d = F.from_json("text", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"})
+    blank = ~F.coalesce(F.col("text").rlike(r"\S"), F.lit(False))
+    d = texts.select("path", d.alias("_d"), blank.alias("_blank"))
+    error = F.when(F.col("_blank"), "empty document").when(F.col("_d").isNull() | F.col("_d._broken").isNotNull(), "unreadable document").when(F.col("_d.results").isNull(), "no results")
+    d = d.withColumn("error", error)
+    return d.select("path", F.when(F.col("error").isNull(), F.col("_d.results")).alias("results"), "error")
+
+
+def read_detections_checked(spark: SparkSession, path: str, source: str) -> tuple[DataFrame, DataFrame]:
+    """Detection rows of all readable documents below ``path``, and ``path, error`` of the others."""
+    d = parse_detections(spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")))
+    return flatten_detections(d.where("error IS NULL"), source), d.where("error IS NOT NULL").select("path", "error")
+
+
 def flatten_detections(docs: DataFrame, source: str) -> DataFrame:
     """One row per result and sensor with typed corners and pattern."""
     r = docs.select(F.inline("results"))

@@ -139,6 +139,24 @@ def read_odometry(spark: SparkSession, path: str, stamp_through_double: bool = F
     return raw.select(first.alias("stamp_ns"), *[F.col(f"`{c}`").cast("double").alias(n) for n, c in ODOMETRY.items() if n != "stamp_ns"])
 
 
+def read_odometry_checked(spark: SparkSession, path: str) -> DataFrame:
+    """Pose rows like :func:`read_odometry` with ``path``, ``error`` and the ``line`` of bad rows.
+
+    A number that is missing, unreadable or not finite makes its field NULL and is
+    named in ``error``; so is a line with too few or too many fields. All rows stay, good ones with a NULL error.
+    """
+    header = spark.read.csv(path, header=True).columns
+    schema = ", ".join(f"`{c}` string" for c in [*header, "_line"])
+    raw = spark.read.schema(schema).csv(path, header=True, columnNameOfCorruptRecord="_line").select("*", F.col("_metadata.file_path").alias("path"))
+    text = {n: F.trim(F.col(f"`{c}`")) if c in header else F.lit(None).cast("string") for n, c in ODOMETRY.items()}
+    typed = {n: t.try_cast("double") for n, t in text.items()}
+    finite = lambda v: F.when(~F.isnan(v) & (F.abs(v) < float("inf")), v)
+    typed = {n: finite(v) for n, v in typed.items()}
+    typed["stamp_ns"] = F.coalesce(text["stamp_ns"].try_cast("bigint"), typed["stamp_ns"].try_cast("bigint"))
+    bad = F.concat_ws(",", *[F.when(v.isNull(), n) for n, v in typed.items()], F.when(F.col("_line").isNotNull(), "line"))
+    return raw.select(*[v.alias(n) for n, v in typed.items()], "path", F.when(bad != "", bad).alias("error"), F.col("_line").alias("line"))
+
+
 # Fixed value: smallest number taken for a nanosecond stamp in a file name.
 MIN_STAMP_IN_NAME = 1_000_000_000_000
 

@@ -260,3 +260,33 @@ def test_registry_is_complete():
     ids = set(re.findall(r"^\| ((?:SRC|SNK|FLT|JN|AGG|WIN|SET|SCL|RAS|JOB|ST)-\d+) \|", text, re.M))
     missing = ids - covered
     assert missing <= {"SRC-02"}, sorted(missing)
+
+
+def test_bad_documents_and_bad_rows_do_not_stop_the_rest(spark, tmp_path):
+    good = '{"results": [{"bag": "b", "label_norm": "L", "detections": {"rgb": {"checker_detected": true, "score": 2.5}}}]}'
+    texts = {"good": good, "pretty": good.replace("{", "{\n"), "cut": good[:60], "empty": "", "blank": " \n\t", "other": '{"x": 1}', "list": "[1, 2]", "typed": '{"results": "none"}', "late": good.replace("2.5", '"high"')}
+    for n, t in texts.items():
+        (tmp_path / f"{n}.json").write_text(t)
+    rows, rejects = documents.read_detections_checked(spark, str(tmp_path), "s")
+    assert [(r.label, r.sensor, r.score) for r in rows.collect()] == [("L", "rgb", 2.5)] * 2
+    errors = {r.path.rsplit("/", 1)[1][:-5]: r.error for r in rejects.collect()}
+    assert errors.pop("other") == "no results" and errors.pop("empty", "empty document") == "empty document" and errors.pop("blank") == "empty document"
+    assert errors == dict.fromkeys(["cut", "list", "typed", "late"], "unreadable document")
+    none = spark.createDataFrame([("p", None)], "path string, text string")
+    assert documents.parse_detections(none).first().error == "empty document"
+
+
+def test_bad_odometry_rows(spark, tmp_path):
+    names = list(recordings.ODOMETRY)
+    fine = {n: "1.5" for n in names} | {"stamp_ns": "1700000000000000001"}
+    lines = [fine, fine | {"x": "inf"}, fine | {"stamp_ns": ""}, fine | {"qw": "nan", "y": "abc"}, fine | {"stamp_ns": " 17E17"}, fine | {"stamp_ns": "1e99"}]
+    text = [",".join(recordings.ODOMETRY[n] for n in names), *[",".join(x[n] for n in names) for x in lines], "1700000000000000002,1", ",".join(["1"] * (len(names) + 1))]
+    (tmp_path / "o.csv").write_text("\n".join(text))
+    got = recordings.read_odometry_checked(spark, str(tmp_path)).collect()
+    assert len(got) == 8
+    errors = [g.error for g in got]
+    order = {n: i for i, n in enumerate(names)}
+    spelled = lambda *ns: ",".join(sorted(ns, key=order.get))
+    assert errors[:6] == [None, "x", "stamp_ns", spelled("qw", "y"), None, "stamp_ns"]
+    assert got[0].stamp_ns == 1700000000000000001 and got[4].stamp_ns == 1700000000000000000 and got[1].y == 1.5
+    assert errors[6].endswith("line") and got[6].line and errors[7] == "line"
