@@ -516,6 +516,24 @@ def polyline_corridor(spark, sf):
     return d.select("seq", "sub", F.round("d2", 6).alias("d2"))
 
 
+@query(
+    "corridor_counts",
+    "FLT-13 SNK-05",
+    with_sql(
+        """SELECT (SELECT count(*) FROM fx_points) AS before,
+  (SELECT count(*) FROM fx_points, (SELECT min(least(seg.ax,seg.bx))-1.7::DOUBLE AS x0, max(greatest(seg.ax,seg.bx))+1.7::DOUBLE AS x1, min(least(seg.ay,seg.by))-1.7::DOUBLE AS y0, max(greatest(seg.ay,seg.by))+1.7::DOUBLE AS y1 FROM seg WHERE ax IS NOT NULL) WHERE x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1) AS box,
+  (SELECT count(*) FROM (SELECT seq, sub FROM (SELECT seq, sub, pow(x-(ax+t*vx),2)+pow(y-(ay+t*vy),2) AS d2 FROM (
+    SELECT *, CASE WHEN vx*vx+vy*vy>1e-12::DOUBLE THEN least(greatest(((x-ax)*vx+(y-ay)*vy)/(vx*vx+vy*vy),0),1) ELSE 0 END AS t FROM (SELECT p.seq, p.sub, p.x, p.y, s.ax, s.ay, s.bx-s.ax AS vx, s.by-s.ay AS vy FROM fx_points p, seg s WHERE s.ax IS NOT NULL))) WHERE d2<=1.44::DOUBLE GROUP BY seq, sub)) AS after""",
+        "fx_points",
+        """tr AS (SELECT m, avg(x)*10-450 AS x, avg(y)*10-45 AS y FROM (SELECT *, ts_ns//86400000000000//30 AS m FROM fx_points) GROUP BY m),
+seg AS (SELECT lag(x) OVER (ORDER BY m) AS ax, lag(y) OVER (ORDER BY m) AS ay, x AS bx, y AS by FROM tr)""",
+    ),
+)
+def corridor_counts(spark, sf):
+    seg = spatial.track_segments(_track(spark, sf), [], ["month"])
+    return spatial.corridor_counted(fx_points(spark, sf).select("seq", "sub", "x", "y"), seg, ["seq", "sub"], 1.2, 0.5)[1]
+
+
 @query(
     "nearest_point_join",
     "JN-15",

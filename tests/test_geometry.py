@@ -187,6 +187,22 @@ def test_corridor_long_diagonal(spark):
             assert np.isclose(got[i], d2, atol=1e-9)
 
 
+def test_corridor_counts(spark):
+    rng = np.random.default_rng(19)
+    track = [(0, 0.0, 0.0), (1, 10.0, 0.0), (2, 10.0, 12.0)]
+    seg = spatial.track_segments(spark.createDataFrame(track, "i int, x double, y double"), [], ["i"])
+    rows = [(i, float(a), float(b), "box") for i, (a, b) in enumerate(rng.uniform(-6, 18, (500, 2)))] + [(900, None, 1.0, "box"), (901, float("nan"), 1.0, "box")]
+    p = spark.createDataFrame(rows, "id int, x double, y double, box string")
+    kept, counts = spatial.corridor_counted(p, seg, ["id"], 1.0, 0.5)
+    in_box = sum(a is not None and -1.5 <= a <= 11.5 and -1.5 <= b <= 13.5 for _, a, b, _ in rows)
+    assert counts.collect() == [(502, in_box, kept.count())]
+    assert {r.id for r in kept.collect()} == {r.id for r in spatial.corridor(p, seg, ["id"], 1.0, 0.5).collect()}
+    every, counts = spatial.corridor_counted(p, seg, ["id"], 0.0)
+    assert every.count() == 502 and counts.collect() == [(502, 502, 502)]
+    none = spatial.track_segments(spark.createDataFrame(track[:1], "i int, x double, y double"), [], ["i"])
+    assert spatial.corridor_counted(p, none, ["id"], 1.0)[1].collect() == [(502, 0, 0)]
+
+
 def test_hull_area(spark):
     rng = np.random.default_rng(10)
     frames = {0: rng.normal(size=(400, 2)), 1: rng.uniform(size=(300, 2)), 2: np.repeat(rng.uniform(size=(30, 2)), 5, 0), 3: np.array([[0, 0], [1, 1], [2, 2]])}
