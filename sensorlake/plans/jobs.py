@@ -342,16 +342,41 @@ def plot_windows(frames_: DataFrame, fixes: DataFrame, plots: DataFrame, keys: S
     Frames get the nearest fix, fixes get the plot that contains them; the
     recording is read once for all windows.
     """
+    counts = _window_counts(frames_, _frames_in_plots(frames_, fixes, plots, keys, tolerance_ns, cell_size), keys, windows, half_ns)
+    g = counts.where(F.col("frames") >= min_frames).groupBy(*keys, "plot_id").agg(_best_window().alias("_b"))
+    return g.select(*keys, "plot_id", "_b.win", "_b.center_ns", "_b.frames")
+
+
+def _frames_in_plots(frames_: DataFrame, fixes: DataFrame, plots: DataFrame, keys: Sequence[str], tolerance_ns: int, cell_size: float) -> DataFrame:
     at = asof.nearest_join(frames_, fixes, keys, tolerance_ns, ["x", "y"], how="inner")
     at = spatial.assign_plot(at.select(*keys, "ts_ns", "seq", F.col("r_x").alias("x"), F.col("r_y").alias("y")), plots, [*keys, "ts_ns", "seq"], cell_size)
-    at = at.where(F.col("plot_id").isNotNull())
+    return at.where(F.col("plot_id").isNotNull())
+
+
+def _best_window() -> Column:
+    return F.max(F.struct("frames", (-F.col("win")).alias("o"), "win", "center_ns"))
+
+
+def _window_counts(frames_: DataFrame, at: DataFrame, keys: Sequence[str], windows: int, half_ns: int) -> DataFrame:
     win = sampling.window_centres(sampling.stream_bounds(frames_, keys), windows, half_ns)
     win = win.select(*keys, "win", "ts_ns", F.col("win").cast("bigint").alias("seq"))
     hit = asof.within_interval(win, at.select(*keys, "ts_ns", "seq", "plot_id"), keys, half_ns)
-    counts = hit.groupBy(*keys, F.col("r_plot_id").alias("plot_id"), "win", F.col("ts_ns").alias("center_ns")).agg(F.count(F.lit(1)).alias("frames"))
-    best = F.max(F.struct("frames", (-F.col("win")).alias("o"), "win", "center_ns"))
-    g = counts.where(F.col("frames") >= min_frames).groupBy(*keys, "plot_id").agg(best.alias("_b"))
-    return g.select(*keys, "plot_id", "_b.win", "_b.center_ns", "_b.frames")
+    return hit.groupBy(*keys, F.col("r_plot_id").alias("plot_id"), "win", F.col("ts_ns").alias("center_ns")).agg(F.count(F.lit(1)).alias("frames"))
+
+
+def plot_window_status(frames_: DataFrame, fixes: DataFrame, plots: DataFrame, keys: Sequence[str], windows: int, half_ns: int, tolerance_ns: int, min_frames: int, cell_size: float) -> DataFrame:
+    """What became of every plot: ``assigned`` frames, the best window and a ``status`` per recording and plot.
+
+    selected; too_few_frames, with the best window there is; outside_windows; and
+    no_frames, one row with NULL keys for a plot that no recording has seen. The selected rows are those of :func:`plot_windows`.
+    """
+    at = cut_lineage(_frames_in_plots(frames_, fixes, plots, keys, tolerance_ns, cell_size).select(*keys, "ts_ns", "seq", "plot_id"))
+    best = _window_counts(frames_, at, keys, windows, half_ns).groupBy(*keys, "plot_id").agg(_best_window().alias("_b"))
+    seen = cut_lineage(at.groupBy(*keys, "plot_id").agg(F.count(F.lit(1)).alias("assigned")))
+    status = F.when(F.col("_b").isNull(), "outside_windows").when(F.col("_b.frames") < min_frames, "too_few_frames").otherwise("selected")
+    d = _null_safe(seen, best, [*keys, "plot_id"], "left").select(*keys, "plot_id", "assigned", "_b.win", "_b.center_ns", "_b.frames", status.alias("status"))
+    unseen = plots.select("plot_id").distinct().join(seen.select("plot_id").distinct(), "plot_id", "left_anti")
+    return d.unionByName(unseen.select("plot_id", F.lit(0).cast("bigint").alias("assigned"), F.lit("no_frames").alias("status")), allowMissingColumns=True)
 
 
 def homography_to_master(a: DataFrame, b: DataFrame, group: str, label: str, min_common: tuple[int, int], seed_px: float, final_px: float, max_hint_px: float, composed: DataFrame | None = None, hypotheses: int = 64) -> dict[str, DataFrame]:

@@ -243,6 +243,13 @@ def plot_mosaic_turned(spark, sf):
     return d["cells"].select("plot", "row", "col", F.round("v", 5).alias("v"), F.round("weight", 6).alias("weight"))
 
 
+WINDOWS_SQL = """b AS (SELECT k, min(ts_ns)+172800000000000 AS lo, max(ts_ns)-172800000000000 AS hi FROM fx_stream WHERE st='click' GROUP BY k),
+w AS (SELECT k, i AS win, lo + (hi-lo)//5*i + ((hi-lo)%5*i)//5 AS c FROM b, (SELECT unnest([0,1,2,3,4,5]) AS i)),
+nr AS (SELECT l.k, l.ts_ns, l.seq, r.x, r.y, abs(l.ts_ns-r.ts_ns) AS dt, row_number() OVER (PARTITION BY l.seq ORDER BY abs(l.ts_ns-r.ts_ns), r.ts_ns, r.seq) AS rn
+  FROM fx_stream l JOIN (SELECT *, v AS x, (seq%100)/10.0::DOUBLE AS y FROM fx_stream WHERE st='purchase') r ON l.k=r.k WHERE l.st='click'),
+fa AS (SELECT nr.k, nr.ts_ns, plot_id FROM nr JOIN pl ON x>x0 AND x<x0+18 AND y>y0 AND y<y0+4 WHERE rn=1 AND dt<=86400000000000)"""
+
+
 @query(
     "plot_window_discovery",
     "JOB-07 FLT-09 AGG-03 JN-06",
@@ -251,11 +258,7 @@ def plot_mosaic_turned(spark, sf):
   SELECT w.k, plot_id, win, c, count(*) AS frames FROM w JOIN fa ON fa.k=w.k AND abs(fa.ts_ns-w.c)<=172800000000000 GROUP BY w.k, plot_id, win, c HAVING count(*)>=1) GROUP BY k, plot_id""",
         "fx_stream",
         PLOTS_SQL,
-        """b AS (SELECT k, min(ts_ns)+172800000000000 AS lo, max(ts_ns)-172800000000000 AS hi FROM fx_stream WHERE st='click' GROUP BY k),
-w AS (SELECT k, i AS win, lo + (hi-lo)//5*i + ((hi-lo)%5*i)//5 AS c FROM b, (SELECT unnest([0,1,2,3,4,5]) AS i)),
-nr AS (SELECT l.k, l.ts_ns, l.seq, r.x, r.y, abs(l.ts_ns-r.ts_ns) AS dt, row_number() OVER (PARTITION BY l.seq ORDER BY abs(l.ts_ns-r.ts_ns), r.ts_ns, r.seq) AS rn
-  FROM fx_stream l JOIN (SELECT *, v AS x, (seq%100)/10.0::DOUBLE AS y FROM fx_stream WHERE st='purchase') r ON l.k=r.k WHERE l.st='click'),
-fa AS (SELECT nr.k, nr.ts_ns, plot_id FROM nr JOIN pl ON x>x0 AND x<x0+18 AND y>y0 AND y<y0+4 WHERE rn=1 AND dt<=86400000000000)""",
+        WINDOWS_SQL,
     ),
 )
 def plot_window_discovery(spark, sf):
@@ -266,6 +269,28 @@ def plot_window_discovery(spark, sf):
     return d.select("k", "plot_id", F.col("win").cast("int").alias("win"), "center_ns", "frames")
 
 
+@query(
+    "plot_window_status",
+    "JOB-07 SNK-09",
+    with_sql(
+        """SELECT k, plot_id, assigned, win, center_ns, frames, CASE WHEN frames IS NULL THEN 'outside_windows' WHEN frames<2 THEN 'too_few_frames' ELSE 'selected' END AS status
+FROM (SELECT k, plot_id, count(*) AS assigned FROM fa GROUP BY k, plot_id) LEFT JOIN (
+  SELECT k, plot_id, arg_max(win, {'n': frames, 'w': -win}) AS win, arg_max(c, {'n': frames, 'w': -win}) AS center_ns, max(frames) AS frames FROM (
+    SELECT w.k, plot_id, win, c, count(*) AS frames FROM w JOIN fa ON fa.k=w.k AND abs(fa.ts_ns-w.c)<=172800000000000 GROUP BY w.k, plot_id, win, c) GROUP BY k, plot_id) USING (k, plot_id)
+UNION ALL SELECT NULL, plot_id, 0, NULL, NULL, NULL, 'no_frames' FROM (SELECT DISTINCT plot_id FROM pl) WHERE plot_id NOT IN (SELECT plot_id FROM fa)""",
+        "fx_stream",
+        PLOTS_SQL,
+        WINDOWS_SQL,
+    ),
+)
+def plot_window_status(spark, sf):
+    s = fx_stream(spark, sf)
+    f = s.where("st = 'click'").select("k", "ts_ns", "seq")
+    g = s.where("st = 'purchase'").select("k", "ts_ns", "seq", F.col("v").alias("x"), (F.pmod("seq", F.lit(100)) / F.lit(10.0)).alias("y"))
+    d = jobs.plot_window_status(f, g, _plots(spark), ["k"], 6, 2 * DAY_NS, DAY_NS, 2, 5.0)
+    return d.withColumn("win", F.col("win").cast("int"))
+
+
 def _boards(spark, sf):
     """Grids of one board seen by a master camera and, shifted by one column, by two others."""
     g = fx_stream(spark, sf).groupBy(F.col("k").alias("label")).agg((F.max("v") / 4 + 5).alias("s"), F.min("v").alias("o"))
