@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sensorlake.operators import fit, neighbourhood as nb
-from sensorlake.plans import framesets
+from sensorlake.plans import framesets, jobs
 
 EYE = (1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0)
 SYNC = "k string, frame bigint, ts_ns bigint, vis bigint, cloud bigint, synced boolean"
@@ -115,3 +115,20 @@ def test_frame_sets_of_odd_rows(spark):
     assert len(cells) == 36 and all(r.vis == r.r * 10 + r.c and r.depth_mm is None and r.veg is not None for r in cells)
     empty = framesets.multisensor_frame_sets(master.limit(0), messages, rgb, {"vis": vis}, points, *args)
     assert empty["sets"].count() == 0 and empty["cells"].count() == 0
+
+
+def test_every_plot_has_a_status(spark):
+    square = lambda x: [(x, 0.0), (x + 1.0, 0.0), (x + 1.0, 1.0), (x, 1.0)]
+    plots = spark.createDataFrame([(i, f"p{i}", square(2.0 * i)) for i in range(4)], "pos int, plot_id string, ring array<struct<x: double, y: double>>")
+    # One window of +-10 around the middle of 0..100: plot 0 has three frames in it, plot 1 one, plot 2 only frames far from it, plot 3 none.
+    seen = [(45, 0), (50, 0), (55, 0), (52, 1), (0, 2), (100, 2), (58, None)]
+    frames_ = spark.createDataFrame([("b", t, i) for i, (t, _) in enumerate(seen)], "k string, ts_ns bigint, seq bigint")
+    fixes = spark.createDataFrame([("b", t, i, 50.0 if p is None else 2.0 * p + 0.5, 0.5) for i, (t, p) in enumerate(seen)], "k string, ts_ns bigint, seq bigint, x double, y double")
+    args = (frames_, fixes, plots, ["k"], 1, 10, 0, 2, 1.0)
+    got = {r.plot_id: (r.k, r.assigned, r.frames, r.status) for r in jobs.plot_window_status(*args).collect()}
+    counted = {p: (v[1], v[3]) for p, v in got.items()}
+    assert counted["p3"] == (0, "no_frames") and got["p3"][0] is None
+    assert {p: v[0] for p, v in counted.items()} == {"p0": 3, "p1": 1, "p2": 2, "p3": 0}
+    best = {r.plot_id: r.frames for r in jobs.plot_windows(*args).collect()}
+    assert best == {p: v[2] for p, v in got.items() if v[3] == "selected"}
+    assert {v[3] for v in got.values()} >= {"no_frames", "outside_windows"}
