@@ -168,3 +168,16 @@ def test_pose_chain_over_several_levels(spark):
         at[k] = at.get(k, np.eye(3)) @ (np.eye(3) if m is None else np.array(m).reshape(3, 3))
         assert np.allclose(got[k, t], at[k].ravel(), rtol=1e-9)
     assert len(got) == len(steps)
+
+
+def test_shared_folder_of_a_cluster_takes_a_plain_path_and_falls_back_to_the_warehouse():
+    from types import SimpleNamespace
+
+    from sensorlake.session import shared_folder
+
+    def cluster(**conf):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda k, *d: conf.get(k, *d)), sparkContext=SimpleNamespace(master="spark://a:7077", getCheckpointDir=lambda: None))
+
+    assert shared_folder(cluster(**{"spark.checkpoint.dir": "/shared/cuts/"}), "cut").startswith("/shared/cuts/cut-")
+    assert shared_folder(cluster(**{"spark.checkpoint.dir": "hdfs://n/cuts"}), "cut").startswith("hdfs://n/cuts/cut-")
+    assert shared_folder(cluster(**{"spark.sql.warehouse.dir": "file:/house"}), "cut").startswith("file:/house/_cut/cut-")
