@@ -590,7 +590,11 @@ def mosaic_canvas(spark, sf):
 @query(
     "pixel_band_preview",
     "SCL-25",
-    with_sql("SELECT frame, (r//4)::INT AS br, (c//4)::INT AS bc, round(avg(v),6) AS mean FROM fx_pixels GROUP BY 1,2,3", "fx_pixels"),
+    with_sql(
+        """SELECT frame, (r//4)::INT AS br, (c//4)::INT AS bc, round(avg(v),6) AS mean FROM fx_pixels
+JOIN (SELECT frame, max(r)+1 AS nr, max(c)+1 AS nc FROM fx_pixels GROUP BY frame) USING (frame) WHERE r<nr-nr%4 AND c<nc-nc%4 GROUP BY 1,2,3""",
+        "fx_pixels",
+    ),
 )
 def pixel_band_preview(spark, sf):
     from sensorlake.operators.pixels import complete_blocks, with_band

@@ -181,3 +181,18 @@ def test_shared_folder_of_a_cluster_takes_a_plain_path_and_falls_back_to_the_war
     assert shared_folder(cluster(**{"spark.checkpoint.dir": "/shared/cuts/"}), "cut").startswith("/shared/cuts/cut-")
     assert shared_folder(cluster(**{"spark.checkpoint.dir": "hdfs://n/cuts"}), "cut").startswith("hdfs://n/cuts/cut-")
     assert shared_folder(cluster(**{"spark.sql.warehouse.dir": "file:/house"}), "cut").startswith("file:/house/_cut/cut-")
+
+
+def test_band_preview_and_its_sql_leave_out_the_incomplete_blocks_of_a_short_frame(spark, tmp_path):
+    from sensorlake.plans import catalog
+    from tests.compare import compare, duck
+
+    import duckdb
+
+    given = "/root/testdata/sf0.001"
+    for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "benchmark", "labels", "conversations"):
+        (tmp_path / f"{t}.parquet").symlink_to(f"{given}/{t}.parquet")
+    duckdb.connect().execute(f"COPY (SELECT * FROM read_parquet('{given}/embeddings.parquet') WHERE vec_id < 70) TO '{tmp_path}/embeddings.parquet' (FORMAT parquet)")
+    d = catalog.QUERIES["pixel_band_preview"](spark, str(tmp_path))
+    assert compare(d, duck(str(tmp_path)), catalog.ORACLES["pixel_band_preview"]) == []
+    assert d.where("frame = 1").agg(F.max("br")).first()[0] == 0
