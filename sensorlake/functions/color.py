@@ -53,11 +53,14 @@ def is_bright_pale(h: Column) -> Column:
     return (h["v"] > BRIGHT_VALUE) & (h["s"] < PALE_SATURATION)
 
 
-def stretch_u8(x: Column, lo: Column, hi: Column) -> Column:
-    """Linear stretch to 0..255, truncated; an empty range counts as width 1, NaN gives 0."""
+def stretch_u8(x: Column, lo: Column, hi: Column, slack: float = 0.0) -> Column:
+    """Linear stretch to 0..255, truncated; an empty range counts as width 1, NaN gives 0.
+
+    ``slack`` is added before truncating, for ``x`` with rounding errors: what falls short of a whole step by less reaches it.
+    """
     top = F.when(hi <= lo, lo + 1.0).otherwise(hi)
     y = clip((x - lo) * 255.0 / (top - lo), 0.0, 255.0)
-    return F.coalesce(F.when(~F.isnan(x), y), F.lit(0.0)).cast("int")
+    return F.coalesce(F.when(~F.isnan(x), y + slack), F.lit(0.0)).cast("int")
 
 
 def gamma_curve(x: Column, lo: Column, hi: Column, gamma: float, empty: float = 1.0) -> Column:

@@ -138,18 +138,22 @@ def voxel_first(points: DataFrame, keys: Sequence[str], xyz: Sequence[str], size
 
 
 def robust_stretch(
-    df: DataFrame, keys: Sequence[str], value: str, lo: float = 0.01, hi: float = 0.99, name: str = "u8", rows_per_chunk: int = ROWS_PER_CHUNK
+    df: DataFrame, keys: Sequence[str], value: str, lo: float = 0.01, hi: float = 0.99, name: str = "u8", rows_per_chunk: int = ROWS_PER_CHUNK, slack: float = 0.0
 ) -> DataFrame:
-    """Percentile stretch of ``value`` to 0..255 per key."""
+    """Percentile stretch of ``value`` to 0..255 per key; ``slack`` as for ``stretch_u8``."""
     d = attach_quantiles(df, keys, value, {"_lo": lo, "_hi": hi}, rows_per_chunk)
-    return d.withColumn(name, stretch_u8(F.col(value).cast("double"), F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi")
+    return d.withColumn(name, stretch_u8(F.col(value).cast("double"), F.col("_lo"), F.col("_hi"), slack)).drop("_lo", "_hi")
 
 
 def zscore_stretch(df: DataFrame, keys: Sequence[str], value: str, name: str = "u8", rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
-    """Standardise per key, then stretch between the 0.5 and 99.5 percentiles."""
+    """Standardise per key, then stretch between the 0.5 and 99.5 percentiles.
+
+    Standard scores carry rounding errors that depend on the order of summing,
+    so a value on a whole step, or 1e-9 below, takes that step.
+    """
     s = df.groupBy(*keys).agg(F.avg(value).alias("_m"), F.stddev_pop(value).alias("_s"))
     d = _null_safe(df, s, keys, "inner").withColumn("_z", (F.col(value) - F.col("_m")) / (F.col("_s") + 1e-6))
-    return robust_stretch(d, keys, "_z", 0.005, 0.995, name, rows_per_chunk).drop("_z", "_m", "_s")
+    return robust_stretch(d, keys, "_z", 0.005, 0.995, name, rows_per_chunk, 1e-9).drop("_z", "_m", "_s")
 
 
 def relative_height(cells: DataFrame, z: str, prob: float = 0.05, keys: Sequence[str] = (), rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:

@@ -196,3 +196,13 @@ def test_band_preview_and_its_sql_leave_out_the_incomplete_blocks_of_a_short_fra
     d = catalog.QUERIES["pixel_band_preview"](spark, str(tmp_path))
     assert compare(d, duck(str(tmp_path)), catalog.ORACLES["pixel_band_preview"]) == []
     assert d.where("frame = 1").agg(F.max("br")).first()[0] == 0
+
+
+def test_zscore_stretch_takes_every_whole_step(spark):
+    rng = np.random.default_rng(5)
+    v = rng.integers(0, 256, (24, 401))
+    rows = [(k, int(x)) for k in range(24) for x in v[k]]
+    got = {(r.k, r.v): r.u8 for r in rasterize.zscore_stretch(spark.createDataFrame(rows, "k int, v int"), ["k"], "v").collect()}
+    for k in range(24):
+        lo, hi = (int(x) for x in np.sort(v[k])[[2, 398]])
+        assert all(got[k, x] == min(max((x - lo) * 255 // (hi - lo), 0), 255) for x in set(v[k].tolist())), k
