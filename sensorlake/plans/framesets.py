@@ -11,7 +11,7 @@ from sensorlake.functions import color
 from sensorlake.functions import geometry as gm
 from sensorlake.operators import asof, fit, neighbourhood as nb, rasterize as rz
 from sensorlake.operators.ordered import _null_safe
-from sensorlake.operators.pointfilters import MIN_RANGE_M, in_range
+from sensorlake.operators.pointfilters import MIN_RANGE_M, in_range, projected
 from sensorlake.session import cut_lineage
 
 # Points nearer to the image plane than this are behind the
@@ -102,8 +102,7 @@ def lidar_layers(crops: DataFrame, points: DataFrame, keys: Sequence[str], tie:
     d = _null_safe(own, crops.select(*ids, cloud, *BOX), [*keys, cloud], "inner")
     cx, cy, cz = gm.rigid_apply(_array(rotation), _array(shift), [F.col(v) for v in "xyz"])
     d = d.select(*ids, *BOX, *tie, "x", "y", (-F.col("z")).alias("up"), "intensity", cx.alias("_cx"), cy.alias("_cy"), F.when(cz > MIN_DEPTH_M, cz).alias("_cz"))
-    u, v = gm.project(F.col("_cx"), F.col("_cy"), F.col("_cz"), lens, dist)
-    d = d.withColumn("_u", u).withColumn("_v", v).withColumn("depth_mm", F.col("_cz") * 1000.0).drop("_cx", "_cy", "_cz")
+    d = projected(d, F.col("_cx"), F.col("_cy"), F.col("_cz"), lens, dist, "_u", "_v").withColumn("depth_mm", F.col("_cz") * 1000.0).drop("_cx", "_cy", "_cz")
     d = d.where((F.col("_u") >= F.col("x0")) & (F.col("_u") < F.col("x1")) & (F.col("_v") >= F.col("y0")) & (F.col("_v") < F.col("y1")))
     c, r = F.col("x0") + F.bround(F.col("_u") - F.col("x0")).cast("int"), F.col("y0") + F.bround(F.col("_v") - F.col("y0")).cast("int")
     d = d.withColumn("c", c).withColumn("r", r).where((F.col("c") < F.col("x1")) & (F.col("r") < F.col("y1"))).drop("_u", "_v", *BOX)

@@ -19,6 +19,7 @@ from sensorlake.functions import labels as lb
 from sensorlake.operators import asof, fit, frames, merging, neighbourhood as nb
 from sensorlake.operators import pairing, rasterize as rz, ranking, robust, sampling, spatial, trajectory
 from sensorlake.operators.ordered import _null_safe, previous_row, running_index
+from sensorlake.operators.pointfilters import computed, projected
 from sensorlake.operators.quantiles import attach_quantiles, exact_quantiles
 from sensorlake.session import cut_lineage
 from sensorlake.sources import recordings
@@ -91,8 +92,8 @@ def paint_cells(cells: DataFrame, meta: DataFrame, views: DataFrame, pixels: Dat
     j = j.where(F.col("ex").between(F.col("vx0"), F.col("vx1")) & F.col("ny").between(F.col("vy0"), F.col("vy1")))
     cam = gm.rigid_apply(F.col("r"), F.col("t"), [F.col("ex"), F.col("ny"), F.col("z")])
     j = j.select("row", "col", "frame", *[c.alias(f"_q{i}") for i, c in enumerate(cam)]).where(F.col("_q2") > min_z)
-    u, w = gm.project(F.col("_q0"), F.col("_q1"), F.col("_q2"), k, dist)
-    j = j.select("row", "col", "frame", F.bround(u).cast("int").alias("c"), F.bround(w).cast("int").alias("r")).where((F.col("c") >= 0) & (F.col("c") < width) & (F.col("r") >= 0) & (F.col("r") < height))
+    j = projected(j, F.col("_q0"), F.col("_q1"), F.col("_q2"), k, dist, "_u", "_v")
+    j = computed(j.select("row", "col", "frame", "_u", "_v"), F.bround("_u").cast("int").alias("c"), F.bround("_v").cast("int").alias("r")).drop("_u", "_v").where((F.col("c") >= 0) & (F.col("c") < width) & (F.col("r") >= 0) & (F.col("r") < height))
     j = j.withColumn("score", rz.centre_score(F.col("c"), F.col("r"), (0.0, 0.0, float(width), float(height))))
     j = j.join(pixels, ["frame", "r", "c"])
     return rz.best_view(j, ["row", "col"], "score", "frame", ["r", "c"], [c for c in pixels.columns if c not in ("frame", "r", "c")])
@@ -105,8 +106,8 @@ def coloured_cloud(points: DataFrame, frames_: DataFrame, pixels: DataFrame, key
     ``e, n, h``.
     """
     near = asof.nearest_join(points, frames_, keys, tolerance_ns, ["frame"], "f_", "inner")
-    u, v = gm.project(F.col("x"), F.col("y"), F.col("z"), k, dist)
-    d = near.where(F.col("z") > 0.05).withColumn("c", F.bround(u).cast("int")).withColumn("r", F.bround(v).cast("int"))
+    d = projected(near.where(F.col("z") > 0.05), F.col("x"), F.col("y"), F.col("z"), k, dist, "_u", "_v")
+    d = computed(d, F.bround("_u").cast("int").alias("c"), F.bround("_v").cast("int").alias("r")).drop("_u", "_v")
     d = d.where((F.col("c") >= 0) & (F.col("c") < width) & (F.col("r") >= 0) & (F.col("r") < height))
     px = pixels.withColumnRenamed("frame", "f_frame")
     bands = [c for c in pixels.columns if c not in ("frame", "r", "c")]

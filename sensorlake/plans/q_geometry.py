@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sensorlake.functions import geometry as gm
 from sensorlake.operators import fit, spatial
-from sensorlake.operators.pointfilters import in_front, in_image
+from sensorlake.operators.pointfilters import in_front, in_image, projected
 from sensorlake.operators.robust import residual_metrics
 from sensorlake.plans.fixtures import fx_pairs, fx_points, fx_stream, with_sql
 from sensorlake.plans.registry import query
@@ -155,8 +155,8 @@ WHERE u>=0 AND u<640 AND v>=0 AND v<480 AND u>=20 AND u<600 AND v>=10 AND v<470"
 )
 def camera_projection(spark, sf):
     p = fx_points(spark, sf).where(in_front(F.col("z"), 2.0))
-    u, v = gm.project((F.col("x") - 50) / 20, F.col("y") - 5, F.col("z"), K, DIST)
-    p = p.select("seq", "sub", u.alias("u"), v.alias("v")).where(in_image(F.col("u"), F.col("v"), 640, 480, (20, 10, 600, 470)))
+    p = projected(p.select("seq", "sub", "x", "y", "z"), (F.col("x") - 50) / 20, F.col("y") - 5, F.col("z"), K, DIST)
+    p = p.where(in_image(F.col("u"), F.col("v"), 640, 480, (20, 10, 600, 470)))
     return p.select("seq", "sub", F.round("u", 7).alias("u"), F.round("v", 7).alias("v"))
 
 

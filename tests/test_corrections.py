@@ -206,3 +206,10 @@ def test_zscore_stretch_takes_every_whole_step(spark):
     for k in range(24):
         lo, hi = (int(x) for x in np.sort(v[k])[[2, 398]])
         assert all(got[k, x] == min(max((x - lo) * 255 // (hi - lo), 0), 255) for x in set(v[k].tolist())), k
+
+
+def test_projection_is_computed_once_per_row(spark, sf):
+    from sensorlake.plans import catalog
+
+    plan = catalog.QUERIES["camera_projection"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("-0.21") == 2  # the radial term, once for u and once for v
