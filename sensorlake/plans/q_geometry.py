@@ -393,7 +393,7 @@ RIGID_SQL = """SELECT flag, count(*) AS n, round(cos(b)*cos(c),6) AS r0, round(s
 @query("rigid3d_fit", "AGG-23", with_sql(RIGID_SQL, "fx_points"))
 def rigid3d_fit(spark, sf):
     p = fx_points(spark, sf)
-    r = gm.quat_to_matrix(gm.quat_from_rpy(F.lit(0.2), F.lit(-0.1), F.lit(0.4)))
+    r = spark.range(1).select(gm.quat_to_matrix(gm.quat_from_rpy(F.lit(0.2), F.lit(-0.1), F.lit(0.4))).alias("r")).scalar()
     q = gm.rigid_apply(r, F.array(F.lit(3.0), F.lit(-2.0), F.lit(0.5)), [F.col(c) for c in "xyz"])
     f = fit.rigid3d_fit(p.select("flag", "x", "y", "z", *[c.alias(f"q{i}") for i, c in enumerate(q)]), ["flag"], ["x", "y", "z"], ["q0", "q1", "q2"])
     return f.select("flag", "n", *[F.round(F.get("r", F.lit(i)), 6).alias(f"r{i}") for i in range(9)], *[F.round(F.get("t", F.lit(i)), 5).alias(f"t{i}") for i in range(3)])

@@ -213,3 +213,10 @@ def test_projection_is_computed_once_per_row(spark, sf):
 
     plan = catalog.QUERIES["camera_projection"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("-0.21") == 2  # the radial term, once for u and once for v
+
+
+def test_rigid_fit_builds_its_rotation_once_and_not_for_every_row(spark, sf):
+    from sensorlake.plans import catalog
+
+    plan = catalog.QUERIES["rigid3d_fit"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan.split("scalar-subquery")[0]
