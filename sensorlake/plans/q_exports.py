@@ -31,6 +31,7 @@ def _exported(spark, sf):
     vel = s.select(key, "ts_ns", "seq", F.when(F.col("st") != "error", F.struct(lin.alias("linear"))).alias("twist"))
     g = fx_points(spark, sf).groupBy((START_NS + F.col("frame") * CLOUD_STEP_NS).alias("frame"))
     g = g.agg(F.array_sort(F.collect_list(F.struct("seq", "sub", "x", "y", "z", "intensity"))).alias("pts"))  # a handful of points per order
+    g = g.select("frame", *[F.col(f"pts.{f}").alias(f) for f in ("x", "y", "z", "intensity")])
     schema = "bag_id string, cloud_ts bigint, height int, width int, point_step int, fields array<struct<name:string,offset:int,datatype:int>>, data binary"
     streams = exports.typed_streams(imu, g.mapInPandas(_pack_clouds, schema), fixes, vel, START_NS + HALF_NS, HALF_NS)
     return exports.write_streams(streams, shared_folder(spark, "export"))

@@ -288,13 +288,13 @@ def _pack_clouds(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     dtype = np.dtype([("x", "<f4"), ("y", "<f4"), ("z", "<f4"), ("pad", "u1", 4), ("intensity", "<f4")])
     for pdf in it:
         fields = [{"name": f, "offset": int(dtype.fields[f][1]), "datatype": 7} for f in ("x", "y", "z", "intensity")]
-        data = []
-        for pts in pdf["pts"]:
-            rec = np.zeros(len(pts), dtype)
-            for f in ("x", "y", "z", "intensity"):
-                rec[f] = [p[f] for p in pts]
-            data.append(rec.tobytes())
-        yield pd.DataFrame({"bag_id": "b", "cloud_ts": pdf["frame"], "height": 1, "width": pdf["pts"].map(len), "point_step": dtype.itemsize, "fields": [fields] * len(pdf), "data": data})
+        n = pdf["x"].map(len)
+        rec = np.zeros(n.sum(), dtype)
+        for f in ("x", "y", "z", "intensity"):
+            rec[f] = np.concatenate(pdf[f].to_list())
+        whole, ends = rec.tobytes(), (n.cumsum() * dtype.itemsize).to_list()
+        data = [whole[a:b] for a, b in zip([0, *ends], ends)]
+        yield pd.DataFrame({"bag_id": "b", "cloud_ts": pdf["frame"], "height": 1, "width": n, "point_step": dtype.itemsize, "fields": [fields] * len(pdf), "data": data})
 
 
 @query(
@@ -305,6 +305,7 @@ def _pack_clouds(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def pointcloud_explode(spark, sf):
     g = fx_points(spark, sf).groupBy("frame").agg(F.collect_list(F.struct("x", "y", "z", "intensity")).alias("pts"))  # a handful of points per order
     schema = "bag_id string, cloud_ts bigint, height int, width int, point_step int, fields array<struct<name:string,offset:int,datatype:int>>, data binary"
+    g = g.select("frame", *[F.col(f"pts.{f}").alias(f) for f in ("x", "y", "z", "intensity")])
     p = decode.explode_clouds(g.mapInPandas(_pack_clouds, schema), ("x", "y", "intensity"))
     return p.groupBy("cloud_ts").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("x").cast("double")), 4).alias("sx"), F.round(F.max(F.col("intensity").cast("double")), 4).alias("mi"))
 

@@ -83,29 +83,33 @@ def explode_clouds(clouds: DataFrame, fields: Sequence[str] = POINT_FIELDS) -> D
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            parts, pending = [], 0
-            for m in pdf.itertuples(index=False):
-                layout = {f["name"]: (f["offset"], POINT_TYPES.get(f["datatype"])) for f in m.fields}
-                have = [f for f in wanted if layout.get(f, (0, None))[1]]
-                dtype = np.dtype({"names": have, "formats": [layout[f][1] for f in have], "offsets": [layout[f][0] for f in have], "itemsize": int(m.point_step)})
-                n = int(m.height) * int(m.width)
-                if m.data is None or len(m.data) < n * int(m.point_step) or dtype.itemsize == 0:
-                    why = "no data" if m.data is None else "short buffer"
-                    parts.append({"bag_id": [m.bag_id], "cloud_ts": [m.cloud_ts], "i": [None], "h": [int(m.height)], **{f: [None] for f in POINT_FIELDS}, "error": [why]})
-                    pending += 1
-                    continue
-                rec = np.frombuffer(m.data, dtype, count=n)
-                out = {"bag_id": np.full(n, m.bag_id, object), "cloud_ts": np.full(n, m.cloud_ts), "i": np.arange(n, dtype="int32"), "h": np.full(n, int(m.height), "int32")}
-                out.update({f: rec[f].astype(kinds[f]) if f in have else np.full(n, None, object) for f in POINT_FIELDS})
-                out["error"] = np.full(n, None, object)
-                parts.append(out)
-                pending += n
-                if pending >= FLUSH_ROWS:
-                    pending = 0
-                    yield _stack(parts)
-                    parts = []
-            if parts:
-                yield _stack(parts)
+            # messages of one layout are decoded together, as many at once as give FLUSH_ROWS points
+            points, step = pdf["height"].astype("int64") * pdf["width"].astype("int64"), pdf["point_step"].astype("int64")
+            size = pdf["data"].map(lambda b: -1 if b is None else len(b)).astype("int64")
+            good = (size >= points * step) & (size >= 0)
+            layouts = pdf["fields"].map(lambda fs: tuple((f["name"], f["offset"], POINT_TYPES.get(f["datatype"])) for f in fs))
+            for layout, of in pdf.groupby([layouts, step], sort=False).indices.items():
+                kept = dict((n, (o, t)) for n, o, t in layout[0])
+                have = [f for f in wanted if kept.get(f, (0, None))[1]]
+                dtype = np.dtype({"names": have, "formats": [kept[f][1] for f in have], "offsets": [kept[f][0] for f in have], "itemsize": int(layout[1])})
+                ok = good.to_numpy()[of] & (dtype.itemsize > 0)
+                bad, of = pdf.iloc[of[~ok]], of[ok]
+                if len(bad):
+                    why = np.where(bad["data"].isna(), "no data", "short buffer")
+                    yield pd.DataFrame({"bag_id": bad["bag_id"], "cloud_ts": bad["cloud_ts"], "i": None, "h": bad["height"].astype("int32"), **dict.fromkeys(POINT_FIELDS), "error": why})
+                n = points.to_numpy()[of]
+                ends = np.cumsum(n)
+                cuts = np.searchsorted(ends, np.arange(FLUSH_ROWS, ends[-1] if len(ends) else 0, FLUSH_ROWS))
+                for part in np.split(np.arange(len(of)), np.unique(cuts)):
+                    if not len(part):
+                        continue
+                    m, k = pdf.iloc[of[part]], n[part]
+                    rec = np.frombuffer(b"".join(d[: c * dtype.itemsize] for d, c in zip(m["data"], k)), dtype)
+                    first = np.repeat(np.cumsum(k) - k, k)
+                    out = {c: np.repeat(m[c].to_numpy(), k) for c in ("bag_id", "cloud_ts")}
+                    out.update({"i": (np.arange(len(rec)) - first).astype("int32"), "h": np.repeat(m["height"].to_numpy("int32"), k)})
+                    out.update({f: rec[f].astype(kinds[f]) if f in have else np.full(len(rec), None, object) for f in POINT_FIELDS})
+                    yield pd.DataFrame({**out, "error": np.full(len(rec), None, object)})
 
     schema = sc.POINTS + ", h int, error string"
     names = [c.split()[0] for c in schema.split(", ")]
