@@ -13,7 +13,7 @@ from sensorlake.functions import labels as lb
 from sensorlake.operators import asof, fit, merging, ordered, pairing, pointfilters, quantiles, spatial, trajectory
 from sensorlake.plans.fixtures import DAY_NS, fx_docs, fx_pairs, fx_pixels, fx_points, fx_stream, table, with_sql
 from sensorlake.plans.registry import query
-from sensorlake.session import shared_folder
+from sensorlake.session import cut_lineage, shared_folder
 from sensorlake.sinks import tables as sinks
 from sensorlake.sources import decode, documents, recordings
 from sensorlake.sources import schemas as sc
@@ -212,19 +212,17 @@ FROM (SELECT 'doc_'||k AS path, k%5 AS h, count(DISTINCT st) AS n, max(v) AS bes
     ),
 )
 def detection_document_rejects(spark, sf):
-    """One document per recording is written, some cut off, without results or empty; each gives its detections or its error."""
+    """One document per recording is written to a table of documents, some cut off, without results or empty; each gives its detections or its error."""
     best = fx_stream(spark, sf).groupBy("k", "st").agg(F.max("v").alias("v"))
     det = F.struct(F.lit(True).alias("checker_detected"), F.col("v").alias("score"))
     per = best.groupBy("k").agg(F.map_from_entries(F.collect_list(F.struct("st", det))).alias("detections"))
     text = F.to_json(F.struct(F.array(F.struct(F.concat(F.lit("doc_"), F.col("k")).alias("label_norm"), "detections")).alias("results")))
     kind = F.pmod("k", F.lit(5))
     text = F.when(kind == 0, F.substring(text, 1, 40)).when(kind == 1, '{"other": 1}').when(kind == 2, " ").otherwise(text)
-    folder = shared_folder(spark, "documents")
-    per.select(F.concat(F.lit("doc_"), F.col("k")).alias("name"), text.alias("value")).write.partitionBy("name").text(folder)
-    rows, rejects = documents.read_detections_checked(spark, folder, "scan")
-    name = F.regexp_extract("path", "name=([^/]+)/", 1).alias("path")
+    texts = cut_lineage(per.select(F.concat(F.lit("doc_"), F.col("k")).alias("path"), text.alias("text")))
+    rows, rejects = documents.checked_detections(texts, "scan")
     good = rows.groupBy(F.col("label").alias("path")).agg(F.lit(None).cast("string").alias("error"), F.count(F.lit(1)).alias("n"), F.max("score").alias("best"))
-    return good.union(rejects.select(name, "error", F.lit(0).cast("bigint").alias("n"), F.lit(None).cast("double").alias("best")))
+    return good.union(rejects.select("path", "error", F.lit(0).cast("bigint").alias("n"), F.lit(None).cast("double").alias("best")))
 
 
 @query(

@@ -33,8 +33,13 @@ def parse_detections(texts: DataFrame) -> DataFrame:
 
 
 def read_detections_checked(spark: SparkSession, path: str, source: str) -> tuple[DataFrame, DataFrame]:
-    """Detection rows of all readable documents below ``path``, and ``path, error`` of the others."""
-    d = parse_detections(spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")))
+    """Detection rows of all readable documents below ``path``, one file each, and ``path, error`` of the others."""
+    return checked_detections(spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")), source)
+
+
+def checked_detections(texts: DataFrame, source: str) -> tuple[DataFrame, DataFrame]:
+    """The same of whole documents in a table (``path, text``): many documents need no folder and file each."""
+    d = parse_detections(texts)
     return flatten_detections(d.where("error IS NULL"), source), d.where("error IS NOT NULL").select("path", "error")
 
 

@@ -236,3 +236,13 @@ def test_small_clouds_of_several_layouts_are_decoded_together(spark):
     t0 = time.perf_counter()
     assert decode.explode_clouds(many).agg(F.count("x")).first()[0] == 1_200_000
     assert time.perf_counter() - t0 < 12  # cloud by cloud it took 15 s
+
+
+def test_documents_of_many_recordings_need_no_file_each(spark, tmp_path, monkeypatch):
+    from __spark_entry__ import queries
+
+    monkeypatch.setattr("sensorlake.session.shared_folder", lambda s, kind: str(tmp_path / kind))
+    monkeypatch.setattr("sensorlake.plans.q_sources.shared_folder", lambda s, kind: str(tmp_path / kind))
+    got = queries()["detection_document_rejects"](spark, "/root/testdata/sf0.01").toArrow()
+    files = [f for f in tmp_path.rglob("*") if f.is_file() and f.name.startswith("part-")]
+    assert len(set(got["path"].to_pylist())) > 100 and 0 < len(files) < 30
