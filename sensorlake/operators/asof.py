@@ -156,6 +156,26 @@ def nearest_join(
     )
 
 
+def nearest_of_stamps(
+    left: DataFrame,
+    right: DataFrame,
+    keys: Sequence[str],
+    tolerance_ns: int | None = None,
+    payload: Sequence[str] = (),
+    prefix: str = "r_",
+    ts: str = "ts_ns",
+    seq: str = "seq",
+    rows_per_chunk: int = ROWS_PER_CHUNK,
+) -> DataFrame:
+    """The matches of ``nearest_join``, once per key and stamp of ``left``; a written table to join by key and stamp.
+
+    Points of a cloud share its stamp, so there are far fewer stamps than
+    points, and only stamps are merged on the time axis.
+    """
+    stamps = left.select(*keys, ts).distinct()
+    return cut_lineage(nearest_join(stamps, right, keys, tolerance_ns, payload, prefix, "inner", ts, seq, rows_per_chunk))
+
+
 def reverse_nearest(
     messages: DataFrame,
     targets: DataFrame,

@@ -103,15 +103,18 @@ def coloured_cloud(points: DataFrame, frames_: DataFrame, pixels: DataFrame, key
     """Colour points from the nearest frame in time and raster them, highest point per cell.
 
     ``points`` are in the camera frame (``x, y, z``) with map coordinates
-    ``e, n, h``.
+    ``e, n, h``.  The frame is looked up once per stamp, the image position
+    does not depend on it, and the coloured points are written once: both the
+    extent of the raster and its cells read them.
     """
-    near = asof.nearest_join(points, frames_, keys, tolerance_ns, ["frame"], "f_", "inner")
-    d = projected(near.where(F.col("z") > 0.05), F.col("x"), F.col("y"), F.col("z"), k, dist, "_u", "_v")
+    near = asof.nearest_of_stamps(points, frames_, keys, tolerance_ns, ["frame"], "f_")
+    d = projected(points.where(F.col("z") > 0.05), F.col("x"), F.col("y"), F.col("z"), k, dist, "_u", "_v")
     d = computed(d, F.bround("_u").cast("int").alias("c"), F.bround("_v").cast("int").alias("r")).drop("_u", "_v")
     d = d.where((F.col("c") >= 0) & (F.col("c") < width) & (F.col("r") >= 0) & (F.col("r") < height))
+    d = d.join(near.select(*keys, "ts_ns", "f_frame"), [*keys, "ts_ns"])
     px = pixels.withColumnRenamed("frame", "f_frame")
     bands = [c for c in pixels.columns if c not in ("frame", "r", "c")]
-    d = d.join(px, ["f_frame", "r", "c"]).drop("r", "c")
+    d = cut_lineage(d.join(px, ["f_frame", "r", "c"]).select("e", "n", "h", *tie, "z", *bands))
     cells = rz.with_cells(d, rz.raster_meta(d, res, "e", "n"), "e", "n")
     return rz.surface_max(cells, ["row", "col"], "h", tie, ["z", *bands])
 

@@ -246,3 +246,24 @@ def test_documents_of_many_recordings_need_no_file_each(spark, tmp_path, monkeyp
     got = queries()["detection_document_rejects"](spark, "/root/testdata/sf0.01").toArrow()
     files = [f for f in tmp_path.rglob("*") if f.is_file() and f.name.startswith("part-")]
     assert len(set(got["path"].to_pylist())) > 100 and 0 < len(files) < 30
+
+
+def test_coloured_cloud_looks_up_the_frame_once_per_stamp(spark, monkeypatch):
+    from sensorlake.operators import asof
+    from sensorlake.plans import jobs
+
+    real, asked = asof.nearest_join, []
+
+    def nearest_join(left, *args, **kwargs):
+        asked.append(left.count())
+        return real(left, *args, **kwargs)
+
+    stamps = [0, 5, 9, 10, 11, 25, None]  # 5 lies between both frames at 0 and 10, 25 is too late
+    rows = [(bag, t, 100 * i + j, 0.0, 0.0, 1.0, float(i), 0.0, float(j)) for bag in ("a", "b", None) for i, t in enumerate(stamps) for j in range(30)]
+    points = spark.createDataFrame(rows, "bag string, ts_ns bigint, seq bigint, x double, y double, z double, e double, n double, h double")
+    frames = spark.createDataFrame([("a", 0, 1, 1), ("a", 10, 3, 3), ("a", 10, 2, 2)], "bag string, ts_ns bigint, seq bigint, frame int")
+    pixels = spark.createDataFrame([(f, 2, 2, 10 * f) for f in (1, 2, 3)], "frame int, r int, c int, v int")
+    monkeypatch.setattr(asof, "nearest_join", nearest_join)
+    got = jobs.coloured_cloud(points, frames, pixels, ["bag"], 14, (1.0, 1.0, 2.0, 2.0), (0, 0, 0, 0, 0), 4, 4, 1.0, ["seq"]).collect()
+    assert sorted((r.col, r.h, r.v, r.n) for r in got) == [(2, 29.0, 10, 30), (3, 29.0, 10, 30), (4, 29.0, 20, 30), (5, 29.0, 20, 30), (6, 29.0, 20, 30)]
+    assert asked == [3 * len(stamps)]
