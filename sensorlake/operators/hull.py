@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pandas as pd
@@ -13,29 +15,28 @@ from pyspark.sql import functions as F
 from sensorlake.operators.ordered import _null_safe
 from sensorlake.session import cut_lineage
 
-DIRECTIONS = 64
+DIRECTIONS = 16
 
 
 def hull_areas(points: DataFrame, keys: Sequence[str], x: str, y: str, rounds: int = 2) -> DataFrame:
     """Area of the convex hull per key.
 
-    Points inside the polygon spanned by the extremes in 64 directions (an
-    aggregate) cannot be hull points and go first.  What is left is reduced
+    Points inside the polygon spanned by the extremes in 16 directions (a
+    hash aggregate) cannot be hull points and go first.  What is left is reduced
     batch by batch to the batch's own hull vertices, twice with a reshuffle in
     between, since the hull of hulls is the hull.  Only those vertices meet.
     """
     px, py = F.col(x).cast("double"), F.col(y).cast("double")
     dirs = [(math.cos(2 * math.pi * i / DIRECTIONS), math.sin(2 * math.pi * i / DIRECTIONS)) for i in range(DIRECTIONS)]
-    ext = points.groupBy(*keys).agg(F.array(*[F.max(F.struct((px * a + py * b).alias("d"), px.alias("x"), py.alias("y"))) for a, b in dirs]).alias("_e"))
+    # Both coordinates of a direction change on the same rows, so they stay those of one point.
+    ext = points.groupBy(*keys).agg(*[F.max_by(v, px * a + py * b).alias(f"_e{n}{i}") for i, (a, b) in enumerate(dirs) for n, v in (("x", px), ("y", py))])
     ext = cut_lineage(ext)
     j = points.select(*keys, px.alias("_x"), py.alias("_y"))
     j = _null_safe(j, ext, keys, "inner")
-    n = F.size("_e")
-    nxt = lambda i: F.get("_e", F.pmod(i + 1, n).cast("int"))
-    edge = F.transform("_e", lambda p, i: F.struct(p["x"].alias("ax"), p["y"].alias("ay"), nxt(i)["x"].alias("bx"), nxt(i)["y"].alias("by")))
-    outside = F.exists(edge, lambda e: (e["bx"] - e["ax"]) * (F.col("_y") - e["ay"]) - (e["by"] - e["ay"]) * (F.col("_x") - e["ax"]) < 0)
+    tip = [(F.col(f"_ex{i}"), F.col(f"_ey{i}")) for i in range(DIRECTIONS)]
+    outside = reduce(or_, [(bx - ax) * (F.col("_y") - ay) - (by - ay) * (F.col("_x") - ax) < 0 for (ax, ay), (bx, by) in zip(tip, tip[1:] + tip[:1])])
     rest = j.where(outside).select(*keys, "_x", "_y")
-    tips = ext.select(*keys, F.explode("_e").alias("e")).select(*keys, F.col("e.x").alias("_x"), F.col("e.y").alias("_y"))
+    tips = ext.select(*keys, F.inline(F.array(*[F.struct(x.alias("_x"), y.alias("_y")) for x, y in tip])))
     rest = rest.unionByName(tips)
     names = list(keys)
 

@@ -267,3 +267,13 @@ def test_coloured_cloud_looks_up_the_frame_once_per_stamp(spark, monkeypatch):
     got = jobs.coloured_cloud(points, frames, pixels, ["bag"], 14, (1.0, 1.0, 2.0, 2.0), (0, 0, 0, 0, 0), 4, 4, 1.0, ["seq"]).collect()
     assert sorted((r.col, r.h, r.v, r.n) for r in got) == [(2, 29.0, 10, 30), (3, 29.0, 10, 30), (4, 29.0, 20, 30), (5, 29.0, 20, 30), (6, 29.0, 20, 30)]
     assert asked == [3 * len(stamps)]
+
+
+def test_hull_extremes_are_hashed_and_not_sorted(spark, monkeypatch):
+    """The extremes of all points per key meet in a hash aggregate; ties on the corners keep whole points."""
+    seen = []
+    monkeypatch.setattr(hull, "cut_lineage", lambda d: seen.append(d) or d)
+    pts = [("a", float(x), float(y)) for x in range(20) for y in range(10)] * 3 + [("c", 0.0, 0.0), ("c", 4.0, 0.0), ("c", 0.0, 3.0)]
+    got = hull.hull_areas(spark.createDataFrame(pts, "k string, x double, y double"), ["k"], "x", "y")
+    assert {r.k: r.area for r in got.collect()} == {"a": 19.0 * 9.0, "c": 6.0}
+    assert "SortAggregate" not in seen[0]._jdf.queryExecution().executedPlan().toString()
