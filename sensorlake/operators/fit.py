@@ -262,9 +262,10 @@ def homography_ransac(
         return F.sqrt((u - F.col(dst[0])) * (u - F.col(dst[0])) + (v - F.col(dst[1])) * (v - F.col(dst[1])))
 
     votes = j.select(*keys, *src, *dst, F.explode("_m").alias("_e"))
-    votes = votes.groupBy(*keys, F.col("_e._h").alias("_h")).agg(F.count_if(F.coalesce(err(F.col("_e._mat")) <= threshold, F.lit(False))).alias("_v"), F.first("_e._mat").alias("_mat"))
-    best = votes.groupBy(*keys).agg(F.max(F.struct("_v", (-F.col("_h")).alias("o"), F.col("_mat").alias("h"))).alias("_b"))
-    best = cut_lineage(best.select(*keys, F.col("_b._v").alias("inliers"), F.col("_b.h").alias("_fit")))
+    votes = votes.groupBy(*keys, F.col("_e._h").alias("_h")).agg(F.count_if(F.coalesce(err(F.col("_e._mat")) <= threshold, F.lit(False))).alias("_v"))
+    best = votes.groupBy(*keys).agg(F.max(F.struct("_v", (-F.col("_h")).alias("o"))).alias("_b"))
+    best = best.select(*keys, F.col("_b._v").alias("inliers"), (-F.col("_b.o")).alias("_h"))
+    best = cut_lineage(_null_safe(best, hyp, [*keys, "_h"], "inner").select(*keys, "inliers", F.col("_mat").alias("_fit")))
     k = _null_safe(pairs, best, keys, "left") if keys else pairs.withColumn("_x", best.select(F.struct("*")).scalar()).select("*", "_x.*").drop("_x")
     good = F.coalesce((err(F.col("_fit")) <= threshold) | (F.col("inliers") < min_inliers), F.lit(True))
     fit = homography_dlt(k.where(good), keys, src, dst).withColumnRenamed("n", "used")

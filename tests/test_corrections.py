@@ -277,3 +277,16 @@ def test_hull_extremes_are_hashed_and_not_sorted(spark, monkeypatch):
     got = hull.hull_areas(spark.createDataFrame(pts, "k string, x double, y double"), ["k"], "x", "y")
     assert {r.k: r.area for r in got.collect()} == {"a": 19.0 * 9.0, "c": 6.0}
     assert "SortAggregate" not in seen[0]._jdf.queryExecution().executedPlan().toString()
+
+
+def test_homography_votes_are_counted_without_their_matrices(spark, monkeypatch):
+    """Votes per hypothesis are plain counts; the matrix of the winner is looked up afterwards, for a NULL key too."""
+    seen = []
+    monkeypatch.setattr(fit, "cut_lineage", lambda d: seen.append(d) or d)
+    at = [(i, float(i % 5), float(i // 5)) for i in range(20)]
+    rows = [(k, i, x, y, 2 * x + 3 + (50.0 if i in (4, 11) else 0.0), 2 * y - s) for k, s in (("a", 1.0), (None, 7.0)) for i, x, y in at]
+    got = fit.homography_ransac(spark.createDataFrame(rows, "k string, pid int, sx double, sy double, dx double, dy double"), ["k"], "pid", 0.5)
+    got = {r.k: r for r in got.collect()}
+    for k, s in (("a", 1.0), (None, 7.0)):
+        assert (got[k].n, got[k].inliers, got[k].used) == (20, 18, 18) and np.allclose(got[k].h, [2, 0, 3, 0, 2, -s, 0, 0, 1], atol=1e-6)
+    assert "first(" not in seen[0]._jdf.queryExecution().executedPlan().toString()
