@@ -95,6 +95,23 @@ def test_large_patterns_keep_their_options_apart(spark):
     assert d.count() == d.select("opt").distinct().count() == 68 * 69
 
 
+def test_few_plots_need_no_join_and_agree_with_the_cells(spark, monkeypatch):
+    rings = [[(0, 0), (4, 1), (3, 5)], [(6, 0), (9, 0), (9, 3), (7.5, 1), (6, 3)], [(2, 2), (8, 2), (8, 4), (2, 4)], [(12, 2), (14, 2), (14, 4), (12, 4)], []]
+    plots = spark.createDataFrame([(i, f"p{i}", [{"x": float(x), "y": float(y)} for x, y in r]) for i, r in enumerate(rings)], "pos int, plot_id string, ring array<struct<x:double,y:double>>")
+    rng = np.random.default_rng(4)
+    at = [*rng.uniform(-3, 17, (200, 2)).tolist(), *[(i / 2, j / 2) for i in range(30) for j in range(11)], (1e6, -1e6), (math.inf, 1.0), (-math.inf, math.inf), (math.nan, 1.0), (None, 1.0), (10.5, 3.0)]
+    pts = spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate(at)] + [(0, *at[0])], "i int, x double, y double")
+    few = spatial.assign_plot(pts, plots, ["i"], 2.0, levels=1)
+    got = few.collect()
+    assert "Join" not in few._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(spatial, "_few_plots", lambda shapes: None)
+    cells = spatial.assign_plot(pts, plots, ["i"], 2.0, levels=1)
+    assert few.schema.simpleString() == cells.schema.simpleString() and len(got) == len(at)
+    key = lambda r: (r.i, r.plot_id, r.assignment, r.distance)
+    assert sorted(map(key, got)) == sorted(map(key, cells.collect()))
+    assert {r.i: (r.plot_id, r.assignment, r.distance) for r in got}[len(at) - 1] == ("p1", "nearest_polygon", 1.5)
+
+
 def test_nearest_plot_far_away_without_a_nested_loop(spark):
     square = lambda x, y: [(x, y), (x + 1.0, y), (x + 1.0, y + 1.0), (x, y + 1.0)]
     plots = spark.createDataFrame([(0, "p", square(0.0, 0.0)), (1, "q", square(50.0, 0.0))], "pos int, plot_id string, ring array<struct<x:double,y:double>>")
