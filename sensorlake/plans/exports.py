@@ -34,15 +34,17 @@ def typed_streams(imu: DataFrame, clouds: DataFrame, fixes: DataFrame, velocitie
 
 
 def write_streams(streams: Mapping[str, DataFrame], path: str) -> dict[str, DataFrame]:
-    """Write every stream once, partitioned by ``failed`` and ``bag_id``, and return the tables read back.
+    """Write every stream once, partitioned by ``failed``, and return the tables read back.
 
     Tasks write where their rows are, so a recording with most of the rows is
-    written by many tasks.  An empty ``bag_id`` comes back as NULL.
+    written by many tasks.  There are as many files as tasks, however many
+    recordings there are: within a file the rows lie by recording and time, so
+    reading one recording skips the others by the statistics of the row groups.
     """
     out = {}
     for name, df in streams.items():
         df = df.withColumn("failed", F.col("error").isNotNull())
-        df.write.mode("overwrite").partitionBy("failed", "bag_id").parquet(f"{path}/{name}")
+        df.sortWithinPartitions("failed", "bag_id", "ts_ns").write.mode("overwrite").partitionBy("failed").parquet(f"{path}/{name}")
         out[name] = df.sparkSession.read.schema(df.schema).parquet(f"{path}/{name}")
     return out
 

@@ -42,3 +42,15 @@ def test_export_without_a_window_and_of_nothing(spark, tmp_path):
     assert {(r.stream, r.bag_id): r.rows for r in everything.collect()}[("imu", "007")] == 2
     nothing = exports.write_streams(_streams(spark, 10_000), str(tmp_path / "none"))
     assert exports.stream_manifest(nothing).count() == 0
+
+
+def test_export_writes_a_file_per_task_not_per_recording(spark, tmp_path):
+    vel = spark.range(0, 300, 1, 2).selectExpr("IF(id = 7, '', concat('b', id % 150)) AS bag_id", "100 - id AS ts_ns", "id AS seq", "CAST(NULL AS struct<linear:struct<x:double,y:double,z:double>>) AS twist")
+    streams = {"velocity": vel.selectExpr("*", "IF(seq % 3 = 0, 'no twist', NULL) AS error")}
+    w = exports.write_streams(streams, str(tmp_path))["velocity"]
+    assert len(list(tmp_path.rglob("*.parquet"))) <= 4  # two tasks, good and failed rows
+    rows = w.collect()
+    assert len(rows) == 300 and sum(r.failed for r in rows) == 100 and {r.bag_id for r in rows} == {"", *(f"b{i}" for i in range(150))}
+    for part in tmp_path.rglob("*.parquet"):
+        got = [(r.bag_id, r.ts_ns) for r in spark.read.parquet(str(part)).collect()]
+        assert got == sorted(got)
