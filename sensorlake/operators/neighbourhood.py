@@ -29,6 +29,15 @@ def _spread(df: DataFrame, axis: str, offsets: Sequence[int], weights: Sequence[
     return d.withColumn(axis, F.col(axis) + F.col("_k.o")).withColumn("_w", F.col("_k.w")).drop("_k")
 
 
+def _sorted(df: DataFrame) -> DataFrame:
+    """``df`` as one side of a join that is sorted and merged, never broadcast.
+
+    Spark judges exploded cells by the few rows they come from, and written
+    cells by their packed size; it would collect millions of cells on the driver.
+    """
+    return df.hint("merge")
+
+
 def _reach(k: int) -> list[int]:
     return list(range(-(k // 2), k // 2 + 1))
 
@@ -46,7 +55,7 @@ def morph(df: DataFrame, keys: Sequence[str], value: str, k: int, grow: bool, r:
         d = _spread(d, axis, _reach(k)).groupBy(*keys, r, c).agg(red(value).alias(value))
     if grow:
         return d
-    return cells.join(d, [*keys, r, c], "inner")
+    return cells.join(_sorted(d), [*keys, r, c], "inner")
 
 
 def dilate(df, keys, value, k, r="r", c="c", bounds: tuple[int, int] | None = None) -> DataFrame:
@@ -64,13 +73,13 @@ def erode(df, keys, value, k, r="r", c="c") -> DataFrame:
 def opened(df, keys, value, k, r="r", c="c") -> DataFrame:
     """Erode, then dilate, on the cells of ``df``."""
     d = dilate(erode(df, keys, value, k, r, c), keys, value, k, r, c)
-    return df.select(*keys, r, c).join(d, [*keys, r, c])
+    return df.select(*keys, r, c).join(_sorted(d), [*keys, r, c])
 
 
 def closed(df, keys, value, k, r="r", c="c") -> DataFrame:
     """Dilate, then erode, on the cells of ``df``."""
     d = dilate(df, keys, value, k, r, c)
-    d = df.select(*keys, r, c).join(d, [*keys, r, c])
+    d = df.select(*keys, r, c).join(_sorted(d), [*keys, r, c])
     return erode(d, keys, value, k, r, c)
 
 
@@ -205,25 +214,68 @@ def canopy(cells: DataFrame, keys: Sequence[str], height: str, k: int, sigma: fl
     return cells.join(low, [*keys, r, c]).withColumn("canopy", F.greatest(F.col(height) - F.col("_env"), F.lit(0.0))).drop("_env")
 
 
+# Edge of the square blocks that source pixels are packed into for a warp.
+WARP_TILE = 16
+
+
+def _blocks(source: DataFrame, keys: Sequence[str], value: str, r: str, c: str) -> DataFrame:
+    """Source pixels packed into square blocks that share their last row and column with the next ones.
+
+    Per block (``_k_*, _tr, _tc``) row-major ``_vals``, pixels given twice added
+    up, and ``_has``: 0 without a pixel, 1 if it is NULL, 2 with a value.
+    """
+    t = WARP_TILE
+    home = lambda x: F.floor(F.col(x) / t).cast("int")
+    reach = lambda x: F.when(F.pmod(F.col(x), F.lit(t)) == 0, F.array(home(x), home(x) - 1)).otherwise(F.array(home(x)))
+    s = source.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col(r).cast("int").alias("_r0"), F.col(c).cast("int").alias("_c0"), F.col(value).cast("double").alias("_v"))
+    s = s.where(F.col("_r0").isNotNull() & F.col("_c0").isNotNull())
+    s = s.withColumn("_tr", F.explode(reach("_r0"))).withColumn("_tc", F.explode(reach("_c0")))
+    at = (F.col("_r0") - F.col("_tr") * t) * (t + 1) + F.col("_c0") - F.col("_tc") * t
+    g = s.groupBy(*[f"_k_{k}" for k in keys], "_tr", "_tc").agg(F.collect_list(F.struct(at.alias("i"), F.coalesce("_v", F.lit(0.0)).alias("v"), F.col("_v").isNotNull().cast("int").alias("f"))).alias("_p"))
+
+    @F.pandas_udf("struct<vals:array<double>,has:array<tinyint>>")
+    def dense(at: pd.Series, v: pd.Series, full: pd.Series) -> pd.DataFrame:
+        vals, has = [], []
+        for i, x, f in zip(at, v, full):
+            block, there = np.zeros((t + 1) ** 2), np.zeros((t + 1) ** 2, np.int8)
+            np.add.at(block, i, x)
+            np.maximum.at(there, i, f.astype(np.int8) + np.int8(1))
+            vals.append(block)
+            has.append(there)
+        return pd.DataFrame({"vals": vals, "has": has})
+
+    b = g.select(*[f"_k_{k}" for k in keys], "_tr", "_tc", dense(F.col("_p.i"), F.col("_p.v"), F.col("_p.f")).alias("_d"))
+    return b.select(*[f"_k_{k}" for k in keys], "_tr", "_tc", F.col("_d.vals").alias("_vals"), F.col("_d.has").alias("_has"))
+
+
 def warp(source: DataFrame, targets: DataFrame, keys: Sequence[str], h_inv: Column, value: str, r: str = "r", c: str = "c") -> DataFrame:
     """Source pixels resampled at the target cells: bilinear ``value`` and nearest ``valid``.
 
-    ``h_inv`` maps target (column, row) to source.  Each target cell asks for
-    its (up to four) source neighbours by equi-join.
+    ``h_inv`` maps target (column, row) to source.  A target cell meets one
+    block of source pixels, which holds all (up to four) neighbours it asks
+    for; cells without any of them are left out.  A NULL pixel is there but
+    adds nothing.
     """
     from sensorlake.functions.geometry import h_apply
 
     u, v = h_apply(h_inv, F.col(c).cast("double"), F.col(r).cast("double"))
     t = targets.select(*keys, r, c, u.alias("_u"), v.alias("_v")).where(F.col("_u").isNotNull())
     fu, fv = F.floor("_u").cast("int"), F.floor("_v").cast("int")
-    corners = F.array(*[F.struct((fv + i).alias("r"), (fu + j).alias("c"), F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1)])
-    t = t.withColumn("_a", F.col("_u") - fu).withColumn("_b", F.col("_v") - fv).withColumn("_n", F.explode(corners))
-    w = F.when(F.col("_n.j") == 1, F.col("_a")).otherwise(1.0 - F.col("_a")) * F.when(F.col("_n.i") == 1, F.col("_b")).otherwise(1.0 - F.col("_b"))
-    t = t.select(*keys, r, c, w.alias("_w"), F.col("_n.r").alias("_sr"), F.col("_n.c").alias("_sc"), ((F.col("_n.j") == (F.col("_a") >= 0.5).cast("int")) & (F.col("_n.i") == (F.col("_b") >= 0.5).cast("int"))).alias("_near"))
-    s = source.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col(r).alias("_r0"), F.col(c).alias("_c0"), F.col(value).alias("_val"))
-    j = t.join(s, [*[F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys], F.col("_sr") == F.col("_r0"), F.col("_sc") == F.col("_c0")])
-    g = j.groupBy(*keys, r, c).agg(F.sum(F.col("_w") * F.col("_val")).alias(value), F.max("_near").alias("valid"))
-    return g
+    t = t.select(*keys, r, c, fu.alias("_fu"), fv.alias("_fv"), (F.col("_u") - fu).alias("_a"), (F.col("_v") - fv).alias("_b"))
+    t = t.withColumn("_tr0", F.floor(F.col("_fv") / WARP_TILE).cast("int")).withColumn("_tc0", F.floor(F.col("_fu") / WARP_TILE).cast("int"))
+    s = _blocks(source, keys, value, r, c)
+    j = t.join(_sorted(s), [*[F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys], F.col("_tr0") == F.col("_tr"), F.col("_tc0") == F.col("_tc")])
+    first = (F.col("_fv") - F.col("_tr") * WARP_TILE) * (WARP_TILE + 1) + F.col("_fu") - F.col("_tc") * WARP_TILE
+    offset = lambda i, k: i * (WARP_TILE + 1) + k
+    corners = [(i, k) for i in (0, 1) for k in (0, 1)]
+    j = j.select(*keys, r, c, "_a", "_b", *[F.get("_has", first + offset(i, k)).alias(f"_h{i}{k}") for i, k in corners], *[F.get("_vals", first + offset(i, k)).alias(f"_v{i}{k}") for i, k in corners])
+    near = F.when(F.col("_b") >= 0.5, F.when(F.col("_a") >= 0.5, F.col("_h11")).otherwise(F.col("_h10"))).otherwise(F.when(F.col("_a") >= 0.5, F.col("_h01")).otherwise(F.col("_h00")))
+    there, filled, total = F.lit(False), F.lit(False), F.lit(0.0)
+    for i, k in corners:
+        w = (F.col("_a") if k else 1.0 - F.col("_a")) * (F.col("_b") if i else 1.0 - F.col("_b"))
+        full = F.col(f"_h{i}{k}") == 2
+        there, filled, total = there | (F.col(f"_h{i}{k}") > 0), filled | full, total + F.when(full, w * F.col(f"_v{i}{k}")).otherwise(0.0)
+    return j.where(there).select(*keys, r, c, F.when(filled, total).alias(value), (near > 0).alias("valid"))
 
 
 def label_components(cells: DataFrame, keys: Sequence[str], tile: int = 256, r: str = "r", c: str = "c") -> DataFrame:
