@@ -278,8 +278,7 @@ def registered_frames(sync: DataFrame, pixels: Mapping[str, DataFrame], h_to_rgb
     layers, masks = [], []
     for s, px in pixels.items():
         own = px.withColumnRenamed("frame", s).join(sync.select("frame", s), s).select("frame", "r", "c", "v")
-        inv = gm.h_inverse(F.array(*[F.lit(float(x)) for x in h_to_rgb[s]]))
-        w = nb.warp(own, grid, ["frame"], inv, "v").where("valid")
+        w = nb.warp(own, grid, ["frame"], gm.h_inverse_of(h_to_rgb[s]), "v").where("valid")
         layers.append(w.select("frame", "r", "c", F.lit(s).alias("sensor"), "v"))
         masks.append(layers[-1])
     allv = cut_lineage(merging.union_sources(*layers))
