@@ -58,8 +58,7 @@ def registered_cells(sync: DataFrame, master_pixels: DataFrame, pixels: Mapping[
     layers = grid
     for s, px in pixels.items():
         own = _null_safe(px.withColumnRenamed("frame", s), sets.select(*ids, s), [*keys, s], "inner")
-        inverse = gm.h_inverse(_array(homographies[s]))
-        seen = nb.warp(own.select(*ids, "r", "c", F.col("v").cast("double").alias("v")), grid, ids, inverse, "v").where("valid")
+        seen = nb.warp(own.select(*ids, "r", "c", F.col("v").cast("double").alias("v")), grid, ids, gm.h_inverse_of(homographies[s]), "v").where("valid")
         layers = layers.unionByName(seen.select(*ids, "r", "c", F.col("v").alias(s)), allowMissingColumns=True)
     return layers.groupBy(*ids, "r", "c").agg(*[F.max(v).alias(v) for v in (*values, *pixels)])
 
@@ -117,7 +116,7 @@ def vegetation(cells: DataFrame, keys: Sequence[str], red: str = "red", green: s
     rgb = [F.col(v) for v in (red, green, blue)]
     d = cells.select(*keys, "r", "c", color.gli_u8(*rgb).alias("_gli"), color.is_green(color.hsv(*rgb)).alias("_green"))
     d = _null_safe(d, rz.otsu(d, keys, "_gli"), keys, "inner")
-    d = d.select(*keys, "r", "c", ((F.col("_gli") > F.col("threshold")) & F.col("_green")).cast("int").alias("veg"))
+    d = cut_lineage(d.select(*keys, "r", "c", ((F.col("_gli") > F.col("threshold")) & F.col("_green")).cast("int").alias("veg")))
     return nb.closed(nb.opened(d, keys, "veg", VEGETATION_OPEN), keys, "veg", VEGETATION_CLOSE)
 
 
@@ -147,6 +146,6 @@ def multisensor_frame_sets(
     veg = cut_lineage(vegetation(cells, ids))
     lidar = lidar_layers(good, points, keys, tie, lens, dist, rotation, shift, max_range, splat)
     at = [*ids, "r", "c"]
-    cells = cells.join(veg, at).join(lidar, at, "left")
+    cells = cells.join(veg.hint("merge"), at).join(lidar.hint("merge"), at, "left")
     share = rz.cover(veg, ids, {"vegetation_cover_pct": F.col("veg") == 1, "soil_visible_pct": F.col("veg") == 0})
     return {"sets": _null_safe(sets, share, ids, "left"), "cells": cells.select(*at, *values, "depth_mm", "height", "intensity", "veg")}

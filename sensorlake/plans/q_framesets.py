@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sensorlake.plans import framesets
 from sensorlake.plans.fixtures import fx_pixels, fx_points, with_sql
 from sensorlake.plans.registry import query
+from sensorlake.session import cut_lineage
 
 TOLERANCE_NS = 120_000_000
 HOMOGRAPHIES = {
@@ -24,7 +25,7 @@ CLOUDS = 8
 def _frame_set_inputs(spark, sf):
     """Master frames per second of two recordings; a camera at double rate, one with a tie, one that is late now and then."""
     px = fx_pixels(spark, sf).select(F.pmod("frame", F.lit(2)).alias("k"), "frame", "r", "c", "v")
-    f = px.select("k", "frame").distinct().withColumn("ts_ns", F.col("frame") * 1_000_000_000)
+    f = cut_lineage(px.select("k", "frame").distinct()).withColumn("ts_ns", F.col("frame") * 1_000_000_000)
     master = f.select("k", "frame", "ts_ns", F.col("frame").alias("seq"))
 
     def stream(name, own, dt):
@@ -34,7 +35,7 @@ def _frame_set_inputs(spark, sf):
     late = F.when(F.pmod(n, F.lit(5)) == 3, F.lit(200_000_000)).otherwise(F.lit(10_000_000))
     p = fx_points(spark, sf).select("seq", "sub", F.pmod("frame", F.lit(CLOUDS)).alias("frame"), (F.col("x") / 10.0 + 0.5).alias("x"), ((F.col("y") - 5.0) * 0.6).alias("y"), ((F.col("z") - 25.0) / 10.0).alias("z"), "intensity")
     p = p.withColumn("k", F.pmod("frame", F.lit(2)))
-    clouds = p.select("k", "frame").distinct().select("k", F.lit("cloud").alias("st"), "frame", (F.col("frame") * 1_000_000_000 + 60_000_000).alias("ts_ns"), F.col("frame").alias("seq"))
+    clouds = cut_lineage(p.select("k", "frame").distinct()).select("k", F.lit("cloud").alias("st"), "frame", (F.col("frame") * 1_000_000_000 + 60_000_000).alias("ts_ns"), F.col("frame").alias("seq"))
     messages = (
         stream("vis", 2 * n, F.lit(-30_000_000)).unionByName(stream("vis", 2 * n + 1, F.lit(50_000_000)))
         .unionByName(stream("nir", 2 * n, F.lit(-40_000_000))).unionByName(stream("nir", 2 * n + 1, F.lit(40_000_000)))
