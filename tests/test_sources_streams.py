@@ -290,3 +290,67 @@ def test_bad_odometry_rows(spark, tmp_path):
     assert errors[:6] == [None, "x", "stamp_ns", spelled("qw", "y"), None, "stamp_ns"]
     assert got[0].stamp_ns == 1700000000000000001 and got[4].stamp_ns == 1700000000000000000 and got[1].y == 1.5
     assert errors[6].endswith("line") and got[6].line and errors[7] == "line"
+
+
+class _State:
+    """A value or list state that counts the messages it gets."""
+
+    calls = 0
+
+    def __init__(self):
+        self.held = None
+
+    def _set(self, value):
+        _State.calls += 1
+        self.held = value
+
+    def exists(self):
+        return self.held is not None
+
+    def get(self):
+        _State.calls += 1
+        return iter(self.held or []) if isinstance(self.held, list) or self.held is None else self.held
+
+    def clear(self):
+        self._set(None)
+
+    def appendList(self, rows):
+        self._set((self.held or []) + list(rows))
+
+    put = update = _set
+
+    def appendValue(self, row):
+        self._set((self.held or []) + [row])
+
+
+def test_stream_state_gets_few_messages_however_many_rows_and_keys():
+    states, timers, now = {}, [], [0]
+
+    class Handle:
+        getValueState = getListState = lambda self, name, schema: states.setdefault(name, _State())
+        registerTimer = lambda self, ms: timers.append(ms)
+
+    class Timer:
+        getCurrentWatermarkInMs = lambda self: now[0]
+
+    p = twins._IndexAndBest(2)
+    p.init(Handle())
+    rng = np.random.default_rng(2)
+    n = 3000
+    d = pd.DataFrame({"bag": [None if b == 9 else str(b) for b in rng.integers(0, 10, n)], "sensor": rng.choice(["x", "y"], n), "ts_ns": rng.integers(0, 1000, n) * 1_000_000, "seq": np.arange(n), "quality": rng.integers(0, 9, n).astype(float)})
+    _State.calls, out = 0, []
+    for part, mark in ((d[d.ts_ns < 600_000_000], 500), (d[d.ts_ns >= 600_000_000], 2000)):
+        list(p.handleInputRows((7,), iter([part.iloc[:900], part.iloc[900:]]), Timer()))
+        now[0] = mark
+        out += [list(p.handleExpiredTimer((7,), Timer(), None))]
+    assert _State.calls < 20 and timers[1] >= 500
+    got = pd.concat([x for o in out for x in o])
+    frames = got[got.kind == "frame"]
+    want = d.sort_values(["ts_ns", "seq"])
+    want = want.assign(idx=want.groupby(["bag", "sensor"], dropna=False).cumcount())
+    assert frames.set_index("seq").idx.sort_index().tolist() == want.set_index("seq").idx.sort_index().tolist()
+    last = out[1][1].sort_values(["sensor", "bag", "kind"])
+    top = want.sort_values(["quality", "idx"], ascending=[False, True]).groupby(["bag", "sensor"], dropna=False).head(2)
+    assert sorted(last.seq) == sorted(top.seq) and len(last) == 40
+    sizes = want.groupby(["bag", "sensor"], dropna=False).size()
+    assert all(r.idx == sizes[(r.bag, r.sensor)] for r in last.itertuples() if r.bag is not None)
