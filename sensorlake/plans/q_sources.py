@@ -129,7 +129,10 @@ def odometry_rejects(spark, sf):
 def recording_discovery(spark, sf):
     """One folder per recording is written and the recordings are found by their files."""
     path = shared_folder(spark, "recordings")
-    fx_stream(spark, sf).select(F.concat(F.lit("bag_"), F.col("k")).alias("bag"), "seq", "ts_ns").write.partitionBy("bag").parquet(path)
+    rows = fx_stream(spark, sf).select(F.concat(F.lit("bag_"), F.col("k")).alias("bag"), "seq", "ts_ns")
+    # a file costs more than its rows, so tasks are as many as the cores ask for, not as the bytes do
+    tasks = recordings.LISTING_TASKS * spark.sparkContext.defaultParallelism
+    rows.repartition(tasks, "bag").write.partitionBy("bag").parquet(path)
     found = recordings.find_recordings(spark, path, "*.parquet")
     return found.select(F.regexp_extract("path", r"/bag=([^/]+)/", 1).alias("bag")).distinct()
 

@@ -53,10 +53,18 @@ def select_recordings(
     return d if limit is None else d.orderBy("bag").limit(limit)
 
 
+#: Tasks per core that take up the names of found files.
+LISTING_TASKS = 4
+
+
 def find_recordings(spark: SparkSession, path: str, pattern: str = "*.bag") -> DataFrame:
-    """Distinct recording files below a folder (names and sizes only; contents are not read)."""
+    """Distinct recording files below a folder (names and sizes only; contents are not read).
+
+    Spark plans a partition for every few files, whatever their size; as names
+    are all that is taken, many of them go to one task.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
-    return files.select("path", "length").distinct()
+    return files.select("path", "length").coalesce(LISTING_TASKS * spark.sparkContext.defaultParallelism).distinct()
 
 
 def read_messages(spark: SparkSession, path: str) -> DataFrame:

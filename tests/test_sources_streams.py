@@ -354,3 +354,26 @@ def test_stream_state_gets_few_messages_however_many_rows_and_keys():
     assert sorted(last.seq) == sorted(top.seq) and len(last) == 40
     sizes = want.groupby(["bag", "sensor"], dropna=False).size()
     assert all(r.idx == sizes[(r.bag, r.sensor)] for r in last.itertuples() if r.bag is not None)
+
+
+def test_a_recording_is_one_file_and_found_in_few_tasks(spark, sf, tmp_path, monkeypatch):
+    from sensorlake.plans import q_sources
+
+    spark.read.parquet(f"{sf}/events.parquet").repartition(4).write.parquet(str(tmp_path / "events.parquet"))
+    monkeypatch.setattr(q_sources, "shared_folder", lambda spark, kind: str(tmp_path / kind))
+    d = catalog.QUERIES["recording_discovery"](spark, str(tmp_path))
+    files = list((tmp_path / "recordings").rglob("*.parquet"))
+    users = spark.read.parquet(f"{sf}/events.parquet").select("user_id").distinct().count()
+    assert d.count() == users == len(files)
+    for i in range(400):
+        (tmp_path / "many" / f"b{i}").mkdir(parents=True)
+        (tmp_path / "many" / f"b{i}" / "x.bag").write_bytes(b"1")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4m")
+    try:
+        found = recordings.find_recordings(spark, str(tmp_path / "many"))
+        assert found.count() == 400 and recordings.LISTING_TASKS * spark.sparkContext.defaultParallelism < 400
+        scan = found._jdf.queryExecution().executedPlan().toString()
+        assert "Coalesce" in scan
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
